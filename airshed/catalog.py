@@ -231,3 +231,109 @@ def q_cyclic(spark, sf):
 def q_dow(spark, sf):
     return (engineered(spark, sf).select("day_of_week", day_ordinal(F.col("day_of_week")).alias("dow"))
             .groupBy("day_of_week", "dow").agg(F.count(F.lit(1)).alias("n")))
+
+
+# ---------------------------------------------------------------- M1, M2, F17
+
+def _coded(spark, sf):
+    from pyspark.ml import Pipeline
+
+    from airshed.plans.train import categorical_indexer
+    fm = features(spark, sf)
+    return Pipeline(stages=[categorical_indexer()]).fit(fm).transform(fm)
+
+
+@register("train_test_split", O.with_cv("SELECT time, city, is_test FROM split"))
+def q_split(spark, sf):
+    """M1 exact: ceil(0.2 n) test rows, smallest md5(city|time|seed) first."""
+    from airshed.operators.split import split_exact
+    return split_exact(features(spark, sf).select("time", "city"), 0.2, 42)
+
+
+@register("train_test_split_hash", O.with_base(
+    "SELECT time, city, substr(md5(city || '|' || cast(time AS varchar) || '|42'), 1, 8) "
+    "< '33333333' AS is_test FROM fm"))
+def q_split_hash(spark, sf):
+    """M1 hash mode: a row is test when its md5 prefix is below 0.2 * 2^32."""
+    from airshed.operators.split import split_hash
+    return split_hash(features(spark, sf).select("time", "city"), 0.2, 42)
+
+
+@register("kfold_assign", O.with_cv("SELECT time, city, cast(fold AS integer) AS fold FROM folds"))
+def q_folds(spark, sf):
+    """M2: exact 5 folds over the training rows."""
+    from airshed.operators.split import assign_folds, split_exact
+    s = split_exact(features(spark, sf).select("time", "city"), 0.2, 42)
+    return assign_folds(s.where(~F.col("is_test")).drop("is_test"), 5, 42)
+
+
+_CODE_SQL = O.with_base(
+    "SELECT time, city, "
+    + ", ".join(f"cast(dense_rank() OVER (ORDER BY {c}) - 1 AS integer) AS {c}_code"
+                for c in ["city", "weather_verdict", "time_of_day", "season_region", "season_city"])
+    + " FROM fm")
+
+
+@register("categorical_codes", _CODE_SQL)
+def q_codes(spark, sf):
+    """sorted-category codes learned on all rows."""
+    from airshed.schemas import CATEGORICAL
+    coded = _coded(spark, sf)
+    return coded.select("time", "city", *[F.col(c + "_code").cast("int").alias(c + "_code")
+                                          for c in CATEGORICAL])
+
+
+# ---------------------------------------------------------------- M4, A5, A6, M6, S12
+
+def _cv_group_mean(spark, sf):
+    from airshed.operators.estimators import GroupMeanRegressor
+    from airshed.plans.train import train
+    return train(spark, engineered(spark, sf), "pm25_predictor",
+                 estimator=GroupMeanRegressor(groupCol="city"))
+
+
+@register("cv_r2_by_fold", O.with_cv(
+    f"SELECT cast(fold AS integer) AS fold, part, {O.r6('r2')} AS r2 FROM r2"))
+def q_cv_r2(spark, sf):
+    """A5 / M4: R^2 per (fold, part) with a mean-per-city estimator."""
+    from airshed.operators.crossval import cross_validate
+    from airshed.operators.estimators import GroupMeanRegressor
+    from airshed.operators.split import assign_folds, split_exact
+    fm = features(spark, sf).select("time", "city", "label")
+    s = split_exact(fm, 0.2, 42)
+    folded = assign_folds(s.where(~F.col("is_test")).drop("is_test"), 5, 42)
+    r2 = cross_validate(folded, GroupMeanRegressor(groupCol="city"), 5)
+    return round_doubles(r2.withColumn("fold", F.col("fold").cast("int")))
+
+
+@register("fold_results", O.with_cv(
+    f"SELECT Fold, {O.r6('Train_R2')} AS Train_R2, {O.r6('CV_R2')} AS CV_R2, "
+    f"{O.r6('Gap')} AS Gap FROM fold_tbl"))
+def q_fold_results(spark, sf):
+    """M6 / S11 table: Fold, Train_R2, CV_R2, Gap."""
+    return round_doubles(_cv_group_mean(spark, sf).fold_results)
+
+
+_SUMMARY = ["mean_train_r2", "mean_cv_r2", "generalization_gap", "std_train_r2",
+            "std_cv_r2", "best_fold_r2", "worst_fold_r2", "best_train_r2", "worst_train_r2"]
+
+
+@register("cv_summary", O.with_cv(
+    "SELECT " + ", ".join(f"{O.r6(c)} AS {c}" for c in _SUMMARY) + " FROM summary"))
+def q_cv_summary(spark, sf):
+    """Mean, population std, best, worst; generalisation gap."""
+    return round_doubles(_cv_group_mean(spark, sf).summary)
+
+
+_METRICS_SQL = O.with_cv(
+    "SELECT 'pm25_predictor' AS model, metric, " + O.r6("value") + " AS value FROM ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS metric, {c} AS value FROM summary" for c in _SUMMARY)
+    + " UNION ALL SELECT 'fold_' || Fold || '_train_r2', Train_R2 FROM fold_tbl"
+    + " UNION ALL SELECT 'fold_' || Fold || '_cv_r2', CV_R2 FROM fold_tbl"
+    + " UNION ALL SELECT 'fold_' || Fold || '_gap', Gap FROM fold_tbl) m")
+
+
+@register("metrics_long", _METRICS_SQL)
+def q_metrics(spark, sf):
+    """(model, metric, value) long metrics table."""
+    return round_doubles(_cv_group_mean(spark, sf).metrics)

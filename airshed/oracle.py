@@ -140,3 +140,50 @@ def select_rounded(cols: list[str], source: str, rename: dict[str, str] | None =
         src = rename.get(c, c)
         parts.append(f"{r6(src)} AS {c}" if c in DOUBLE_COLS else f"{src} AS {c}")
     return f"SELECT {', '.join(parts)} FROM {source}"
+
+
+# Split, folds and the group-mean cross-validation (estimator: mean label per
+# city over the other folds).
+_CV = """,
+keys AS (
+  SELECT time, city, pm2_5 AS label,
+         md5(city || '|' || cast(time AS varchar) || '|42') AS h,
+         md5(city || '|' || cast(time AS varchar) || '|42|cv') AS hcv
+  FROM fm),
+ranked AS (SELECT *, row_number() OVER (ORDER BY h, city, time) - 1 AS rn, count(*) OVER () AS n FROM keys),
+split AS (SELECT time, city, label, hcv, rn < ceil(0.2e0 * n) AS is_test FROM ranked),
+folds AS (SELECT time, city, label, ntile(5) OVER (ORDER BY hcv, city, time) AS fold
+          FROM split WHERE NOT is_test),
+city_fold AS (SELECT city, fold, sum(label) AS s, count(*) AS c FROM folds GROUP BY city, fold),
+city_all AS (SELECT city, sum(s) AS s, sum(c) AS c FROM city_fold GROUP BY city),
+fold_ids AS (SELECT DISTINCT fold FROM folds),
+gm AS (SELECT f.fold AS m, a.city,
+              (a.s - coalesce(cf.s, 0)) / nullif(a.c - coalesce(cf.c, 0), 0) AS pred
+       FROM fold_ids f CROSS JOIN city_all a
+       LEFT JOIN city_fold cf ON cf.city = a.city AND cf.fold = f.fold),
+scored AS (SELECT g.m AS fold, CASE WHEN r.fold = g.m THEN 'cv' ELSE 'train' END AS part,
+                  r.label, g.pred
+           FROM folds r JOIN gm g ON r.city = g.city),
+r2 AS (SELECT fold, part,
+         CASE WHEN var_pop(label) * count(label) = 0
+              THEN CASE WHEN sum((label - pred) * (label - pred)) = 0 THEN 1.0e0 ELSE 0.0e0 END
+              ELSE 1.0e0 - sum((label - pred) * (label - pred)) / (var_pop(label) * count(label)) END AS r2
+       FROM scored GROUP BY fold, part),
+fold_tbl AS (
+  SELECT cast(fold AS integer) AS Fold,
+         max(CASE WHEN part = 'train' THEN r2 END) AS Train_R2,
+         max(CASE WHEN part = 'cv' THEN r2 END) AS CV_R2,
+         max(CASE WHEN part = 'train' THEN r2 END) - max(CASE WHEN part = 'cv' THEN r2 END) AS Gap
+  FROM r2 GROUP BY fold),
+summary AS (
+  SELECT avg(Train_R2) AS mean_train_r2, avg(CV_R2) AS mean_cv_r2,
+         avg(Train_R2) - avg(CV_R2) AS generalization_gap,
+         stddev_pop(Train_R2) AS std_train_r2, stddev_pop(CV_R2) AS std_cv_r2,
+         max(CV_R2) AS best_fold_r2, min(CV_R2) AS worst_fold_r2,
+         max(Train_R2) AS best_train_r2, min(Train_R2) AS worst_train_r2
+  FROM fold_tbl)
+"""
+
+
+def with_cv(select: str) -> str:
+    return f"WITH {_BASE.strip()}{_CV.rstrip()}\n{select}"

@@ -337,3 +337,173 @@ _METRICS_SQL = O.with_cv(
 def q_metrics(spark, sf):
     """(model, metric, value) long metrics table."""
     return round_doubles(_cv_group_mean(spark, sf).metrics)
+
+
+# ---------------------------------------------------------------- S1-S4, S6-S8, P1, A3, U1
+
+def _land(spark, hourly, feed, variables, defects: bool = False) -> str:
+    """Write the adapter's hourly rows as landed payloads; return the path."""
+    from airshed.session import scratch_path
+    from airshed.sources.payload import to_payloads, write_landing
+    p = to_payloads(hourly, variables)
+    h = F.col("hourly")
+    good = F.to_json(F.struct(h.alias("hourly")))
+    text = good
+    if defects:
+        ix = F.broadcast(dim_city(spark, with_index=True).select("city", "ix"))
+        p = p.join(ix, "city")
+        k = F.col("ix") % 16
+        t = h["time"]
+        bad_time = F.transform(t, lambda x, i: F.when(i == 0, F.lit("not-a-time")).otherwise(x))
+        others = [h[v] for v in variables]
+        text = (F.when(k == 0, F.lit('{"error": true, "reason": "no data"}'))
+                .when(k == 1, F.expr("substring(to_json(struct(hourly)), 1, "
+                                     "length(to_json(struct(hourly))) - 5)"))
+                .when(k == 2, F.to_json(F.struct(F.struct(
+                    t.alias("time"),
+                    F.slice(others[0], 1, F.greatest(F.size(others[0]) - 1, F.lit(0))).alias(variables[0]),
+                    *[o.alias(v) for o, v in zip(others[1:], variables[1:])]).alias("hourly"))))
+                .when(k == 3, F.to_json(F.struct(F.struct(
+                    bad_time.alias("time"), *[o.alias(v) for o, v in zip(others, variables)]).alias("hourly"))))
+                .when(k == 4, F.to_json(F.struct(F.struct(
+                    F.array().cast("array<string>").alias("time"),
+                    *[F.array().cast("array<double>").alias(v) for v in variables]).alias("hourly"))))
+                .when(k == 5, F.to_json(F.struct(F.struct(
+                    t.alias("time"), *[o.alias(v) for o, v in zip(others[:-1], variables[:-1])]
+                ).alias("hourly"))))
+                .otherwise(good))
+    path = scratch_path(spark, f"landing-{feed}") + f"/feed={feed}"
+    write_landing(p.select("city", text.alias("value")), path)
+    return path
+
+
+@register("src_aqi_payload", O.with_base(O.select_rounded(["time", "city", "pm10", "pm2_5"], "hourly_aqi")))
+def q_src_aqi(spark, sf):
+    """Landed AQI payloads -> hourly rows (city from the folder)."""
+    from airshed.schemas import AQI_VARS
+    from airshed.sources.payload import hourly_from_landing
+    path = _land(spark, hourly_aqi(spark, sf), "aqi", AQI_VARS)
+    rows, _ = hourly_from_landing(spark, path, "aqi")
+    return round_doubles(rows)
+
+
+_W = ["temperature_2m", "relative_humidity_2m", "wind_speed_10m", "wind_direction_10m",
+      "precipitation", "surface_pressure"]
+
+
+@register("src_weather_payload", O.with_base(O.select_rounded(["time", "city", *_W], "hourly_weather")))
+def q_src_weather(spark, sf):
+    """Landed weather payloads -> hourly rows."""
+    from airshed.schemas import WEATHER_VARS
+    from airshed.sources.payload import hourly_from_landing
+    path = _land(spark, hourly_weather(spark, sf), "weather", WEATHER_VARS)
+    rows, _ = hourly_from_landing(spark, path, "weather")
+    return round_doubles(rows)
+
+
+@register("src_payload_reject", O.with_base(
+    "SELECT 'aqi' AS feed, city, CASE ix % 16 WHEN 0 THEN 'no_hourly' WHEN 1 THEN 'corrupt' "
+    "WHEN 2 THEN 'length_mismatch' WHEN 3 THEN 'bad_time' WHEN 4 THEN 'empty' "
+    "ELSE 'missing_variable' END AS reason FROM dim_city "
+    "WHERE ix % 16 < 6 AND city IN (SELECT city FROM hourly_aqi)"))
+def q_src_reject(spark, sf):
+    """S3: bad payloads (six kinds) -> reject table; one row per city."""
+    from airshed.schemas import AQI_VARS
+    from airshed.sources.payload import hourly_from_landing
+    path = _land(spark, hourly_aqi(spark, sf), "aqi", AQI_VARS, defects=True)
+    _, rej = hourly_from_landing(spark, path, "aqi")
+    return rej
+
+
+@register("src_payload_accepted", O.with_base(
+    "SELECT city, count(*) AS n_hours FROM hourly_aqi a JOIN dim_city d USING (city) "
+    "WHERE d.ix % 16 >= 6 GROUP BY city"))
+def q_src_accepted(spark, sf):
+    """S3: the cities with good payloads keep every hourly row."""
+    from airshed.schemas import AQI_VARS
+    from airshed.sources.payload import hourly_from_landing
+    path = _land(spark, hourly_aqi(spark, sf), "aqi", AQI_VARS, defects=True)
+    rows, _ = hourly_from_landing(spark, path, "aqi")
+    return rows.groupBy("city").agg(F.count(F.lit(1)).alias("n_hours"))
+
+
+@register("src_date_range", O.with_base(O.select_rounded(
+    ["time", "city", "pm10", "pm2_5"], "raw_aqi WHERE time >= TIMESTAMP '2024-02-01 00:00:00' "
+    "AND time < TIMESTAMP '2024-10-01 00:00:00'")))
+def q_src_dates(spark, sf):
+    """Inclusive date range [2024-02-01, 2024-09-30] on the hourly feed."""
+    import datetime as dt
+
+    from airshed.sources.payload import restrict_dates
+    h = restrict_dates(hourly_aqi(spark, sf), dt.date(2024, 2, 1), dt.date(2024, 9, 30))
+    return round_doubles(stages.gather_aqi(h))
+
+
+@register("src_city_semi", O.with_base(
+    "SELECT city, count(*) AS n_hours FROM hourly_weather "
+    "WHERE city IN (SELECT city FROM dim_city) GROUP BY city"))
+def q_src_semi(spark, sf):
+    """Only listed cities (left semi join to the dimension)."""
+    from airshed.sources.cities import select_cities
+    return (select_cities(hourly_weather(spark, sf), dim_city(spark))
+            .groupBy("city").agg(F.count(F.lit(1)).alias("n_hours")))
+
+
+@register("csv_roundtrip", O.with_base(O.select_rounded(MERGED_COLS, "merged")))
+def q_csv(spark, sf):
+    """Merged table -> CSV (header) -> read back with the schema."""
+    from airshed.schemas import MERGED
+    from airshed.session import scratch_path
+    from airshed.sources.files import read_csv, write_csv
+    path = scratch_path(spark, "csv-merged")
+    write_csv(merged(spark, sf), path)
+    return round_doubles(read_csv(spark, path, MERGED))
+
+
+@register("parse_time", O.with_base(
+    "SELECT time, city, time AS t_iso, time AS t_space, CAST(NULL AS TIMESTAMP) AS t_junk "
+    "FROM hourly_aqi"))
+def q_parse_time(spark, sf):
+    """ISO 'T' text and space text parse; junk becomes NULL (no failure)."""
+    from airshed.functions.calendar import parse_time
+    h = hourly_aqi(spark, sf).select("time", "city")
+    iso = F.date_format("time", "yyyy-MM-dd'T'HH:mm")
+    return h.select("time", "city",
+                    parse_time(iso).alias("t_iso"),
+                    parse_time(F.col("time").cast("string")).alias("t_space"),
+                    parse_time(F.concat(iso, F.lit("h"))).alias("t_junk"))
+
+
+_STAGES_SQL = O.with_base(
+    "SELECT 'hourly_aqi' AS stage, count(*) AS n_rows FROM hourly_aqi UNION ALL "
+    "SELECT 'hourly_weather', count(*) FROM hourly_weather UNION ALL "
+    "SELECT 'raw_aqi', count(*) FROM raw_aqi UNION ALL "
+    "SELECT 'raw_weather', count(*) FROM raw_weather UNION ALL "
+    "SELECT 'merged', count(*) FROM merged UNION ALL "
+    "SELECT 'engineered', count(*) FROM engineered")
+
+
+@register("stage_counts", _STAGES_SQL)
+def q_stage_counts(spark, sf):
+    """A3: rows per stage."""
+    from airshed.operators.merge import union_frames
+    frames = {
+        "hourly_aqi": hourly_aqi(spark, sf), "hourly_weather": hourly_weather(spark, sf),
+        "raw_aqi": raw_aqi(spark, sf), "raw_weather": raw_weather(spark, sf),
+        "merged": merged(spark, sf), "engineered": engineered(spark, sf),
+    }
+    return union_frames([d.agg(F.lit(k).alias("stage"), F.count(F.lit(1)).alias("n_rows"))
+                         for k, d in frames.items()])
+
+
+@register("union_cities", O.with_base(O.select_rounded(["time", "city", "pm10", "pm2_5"], "raw_aqi")))
+def q_union(spark, sf):
+    """Per-region 6-hour frames, union-all by name = the full table."""
+    from airshed.operators.merge import union_frames
+    from airshed.sources.cities import CITIES, select_cities
+    dim = dim_city(spark)
+    hourly = hourly_aqi(spark, sf)
+    regions = sorted({r for *_x, r in CITIES})
+    parts = [stages.gather_aqi(select_cities(hourly, dim.where(F.col("region") == r)))
+             for r in regions]
+    return round_doubles(union_frames(parts))

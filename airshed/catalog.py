@@ -507,3 +507,66 @@ def q_union(spark, sf):
     parts = [stages.gather_aqi(select_cities(hourly, dim.where(F.col("region") == r)))
              for r in regions]
     return round_doubles(union_frames(parts))
+
+
+# ---------------------------------------------------------------- M3, M5, M8, M9, T1, S13 (rows only)
+
+# Trees per boosted model in the registered checks (the job default is 900).
+CHECK_TREES = 5
+
+
+def _gbt_train(spark, sf, with_cv: bool = False):
+    from airshed.params import TrainParams
+    from airshed.plans.train import gbt_estimator, prepare
+    params = TrainParams()
+    indexer, split = prepare(engineered(spark, sf), params)
+    train_rows = split.where(~F.col("is_test")).drop("is_test")
+    test_rows = split.where(F.col("is_test")).drop("is_test")
+    fitted = gbt_estimator(params, CHECK_TREES).fit(train_rows)
+    from pyspark.ml import PipelineModel
+    model = PipelineModel(stages=[*indexer.stages, *fitted.stages])
+    return model, test_rows
+
+
+@register("gbt_fit_predict", None)
+def q_gbt(spark, sf):
+    """M3 / M5 / M9: boosted trees on the training rows, predictions for the
+    held-out rows (time, city, label, prediction)."""
+    model, test_rows = _gbt_train(spark, sf)
+    # the test rows already carry codes; the full model re-derives them
+    fm_cols = [c for c in test_rows.columns if not c.endswith("_code")]
+    return model.transform(test_rows.select(*fm_cols)).select("time", "city", "label", "prediction")
+
+
+@register("importance_topk", None)
+def q_importance(spark, sf):
+    """Feature importance, top 40 by importance."""
+    from airshed.plans.train import importance_table
+    model, _ = _gbt_train(spark, sf)
+    return importance_table(spark, model, 40)
+
+
+@register("model_save_load", None)
+def q_model_io(spark, sf):
+    """Save the fitted pipeline, load it back, predict with both."""
+    from pyspark.ml import PipelineModel
+
+    from airshed.session import scratch_path
+    model, test_rows = _gbt_train(spark, sf)
+    path = scratch_path(spark, "model")
+    model.write().overwrite().save(path)
+    loaded = PipelineModel.load(path)
+    fm_cols = [c for c in test_rows.columns if not c.endswith("_code")]
+    rows = test_rows.select(*fm_cols)
+    a = model.transform(rows).select("time", "city", F.col("prediction").alias("p_saved"))
+    b = loaded.transform(rows).select("time", "city", F.col("prediction").alias("p_loaded"))
+    return a.join(b, ["time", "city"]).withColumn(
+        "same", F.abs(F.col("p_saved") - F.col("p_loaded")) < F.lit(1e-9))
+
+
+@register("gbt_cross_validate", None)
+def q_gbt_cv(spark, sf):
+    """M4 with the boosted model: Fold, Train_R2, CV_R2, Gap (5 rows)."""
+    from airshed.plans.train import train
+    res = train(spark, engineered(spark, sf), "pm25_predictor", max_iter=CHECK_TREES)
+    return round_doubles(res.fold_results)

@@ -1,0 +1,67 @@
+"""Plan-shape tests: the physical plans we want at scale."""
+
+import datetime as dt
+
+from airshed import catalog
+from airshed.sources.adapter import hourly_aqi
+from airshed.sources.payload import restrict_dates
+from tests.conftest import SF001
+
+
+def plan_text(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def formatted(df) -> str:
+    return df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted") and \
+        df._jdf.queryExecution().explainString(
+            df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_merge_reuses_aggregate_partitioning(spark):
+    # Static plan (AQE off) so the exchange count is the planner's choice.
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = catalog.merged(spark, SF001)
+        text = plan_text(df)
+        # one hash exchange per feed aggregate; the join reuses them
+        assert text.count("Exchange hashpartitioning") == 2, text
+        assert "SortMergeJoin" in text
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_partial_aggregation_before_shuffle(spark):
+    text = plan_text(catalog.raw_aqi(spark, SF001))
+    assert "partial_avg" in text
+
+
+def test_feature_plan_has_no_python(spark):
+    df = catalog.features(spark, SF001)
+    df.collect()  # the adaptive plan is final once executed
+    text = formatted(df)
+    assert "isFinalPlan=true" in text
+    assert "PythonUDF" not in text and "BatchEvalPython" not in text and "ArrowEval" not in text
+    assert "codegen id" in text
+
+
+def test_scan_prunes_columns(spark):
+    text = formatted(catalog.raw_aqi(spark, SF001))
+    scan = [ln for ln in text.splitlines() if "ReadSchema" in ln]
+    assert scan and "l_extendedprice" not in scan[0] and "l_shipdate" not in scan[0]
+
+
+def test_date_filter_reaches_scan(spark, tmp_dir):
+    path = f"{tmp_dir}/hourly"
+    hourly_aqi(spark, SF001).write.parquet(path)
+    df = restrict_dates(spark.read.parquet(path), dt.date(2024, 2, 1), dt.date(2024, 3, 31))
+    text = formatted(df)
+    pushed = [ln for ln in text.splitlines() if "PushedFilters" in ln]
+    assert pushed and "GreaterThanOrEqual(time" in pushed[0] and "LessThan(time" in pushed[0]
+
+
+def test_dimension_joins_broadcast(spark):
+    text = plan_text(catalog.engineered(spark, SF001))
+    assert "BroadcastHashJoin" in text

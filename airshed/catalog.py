@@ -439,6 +439,16 @@ def q_src_dates(spark, sf):
     return round_doubles(stages.gather_aqi(h))
 
 
+@register("dim_city", O.with_base(
+    "SELECT d.city, d.lat, d.lon, d.region, count(*) AS n_hours "
+    "FROM hourly_aqi h JOIN dim_city d ON h.city = d.city GROUP BY d.city, d.lat, d.lon, d.region"))
+def q_dim_city(spark, sf):
+    """The city dimension (48 fixed rows, broadcast) against the feed."""
+    counts = hourly_aqi(spark, sf).groupBy("city").agg(F.count(F.lit(1)).alias("n_hours"))
+    return counts.join(F.broadcast(dim_city(spark)), "city").select(
+        "city", "lat", "lon", "region", "n_hours")
+
+
 @register("src_city_semi", O.with_base(
     "SELECT city, count(*) AS n_hours FROM hourly_weather "
     "WHERE city IN (SELECT city FROM dim_city) GROUP BY city"))

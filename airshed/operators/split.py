@@ -43,16 +43,17 @@ def global_rank(df: DataFrame, order_cols: list[str], name: str = "rn",
                 num_partitions: int | None = None) -> tuple[DataFrame, int]:
     """0-based position of every row in ``order_cols`` order, plus the row count.
 
-    Distributed: a range shuffle spreads the keys over ``num_partitions``
-    sorted partitions; a reliable checkpoint (to the shared checkpoint folder)
+    Distributed: a range shuffle spreads the keys over sorted partitions
+    (``num_partitions``, else the session's shuffle partition count, which AQE
+    may coalesce -- merged neighbours of a range partitioning stay in order); a reliable checkpoint (to the shared checkpoint folder)
     pins their content; one tiny aggregation counts rows per partition (one
     row per partition reaches the driver); each row's position is its
     partition's offset plus its index inside the partition.  No global window,
     no single-task step.  ``order_cols`` must make the order total (unique).
     """
-    spark = df.sparkSession
-    n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartitionByRange(n_parts, *order_cols).sortWithinPartitions(*order_cols)
+    ranged = (df.repartitionByRange(num_partitions, *order_cols) if num_partitions
+              else df.repartitionByRange(*order_cols))
+    ordered = ranged.sortWithinPartitions(*order_cols)
     pinned = ordered.checkpoint(eager=True)
     pid = F.spark_partition_id()
     counts = {r[0]: r[1] for r in pinned.groupBy(pid.alias("p")).count().collect()}

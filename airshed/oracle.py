@@ -19,7 +19,8 @@ _TIME = ("timestamp '2024-01-01 00:00:00' "
          "+ to_hours(cast(l_quantity as int) % 24)")
 
 _BASE = f"""
-dim_city AS (SELECT * FROM {dim_city_sql_values()}),
+dim_city AS (SELECT ix, city, cast(lat AS double) AS lat, cast(lon AS double) AS lon, region
+             FROM {dim_city_sql_values()}),
 li AS (SELECT *, l_partkey % 48 AS ix FROM lineitem),
 hourly_aqi AS (
   SELECT {_TIME} AS time, d.city,

@@ -102,10 +102,11 @@ def hourly_from_landing(spark: SparkSession, path: str, feed: str,
 def restrict_dates(df: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     """``start <= time < end + 1 day`` (inclusive dates; pushed to Parquet
     scans as a range filter)."""
-    lo = dt.datetime.combine(start, dt.time())
-    hi = dt.datetime.combine(end + dt.timedelta(days=1), dt.time())
-    return df.where((F.col("time") >= F.lit(lo).cast("timestamp_ntz"))
-                    & (F.col("time") < F.lit(hi).cast("timestamp_ntz")))
+    # text -> TIMESTAMP_NTZ is zone-free (a Python datetime literal would be
+    # a zoned timestamp and shift with the session time zone)
+    lo = F.lit(f"{start.isoformat()} 00:00:00").cast("timestamp_ntz")
+    hi = F.lit(f"{(end + dt.timedelta(days=1)).isoformat()} 00:00:00").cast("timestamp_ntz")
+    return df.where((F.col("time") >= lo) & (F.col("time") < hi))
 
 
 # ---------------------------------------------------------------- landing writer

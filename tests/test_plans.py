@@ -65,3 +65,21 @@ def test_date_filter_reaches_scan(spark, tmp_dir):
 def test_dimension_joins_broadcast(spark):
     text = plan_text(catalog.engineered(spark, SF001))
     assert "BroadcastHashJoin" in text
+
+
+def test_flagship_same_under_any_session_zone(spark):
+    import datetime as dt
+
+    from airshed.sources.payload import restrict_dates
+    old = spark.conf.get("spark.sql.session.timeZone")
+    results = []
+    try:
+        for zone in ("UTC", "Asia/Kolkata", "America/Los_Angeles"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            eng = sorted(tuple(r) for r in catalog.q_engineered(spark, SF001).collect())
+            dated = restrict_dates(hourly_aqi(spark, SF001), dt.date(2024, 2, 1), dt.date(2024, 2, 29))
+            results.append((eng, dated.count(), dated.agg({"time": "min"}).first()[0]))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert results[0] == results[1] == results[2]
+    assert results[0][2] >= dt.datetime(2024, 2, 1)

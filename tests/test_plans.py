@@ -83,3 +83,13 @@ def test_flagship_same_under_any_session_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", old)
     assert results[0] == results[1] == results[2]
     assert results[0][2] >= dt.datetime(2024, 2, 1)
+
+
+def test_cv_scoring_does_not_shuffle_scored_rows(spark):
+    df = catalog.q_cv_r2(spark, SF001)
+    df.collect()
+    text = formatted(df)
+    assert "isFinalPlan=true" in text
+    # group means are materialised and broadcast; scored rows never move
+    assert "SortMergeJoin" not in text
+    assert text.count("BroadcastHashJoin") >= 10  # one per scored set

@@ -11,7 +11,7 @@ def parse_time(c: Column | str) -> Column:
     ``yyyy-MM-dd HH:mm:ss``; anything unparsable becomes NULL (no job failure
     under ANSI mode)."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.try_cast(c, "timestamp_ntz") if hasattr(F, "try_cast") else c.try_cast("timestamp_ntz")
+    return c.try_cast("timestamp_ntz")
 
 
 def time_of_day(hour: Column) -> Column:

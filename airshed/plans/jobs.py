@@ -25,10 +25,9 @@ from airshed import schemas
 from airshed.params import MODEL_VARIANTS, GatherParams, TrainParams
 from airshed.plans import stages
 from airshed.session import build_session, ensure_checkpoint_dir
-from airshed.sources.cities import dim_city, select_cities
+from airshed.sources.cities import dim_city, listed_cities
 from airshed.sources.files import read_stage, write_stage
-from airshed.sources.payload import (FEEDS, classify, explode_hourly, read_payloads,
-                                     rejects, restrict_dates)
+from airshed.sources.payload import FEEDS, hourly_from_landing, read_payloads, restrict_dates
 
 log = logging.getLogger("airshed.jobs")
 
@@ -44,18 +43,15 @@ def observed_write(df: DataFrame, path: str, stage: str) -> int:
 def gather(spark: SparkSession, landing: str, warehouse: str, feed: str,
            gp: GatherParams = GatherParams()) -> int:
     """Landed payloads -> raw_<feed> (+ rejects_<feed>)."""
-    variables = FEEDS[feed]
-    payloads = read_payloads(spark, f"{landing}/feed={feed}", variables)
+    path = f"{landing}/feed={feed}"
+    # S6 first: a partition filter, unlisted cities' folders are never read
+    payloads = read_payloads(spark, path, FEEDS[feed]).where(listed_cities())
     # parsed once, scanned twice (reject set, then rows)
     payloads = payloads.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        rej = rejects(payloads, feed, variables)
-        observed_write(rej, f"{warehouse}/rejects_{feed}", f"rejects_{feed}")
-        rej = read_stage(spark, f"{warehouse}/rejects_{feed}", schemas.REJECTS)
-        good = classify(payloads, variables).where(F.col("_reason").isNull())
-        rows = explode_hourly(good, variables).join(rej.select("city"), "city", "left_anti")
+        rows, rej = hourly_from_landing(spark, path, feed, payloads=payloads)
+        write_stage(rej, f"{warehouse}/rejects_{feed}")
         rows = restrict_dates(rows, gp.start_date, gp.end_date)
-        rows = select_cities(rows, dim_city(spark))
         out = stages.gather_aqi(rows) if feed == "aqi" else stages.gather_weather(rows)
         return observed_write(out, f"{warehouse}/raw_{feed}", f"raw_{feed}")
     finally:

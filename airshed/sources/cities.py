@@ -86,3 +86,10 @@ def dim_city_sql_values() -> str:
 def select_cities(feed: DataFrame, dim: DataFrame) -> DataFrame:
     """Keep only rows of listed cities (left semi join; dimension is 48 rows)."""
     return feed.join(F.broadcast(dim.select("city")), "city", "left_semi")
+
+
+def listed_cities(col: str = "city"):
+    """S6 as a predicate on the fixed city list.  On a landing scan ``city`` is
+    a partition column, so this prunes unlisted cities' folders at listing
+    time (no file of theirs is opened)."""
+    return F.col(col).isin(*[c for c, *_rest in CITIES])

@@ -87,16 +87,36 @@ def explode_hourly(payloads: DataFrame, variables: list[str]) -> DataFrame:
     return nan_to_null(out, variables).where(F.col("time").isNotNull())
 
 
-def hourly_from_landing(spark: SparkSession, path: str, feed: str,
-                        multiline: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(hourly rows of accepted cities, reject table) for one feed."""
+# Above this many rejected cities the reject set is joined instead of listed.
+MAX_LISTED_REJECTS = 10_000
+
+
+def hourly_from_landing(spark: SparkSession, path: str, feed: str, multiline: bool = False,
+                        payloads: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(hourly rows of accepted cities, reject table) for one feed.
+
+    The reject table is computed eagerly (one pass over the payloads, one row
+    per rejected city).  Cities are partition folders, so the set is bounded
+    by the folder listing the driver already holds; it is collected (up to
+    ``MAX_LISTED_REJECTS``) and becomes a ``city`` partition filter: rejected
+    cities' files are not read again and the rows are never shuffled.  A
+    larger set falls back to a left-anti join.
+    """
     variables = FEEDS[feed]
-    payloads = read_payloads(spark, path, variables, multiline)
+    if payloads is None:
+        payloads = read_payloads(spark, path, variables, multiline)
     rej = rejects(payloads, feed, variables)
+    found = rej.limit(MAX_LISTED_REJECTS + 1).collect()
     good = classify(payloads, variables).where(F.col("_reason").isNull())
-    rows = explode_hourly(good, variables)
-    rows = rows.join(rej.select("city"), "city", "left_anti").select("time", "city", *variables)
-    return rows, rej
+    if len(found) <= MAX_LISTED_REJECTS:
+        bad = sorted({r["city"] for r in found if r["city"] is not None})
+        if bad:
+            good = good.where(~F.col("city").isin(*bad))
+        rej = spark.createDataFrame([tuple(r) for r in found], rej.schema)
+        rows = explode_hourly(good, variables)
+    else:
+        rows = explode_hourly(good, variables).join(rej.select("city"), "city", "left_anti")
+    return rows.select("time", "city", *variables), rej
 
 
 def restrict_dates(df: DataFrame, start: dt.date, end: dt.date) -> DataFrame:

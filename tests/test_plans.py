@@ -93,3 +93,26 @@ def test_cv_scoring_does_not_shuffle_scored_rows(spark):
     # group means are materialised and broadcast; scored rows never move
     assert "SortMergeJoin" not in text
     assert text.count("BroadcastHashJoin") >= 10  # one per scored set
+
+
+def test_rejected_and_unlisted_cities_are_partition_filters(spark, tmp_dir):
+    import json
+    import os
+
+    from airshed.sources.cities import listed_cities
+    from airshed.sources.payload import hourly_from_landing, read_payloads
+    good = json.dumps({"hourly": {"time": ["2024-01-01T00:00"], "pm10": [1.0], "pm2_5": [1.0]}})
+    for city, text in (("Delhi", good), ("Leh", '{"oops": 1}'), ("Atlantis", good)):
+        d = os.path.join(tmp_dir, "feed=aqi", f"city={city}")
+        os.makedirs(d)
+        with open(os.path.join(d, "p.json"), "w") as f:
+            f.write(text + "\n")
+    root = os.path.join(tmp_dir, "feed=aqi")
+    payloads = read_payloads(spark, root, ["pm10", "pm2_5"]).where(listed_cities())
+    rows, rej = hourly_from_landing(spark, root, "aqi", payloads=payloads)
+    assert [r.city for r in rows.collect()] == ["Delhi"]
+    assert [r.city for r in rej.collect()] == ["Leh"]
+    text = formatted(rows)
+    part = [ln for ln in text.splitlines() if "PartitionFilters" in ln]
+    assert part and "Leh" in part[0] and "Delhi" in part[0]  # NOT IN rejects, IN listed
+    assert "Exchange" not in text and "Join" not in text

@@ -26,23 +26,39 @@ from airshed.params import MODEL_VARIANTS, GatherParams, TrainParams
 from airshed.plans import stages
 from airshed.session import build_session, ensure_checkpoint_dir
 from airshed.sources.cities import dim_city, listed_cities
-from airshed.sources.files import read_stage, write_stage
+from airshed.sources.files import read_stage, write_bucketed, write_stage
 from airshed.sources.payload import FEEDS, hourly_from_landing, read_payloads, restrict_dates
 
 log = logging.getLogger("airshed.jobs")
 
 
-def observed_write(df: DataFrame, path: str, stage: str) -> int:
+KEYS = ["city", "time"]
+
+
+def table_name(stage: str) -> str:
+    return f"airshed_{stage}"
+
+
+def observed_write(df: DataFrame, path: str, stage: str, buckets: int | None = None) -> int:
+    """Write a stage (Parquet, or bucketed on (city, time)) and return its
+    row count, taken by ``observe`` during the write itself."""
     obs = Observation(stage)
-    write_stage(df.observe(obs, F.count(F.lit(1)).alias("rows")), path)
+    df = df.observe(obs, F.count(F.lit(1)).alias("rows"))
+    if buckets:
+        write_bucketed(df, table_name(stage), path, KEYS, buckets)
+    else:
+        write_stage(df, path)
     n = int(obs.get.get("rows", 0))
     log.info("stage %s: %d rows -> %s", stage, n, path)
     return n
 
 
 def gather(spark: SparkSession, landing: str, warehouse: str, feed: str,
-           gp: GatherParams = GatherParams()) -> int:
-    """Landed payloads -> raw_<feed> (+ rejects_<feed>)."""
+           gp: GatherParams = GatherParams(), buckets: int | None = None) -> int:
+    """Landed payloads -> raw_<feed> (+ rejects_<feed>).
+
+    With ``buckets``, raw_<feed> is a bucketed table on (city, time) so that
+    :func:`merge` joins the two feeds without any exchange."""
     path = f"{landing}/feed={feed}"
     # S6 first: a partition filter, unlisted cities' folders are never read
     payloads = read_payloads(spark, path, FEEDS[feed]).where(listed_cities())
@@ -53,15 +69,18 @@ def gather(spark: SparkSession, landing: str, warehouse: str, feed: str,
         write_stage(rej, f"{warehouse}/rejects_{feed}")
         rows = restrict_dates(rows, gp.start_date, gp.end_date)
         out = stages.gather_aqi(rows) if feed == "aqi" else stages.gather_weather(rows)
-        return observed_write(out, f"{warehouse}/raw_{feed}", f"raw_{feed}")
+        return observed_write(out, f"{warehouse}/raw_{feed}", f"raw_{feed}", buckets)
     finally:
         payloads.unpersist()
 
 
-def merge(spark: SparkSession, warehouse: str) -> int:
-    """raw_aqi x raw_weather -> merged."""
-    aqi = read_stage(spark, f"{warehouse}/raw_aqi", schemas.RAW_AQI)
-    weather = read_stage(spark, f"{warehouse}/raw_weather", schemas.RAW_WEATHER)
+def merge(spark: SparkSession, warehouse: str, bucketed: bool = False) -> int:
+    """raw_aqi x raw_weather -> merged (from bucketed tables: no exchange)."""
+    if bucketed:
+        aqi, weather = spark.table(table_name("raw_aqi")), spark.table(table_name("raw_weather"))
+    else:
+        aqi = read_stage(spark, f"{warehouse}/raw_aqi", schemas.RAW_AQI)
+        weather = read_stage(spark, f"{warehouse}/raw_weather", schemas.RAW_WEATHER)
     return observed_write(stages.merge(aqi, weather), f"{warehouse}/merged", "merged")
 
 
@@ -91,10 +110,10 @@ def train(spark: SparkSession, warehouse: str, name: str, trees: int | None = No
 
 
 def run_all(spark: SparkSession, landing: str, warehouse: str, trees: int | None = None,
-            models: list[str] | None = None) -> None:
+            models: list[str] | None = None, buckets: int | None = None) -> None:
     for feed in FEEDS:
-        gather(spark, landing, warehouse, feed)
-    merge(spark, warehouse)
+        gather(spark, landing, warehouse, feed, buckets=buckets)
+    merge(spark, warehouse, bucketed=bool(buckets))
     engineer(spark, warehouse)
     for name in models or list(MODEL_VARIANTS):
         train(spark, warehouse, name, trees)
@@ -109,21 +128,23 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--model", choices=list(MODEL_VARIANTS), default="pm25_predictor")
     ap.add_argument("--trees", type=int, default=None)
     ap.add_argument("--master", default=None)
+    ap.add_argument("--buckets", type=int, default=None,
+                    help="bucket raw tables on (city, time) so the merge needs no shuffle")
     a = ap.parse_args(argv)
     logging.basicConfig(level=logging.INFO)
     spark = build_session(a.master)
     ensure_checkpoint_dir(spark)
     if a.stage == "gather":
         for feed in [a.feed] if a.feed else list(FEEDS):
-            gather(spark, a.landing, a.warehouse, feed)
+            gather(spark, a.landing, a.warehouse, feed, buckets=a.buckets)
     elif a.stage == "merge":
-        merge(spark, a.warehouse)
+        merge(spark, a.warehouse, bucketed=bool(a.buckets))
     elif a.stage == "engineer":
         engineer(spark, a.warehouse)
     elif a.stage == "train":
         print(train(spark, a.warehouse, a.model, a.trees))
     else:
-        run_all(spark, a.landing, a.warehouse, a.trees)
+        run_all(spark, a.landing, a.warehouse, a.trees, buckets=a.buckets)
 
 
 if __name__ == "__main__":

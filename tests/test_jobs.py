@@ -53,3 +53,20 @@ def test_train_writes_model_and_metrics(spark, warehouse):
     model = PipelineModel.load(f"{wh}/models/model=pm10_forecaster/pipeline")
     fm = catalog.build_features(spark.read.parquet(f"{wh}/engineered"), target="pm10")
     assert model.transform(fm).where(F.col("prediction").isNull()).count() == 0
+
+
+def test_bucketed_hand_off_merges_without_exchange(spark, warehouse):
+    import tempfile
+    wh, (_, _, n_merged, _) = warehouse
+    landing = wh.replace("/warehouse", "/landing")
+    wh2 = tempfile.mkdtemp(prefix="airshed-bucketed-")
+    jobs.gather(spark, landing, wh2, "aqi", buckets=4)
+    jobs.gather(spark, landing, wh2, "weather", buckets=4)
+    aqi, weather = spark.table(jobs.table_name("raw_aqi")), spark.table(jobs.table_name("raw_weather"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+    try:
+        plan = catalog.stages.merge(aqi, weather)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    assert jobs.merge(spark, wh2, bucketed=True) == n_merged

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from airshed import oracle as O
 from airshed.compare import round_doubles
 from airshed.functions.model_features import build_features, day_ordinal
+from airshed.operators.crossval import SUMMARY_COLS
 from airshed.operators.region import cities_without_region
 from airshed.operators.resample import resample
 from airshed.plans import stages
@@ -314,8 +315,7 @@ def q_fold_results(spark, sf):
     return round_doubles(_cv_group_mean(spark, sf).fold_results)
 
 
-_SUMMARY = ["mean_train_r2", "mean_cv_r2", "generalization_gap", "std_train_r2",
-            "std_cv_r2", "best_fold_r2", "worst_fold_r2", "best_train_r2", "worst_train_r2"]
+_SUMMARY = SUMMARY_COLS
 
 
 @register("cv_summary", O.with_cv(

@@ -268,6 +268,16 @@ def q_folds(spark, sf):
     return assign_folds(s.where(~F.col("is_test")).drop("is_test"), 5, 42)
 
 
+@register("kfold_assign_hash", O.with_cv(
+    "SELECT time, city, cast(cast(('0x' || substr(hcv, 1, 8)) AS BIGINT) % 5 + 1 AS integer) AS fold "
+    "FROM split WHERE NOT is_test"))
+def q_folds_hash(spark, sf):
+    """M2 hash mode: fold = md5 prefix modulo 5 (no sort, sizes ~n/5)."""
+    from airshed.operators.split import assign_folds, split_exact
+    s = split_exact(features(spark, sf).select("time", "city"), 0.2, 42)
+    return assign_folds(s.where(~F.col("is_test")).drop("is_test"), 5, 42, exact=False)
+
+
 _CODE_SQL = O.with_base(
     "SELECT time, city, "
     + ", ".join(f"cast(dense_rank() OVER (ORDER BY {c}) - 1 AS integer) AS {c}_code"

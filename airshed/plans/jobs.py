@@ -145,6 +145,7 @@ def main(argv: list[str] | None = None) -> None:
         print(train(spark, a.warehouse, a.model, a.trees))
     else:
         run_all(spark, a.landing, a.warehouse, a.trees, buckets=a.buckets)
+    spark.stop()
 
 
 if __name__ == "__main__":

@@ -4,7 +4,11 @@
     python -m airshed.plans.jobs merge    --warehouse W
     python -m airshed.plans.jobs engineer --warehouse W
     python -m airshed.plans.jobs train    --warehouse W --model pm25_predictor [--trees N]
-    python -m airshed.plans.jobs all      --landing L --warehouse W
+    python -m airshed.plans.jobs all      --landing L --warehouse W [--buckets N]
+    python -m airshed.plans.jobs export   --warehouse W --out O      (stage tables as CSV)
+
+``--input-format csv`` reads the stage inputs of merge / engineer / train as
+header CSV files (the text hand-off of the original job).
 
 Stages hand off as Parquet under the warehouse folder; every write overwrites
 its own folder, so a re-run after a failure is idempotent.  Row counts per
@@ -26,11 +30,16 @@ from airshed.params import MODEL_VARIANTS, GatherParams, TrainParams
 from airshed.plans import stages
 from airshed.session import build_session, ensure_checkpoint_dir
 from airshed.sources.cities import dim_city, listed_cities
-from airshed.sources.files import read_stage, write_bucketed, write_stage
+from airshed.sources.files import read_csv, read_stage, write_bucketed, write_csv, write_stage
 from airshed.sources.payload import FEEDS, hourly_from_landing, read_payloads, restrict_dates
 
 log = logging.getLogger("airshed.jobs")
 
+STAGE_SCHEMAS = {
+    "raw_aqi": schemas.RAW_AQI, "raw_weather": schemas.RAW_WEATHER,
+    "merged": schemas.MERGED, "engineered": schemas.ENGINEERED,
+}
+
 
 KEYS = ["city", "time"]
 
@@ -53,6 +62,21 @@ def observed_write(df: DataFrame, path: str, stage: str, buckets: int | None = N
     return n
 
 
+def read_input(spark: SparkSession, warehouse: str, stage: str, fmt: str = "parquet") -> DataFrame:
+    """A stage table by name: Parquet (the hand-off) or header CSV (S7), the
+    text files the original job exchanged between its stages."""
+    schema = STAGE_SCHEMAS[stage]
+    path = f"{warehouse}/{stage}"
+    return read_csv(spark, path, schema) if fmt == "csv" else read_stage(spark, path, schema)
+
+
+def export_csv(spark: SparkSession, warehouse: str, out: str,
+               stages_: tuple[str, ...] = ("raw_aqi", "raw_weather", "merged", "engineered")) -> None:
+    """Every stage table as header CSV under ``out/<stage>``."""
+    for stage in stages_:
+        write_csv(read_input(spark, warehouse, stage), f"{out}/{stage}")
+
+
 def gather(spark: SparkSession, landing: str, warehouse: str, feed: str,
            gp: GatherParams = GatherParams(), buckets: int | None = None) -> int:
     """Landed payloads -> raw_<feed> (+ rejects_<feed>).
@@ -74,30 +98,30 @@ def gather(spark: SparkSession, landing: str, warehouse: str, feed: str,
         payloads.unpersist()
 
 
-def merge(spark: SparkSession, warehouse: str, bucketed: bool = False) -> int:
+def merge(spark: SparkSession, warehouse: str, bucketed: bool = False, fmt: str = "parquet") -> int:
     """raw_aqi x raw_weather -> merged (from bucketed tables: no exchange)."""
     if bucketed:
         aqi, weather = spark.table(table_name("raw_aqi")), spark.table(table_name("raw_weather"))
     else:
-        aqi = read_stage(spark, f"{warehouse}/raw_aqi", schemas.RAW_AQI)
-        weather = read_stage(spark, f"{warehouse}/raw_weather", schemas.RAW_WEATHER)
+        aqi = read_input(spark, warehouse, "raw_aqi", fmt)
+        weather = read_input(spark, warehouse, "raw_weather", fmt)
     return observed_write(stages.merge(aqi, weather), f"{warehouse}/merged", "merged")
 
 
-def engineer(spark: SparkSession, warehouse: str) -> int:
+def engineer(spark: SparkSession, warehouse: str, fmt: str = "parquet") -> int:
     """Merged -> engineered."""
-    merged = read_stage(spark, f"{warehouse}/merged", schemas.MERGED)
+    merged = read_input(spark, warehouse, "merged", fmt)
     out = stages.engineer(merged, dim_city(spark))
     return observed_write(out, f"{warehouse}/engineered", "engineered")
 
 
 def train(spark: SparkSession, warehouse: str, name: str, trees: int | None = None,
-          params: TrainParams | None = None) -> dict:
+          params: TrainParams | None = None, fmt: str = "parquet") -> dict:
     """Engineered -> model, fold results, metrics, params."""
     from airshed.plans.train import params_table
     from airshed.plans.train import train as fit
     params = params or dataclasses.replace(TrainParams(), target=MODEL_VARIANTS.get(name, "pm2_5"))
-    eng = read_stage(spark, f"{warehouse}/engineered", schemas.ENGINEERED)
+    eng = read_input(spark, warehouse, "engineered", fmt)
     res = fit(spark, eng, name, params, max_iter=trees)
     base = f"{warehouse}/models/model={name}"
     res.model.write().overwrite().save(f"{base}/pipeline")
@@ -121,7 +145,10 @@ def run_all(spark: SparkSession, landing: str, warehouse: str, trees: int | None
 
 def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(prog="airshed.plans.jobs")
-    ap.add_argument("stage", choices=["gather", "merge", "engineer", "train", "all"])
+    ap.add_argument("stage", choices=["gather", "merge", "engineer", "train", "all", "export"])
+    ap.add_argument("--input-format", choices=["parquet", "csv"], default="parquet",
+                    help="format of the stage tables read from the warehouse")
+    ap.add_argument("--out", help="export: folder for the CSV copies")
     ap.add_argument("--landing")
     ap.add_argument("--warehouse", required=True)
     ap.add_argument("--feed", choices=list(FEEDS))
@@ -132,20 +159,25 @@ def main(argv: list[str] | None = None) -> None:
                     help="bucket raw tables on (city, time) so the merge needs no shuffle")
     a = ap.parse_args(argv)
     logging.basicConfig(level=logging.INFO)
+    owned = SparkSession.getActiveSession() is None
     spark = build_session(a.master)
     ensure_checkpoint_dir(spark)
+    fmt = a.input_format
     if a.stage == "gather":
         for feed in [a.feed] if a.feed else list(FEEDS):
             gather(spark, a.landing, a.warehouse, feed, buckets=a.buckets)
     elif a.stage == "merge":
-        merge(spark, a.warehouse, bucketed=bool(a.buckets))
+        merge(spark, a.warehouse, bucketed=bool(a.buckets), fmt=fmt)
     elif a.stage == "engineer":
-        engineer(spark, a.warehouse)
+        engineer(spark, a.warehouse, fmt=fmt)
     elif a.stage == "train":
-        print(train(spark, a.warehouse, a.model, a.trees))
+        print(train(spark, a.warehouse, a.model, a.trees, fmt=fmt))
+    elif a.stage == "export":
+        export_csv(spark, a.warehouse, a.out)
     else:
         run_all(spark, a.landing, a.warehouse, a.trees, buckets=a.buckets)
-    spark.stop()
+    if owned:
+        spark.stop()
 
 
 if __name__ == "__main__":

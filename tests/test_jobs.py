@@ -70,3 +70,18 @@ def test_bucketed_hand_off_merges_without_exchange(spark, warehouse):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "Exchange" not in plan and "SortMergeJoin" in plan
     assert jobs.merge(spark, wh2, bucketed=True) == n_merged
+
+
+def test_csv_export_and_csv_inputs(spark, warehouse):
+    import tempfile
+    wh, (_, _, n_merged, n_eng) = warehouse
+    # CSV-only folders (as the original job leaves behind) feed the next stages
+    out1 = tempfile.mkdtemp(prefix="airshed-export-")
+    jobs.main(["export", "--warehouse", wh, "--out", out1])
+    assert jobs.merge(spark, out1, fmt="csv") == n_merged  # raw CSV -> merged
+    out2 = tempfile.mkdtemp(prefix="airshed-export-")
+    jobs.export_csv(spark, wh, out2)
+    assert jobs.engineer(spark, out2, fmt="csv") == n_eng  # merged CSV -> engineered
+    a = spark.read.parquet(f"{wh}/engineered")
+    b = spark.read.parquet(f"{out2}/engineered")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0

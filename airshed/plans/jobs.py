@@ -78,14 +78,15 @@ def export_csv(spark: SparkSession, warehouse: str, out: str,
 
 
 def gather(spark: SparkSession, landing: str, warehouse: str, feed: str,
-           gp: GatherParams = GatherParams(), buckets: int | None = None) -> int:
+           gp: GatherParams = GatherParams(), buckets: int | None = None,
+           multiline: bool = False) -> int:
     """Landed payloads -> raw_<feed> (+ rejects_<feed>).
 
     With ``buckets``, raw_<feed> is a bucketed table on (city, time) so that
     :func:`merge` joins the two feeds without any exchange."""
     path = f"{landing}/feed={feed}"
     # S6 first: a partition filter, unlisted cities' folders are never read
-    payloads = read_payloads(spark, path, FEEDS[feed]).where(listed_cities())
+    payloads = read_payloads(spark, path, FEEDS[feed], multiline).where(listed_cities())
     # parsed once, scanned twice (reject set, then rows)
     payloads = payloads.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -149,6 +150,8 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--input-format", choices=["parquet", "csv"], default="parquet",
                     help="format of the stage tables read from the warehouse")
     ap.add_argument("--out", help="export: folder for the CSV copies")
+    ap.add_argument("--multiline", action="store_true",
+                    help="landed files hold one pretty-printed payload each")
     ap.add_argument("--landing")
     ap.add_argument("--warehouse", required=True)
     ap.add_argument("--feed", choices=list(FEEDS))
@@ -165,7 +168,7 @@ def main(argv: list[str] | None = None) -> None:
     fmt = a.input_format
     if a.stage == "gather":
         for feed in [a.feed] if a.feed else list(FEEDS):
-            gather(spark, a.landing, a.warehouse, feed, buckets=a.buckets)
+            gather(spark, a.landing, a.warehouse, feed, buckets=a.buckets, multiline=a.multiline)
     elif a.stage == "merge":
         merge(spark, a.warehouse, bucketed=bool(a.buckets), fmt=fmt)
     elif a.stage == "engineer":

@@ -76,3 +76,18 @@ def test_missing_input_raises(spark, tmp_dir):
     from airshed.sources.files import read_stage
     with pytest.raises(AnalysisException):
         read_stage(spark, os.path.join(tmp_dir, "nope")).count()
+
+
+def test_multiline_payload_files(spark, tmp_dir):
+    from airshed.sources.payload import read_payloads
+    root = os.path.join(tmp_dir, "feed=aqi")
+    for city in ("Delhi", "Pune"):
+        d = os.path.join(root, f"city={city}")
+        os.makedirs(d)
+        with open(os.path.join(d, "payload.json"), "w") as f:
+            json.dump(GOOD, f, indent=2)  # one pretty-printed object per file
+    payloads = read_payloads(spark, root, ["pm10", "pm2_5"], multiline=True)
+    rows, rej = hourly_from_landing(spark, root, "aqi", payloads=payloads)
+    assert rej.count() == 0
+    assert sorted((r.city, r.time.hour) for r in rows.collect()) == \
+        [("Delhi", 0), ("Delhi", 1), ("Delhi", 7), ("Pune", 0), ("Pune", 1), ("Pune", 7)]

@@ -340,7 +340,8 @@ _METRICS_SQL = O.with_cv(
     + " UNION ALL ".join(f"SELECT '{c}' AS metric, {c} AS value FROM summary" for c in _SUMMARY)
     + " UNION ALL SELECT 'fold_' || Fold || '_train_r2', Train_R2 FROM fold_tbl"
     + " UNION ALL SELECT 'fold_' || Fold || '_cv_r2', CV_R2 FROM fold_tbl"
-    + " UNION ALL SELECT 'fold_' || Fold || '_gap', Gap FROM fold_tbl) m")
+    + " UNION ALL SELECT 'fold_' || Fold || '_gap', Gap FROM fold_tbl"
+    + " UNION ALL SELECT 'test_r2', value FROM test_r2) m")
 
 
 @register("metrics_long", _METRICS_SQL)

@@ -176,6 +176,14 @@ fold_tbl AS (
          max(CASE WHEN part = 'cv' THEN r2 END) AS CV_R2,
          max(CASE WHEN part = 'train' THEN r2 END) - max(CASE WHEN part = 'cv' THEN r2 END) AS Gap
   FROM r2 GROUP BY fold),
+test_scored AS (
+  SELECT s.label, a.s / nullif(a.c, 0) AS pred
+  FROM split s LEFT JOIN city_all a ON s.city = a.city WHERE s.is_test),
+test_r2 AS (
+  SELECT CASE WHEN var_pop(label) * count(label) = 0
+              THEN CASE WHEN sum((label - pred) * (label - pred)) = 0 THEN 1.0e0 ELSE 0.0e0 END
+              ELSE 1.0e0 - sum((label - pred) * (label - pred)) / (var_pop(label) * count(label)) END AS value
+  FROM test_scored),
 summary AS (
   SELECT avg(Train_R2) AS mean_train_r2, avg(CV_R2) AS mean_cv_r2,
          avg(Train_R2) - avg(CV_R2) AS generalization_gap,

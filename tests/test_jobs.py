@@ -43,7 +43,7 @@ def test_stage_counts(spark, warehouse):
 def test_train_writes_model_and_metrics(spark, warehouse):
     wh, _ = warehouse
     metrics = jobs.train(spark, wh, "pm10_forecaster", trees=2)
-    assert len(metrics) == 24
+    assert len(metrics) == 25 and "test_r2" in metrics
     assert {"mean_train_r2", "mean_cv_r2", "generalization_gap", "fold_5_gap"} <= set(metrics)
     folds = spark.read.parquet(f"{wh}/fold_results/model=pm10_forecaster")
     assert folds.columns == ["Fold", "Train_R2", "CV_R2", "Gap"] and folds.count() == 5

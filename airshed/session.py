@@ -35,6 +35,8 @@ def build_session(master: str | None = None, app: str = "airshed",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # compact serialisation for cached / checkpointed RDDs (MLlib trees, ranks)
+        "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
         # remove checkpoint files once the checkpointed data is unreachable
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }

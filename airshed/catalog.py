@@ -532,14 +532,20 @@ def q_stage_counts(spark, sf):
 
 @register("union_cities", O.with_base(O.select_rounded(["time", "city", "pm10", "pm2_5"], "raw_aqi")))
 def q_union(spark, sf):
-    """Per-region 6-hour frames, union-all by name = the full table."""
+    """Per-region 6-hour frames read from the city-partitioned landing
+    zone (each branch prunes to its own city folders, so every file is read
+    once overall), union-all by name = the full table."""
     from airshed.operators.merge import union_frames
-    from airshed.sources.cities import CITIES, select_cities
-    dim = dim_city(spark)
-    hourly = hourly_aqi(spark, sf)
-    regions = sorted({r for *_x, r in CITIES})
-    parts = [stages.gather_aqi(select_cities(hourly, dim.where(F.col("region") == r)))
-             for r in regions]
+    from airshed.schemas import AQI_VARS
+    from airshed.sources.cities import CITIES
+    from airshed.sources.payload import hourly_from_landing
+    path = _land(spark, hourly_aqi(spark, sf), "aqi", AQI_VARS)
+    regions: dict[str, list[str]] = {}
+    for city, _lat, _lon, region in CITIES:
+        regions.setdefault(region, []).append(city)
+    rows, _ = hourly_from_landing(spark, path, "aqi")  # one reject pass
+    # ``city`` is a partition column: each branch's filter prunes folders
+    parts = [stages.gather_aqi(rows.where(F.col("city").isin(*regions[r]))) for r in sorted(regions)]
     return round_doubles(union_frames(parts))
 
 

@@ -60,3 +60,22 @@ def test_query_matches_oracle(spark, duck, name):
     assert sorted(df.columns) == sorted(ocols)
     assert len(rows) == len(orows)
     assert _digest(df.columns, rows) == _digest(ocols, orows)
+
+
+def test_golden_numbers_sf001(spark):
+    """Figures recorded in FIXTURES.md for sf0.01 (independent of the oracle)."""
+    from pyspark.sql import functions as F
+
+    from airshed import catalog
+    sf = "/root/testdata/sf0.01"
+    verdicts = {r.weather_verdict: r.n for r in E.queries()["weather_verdict"](spark, sf).collect()}
+    assert verdicts == {"Cold & Stagnant": 990, "Hot & Dry": 366, "Hot & Humid": 1240,
+                        "Pleasant / Normal": 4783, "Rainy / Washed": 1589, "Windy & Clear": 1483}
+    m = catalog.merged(spark, sf).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("pm2_5"), 4).alias("pm"),
+        F.round(F.sum("wind_direction_10m"), 4).alias("wd"),
+        F.round(F.sum("precipitation"), 4).alias("p")).first()
+    assert (m.n, m.pm, m.wd, m.p) == (10451, 584818.1225, 1864195.6813, 10700.0)
+    hours = {r.hour: r.n for r in E.queries()["time_of_day"](spark, sf).collect()}
+    assert hours == {0: 2677, 6: 2600, 12: 2592, 18: 2582}
+    assert E.queries()["train_test_split_hash"](spark, sf).where("is_test").count() == 2169

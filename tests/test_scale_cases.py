@@ -58,3 +58,15 @@ def test_gbt_learns_signal(spark):
     imp = catalog.QUERIES["importance_topk"](spark, SF001).collect()
     assert len(imp) == 22 and abs(sum(r.importance for r in imp) - 1.0) < 1e-6
     assert os.path.isdir(spark.sparkContext.getCheckpointDir().replace("file:", ""))
+
+
+def test_categorical_metadata_reaches_trees(spark):
+    from airshed.params import TrainParams
+    from airshed.plans.train import assembler, prepare
+    _, coded = prepare(catalog.engineered(spark, SF001), TrainParams())
+    assembled = assembler().transform(coded)
+    attrs = assembled.schema["features"].metadata["ml_attr"]["attrs"]
+    nominal = {a["name"]: len(a.get("vals", [])) for a in attrs.get("nominal", [])}
+    assert set(nominal) == {"city_code", "weather_verdict_code", "time_of_day_code",
+                            "season_region_code", "season_city_code"}
+    assert max(nominal.values()) + 1 <= TrainParams().max_bins  # arity fits the bins

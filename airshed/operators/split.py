@@ -49,7 +49,8 @@ def global_rank(df: DataFrame, order_cols: list[str], name: str = "rn",
     pins their content; one tiny aggregation counts rows per partition (one
     row per partition reaches the driver); each row's position is its
     partition's offset plus its index inside the partition.  No global window,
-    no single-task step.  ``order_cols`` must make the order total (unique).
+    no single-task step.  ``order_cols`` should make the order total (add a
+    per-row tiebreaker when keys repeat, see :func:`_rank_by_hash`).
     """
     ranged = (df.repartitionByRange(num_partitions, *order_cols) if num_partitions
               else df.repartitionByRange(*order_cols))
@@ -86,11 +87,21 @@ def n_test_rows(n: int, test_size: float) -> int:
     return int(math.ceil(test_size * n))
 
 
+def _rank_by_hash(df: DataFrame, h: Column) -> tuple[DataFrame, int]:
+    """Rank rows by (hash, city, time).  A last per-row tiebreaker makes the
+    order total even when many rows are copies of one key: a hot group of
+    copies is spread over the range partitions instead of landing in one.
+    For unique keys (the job's grain) it never decides anything, so the
+    result stays layout-independent."""
+    keyed = df.withColumn("_h", h).withColumn("_tb", F.monotonically_increasing_id())
+    ranked, n = global_rank(keyed, ["_h", *KEY, "_tb"], "_rn")
+    return ranked.drop("_tb"), n
+
+
 def split_exact(df: DataFrame, test_size: float = 0.2, seed: int = 42,
                 flag: str = "is_test") -> DataFrame:
     """M1, exact mode: exactly ``ceil(test_size * n)`` test rows."""
-    keyed = df.withColumn("_h", key_hash(seed))
-    ranked, n = global_rank(keyed, ["_h", *KEY], "_rn")
+    ranked, n = _rank_by_hash(df, key_hash(seed))
     k = n_test_rows(n, test_size)
     return ranked.withColumn(flag, F.col("_rn") < F.lit(k)).drop("_h", "_rn")
 
@@ -114,5 +125,5 @@ def assign_folds(df: DataFrame, n_folds: int = 5, seed: int = 42,
     if not exact:
         v = F.conv(F.substring(h, 1, 8), 16, 10).cast("long")
         return df.withColumn(fold_col, (F.pmod(v, F.lit(n_folds)) + 1).cast("int"))
-    ranked, n = global_rank(df.withColumn("_h", h), ["_h", *KEY], "_rn")
+    ranked, n = _rank_by_hash(df, h)
     return ranked.withColumn(fold_col, ntile_of(F.col("_rn"), n, n_folds)).drop("_h", "_rn")

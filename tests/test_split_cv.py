@@ -95,3 +95,26 @@ def test_variants_only_differ_by_name_and_target(name, target):
     from airshed.params import MODEL_VARIANTS
     assert MODEL_VARIANTS[name] == target
     assert set(MODEL_VARIANTS) == {"pm25_predictor", "pm10_predictor", "pm25_forecaster", "pm10_forecaster"}
+
+
+def test_hot_copies_spread_over_range_partitions(spark):
+    """A third of the rows are copies of one key: exact sizes still hold and
+    no range partition holds the whole hot group."""
+    base = dt.datetime(2024, 1, 1)
+    rows = [(base, "HOT", 1.0)] * 300 + [(base + dt.timedelta(hours=i), "C", 1.0) for i in range(600)]
+    df = spark.createDataFrame(rows, "time timestamp_ntz, city string, label double").repartition(6)
+    out = split_exact(df, 0.2, 42)
+    assert out.where("is_test").count() == 180
+    from airshed.operators.split import _rank_by_hash, key_hash
+    # keep the 8 range partitions (AQE would merge such tiny ones into one)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranked, n = _rank_by_hash(df, key_hash(42))
+        sizes = [r["count"] for r in ranked.groupBy(F.spark_partition_id()).count().collect()]
+        hot_parts = ranked.where("city = 'HOT'").select(F.spark_partition_id()).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert n == 900 and sum(sizes) == 900
+    assert hot_parts > 1 and max(sizes) < 300
+    folds = [r["count"] for r in assign_folds(df, 5, 42).groupBy("fold").count().collect()]
+    assert sorted(folds) == [180] * 5

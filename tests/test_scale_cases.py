@@ -70,3 +70,51 @@ def test_categorical_metadata_reaches_trees(spark):
     assert set(nominal) == {"city_code", "weather_verdict_code", "time_of_day_code",
                             "season_region_code", "season_city_code"}
     assert max(nominal.values()) + 1 <= TrainParams().max_bins  # arity fits the bins
+
+
+def _verdict_spec(rain, wind, temp, hum):
+    """SURVEY F6 in plain Python; a missing value makes its comparison false."""
+    def gt(a, b):
+        return a is not None and a > b
+
+    def lt(a, b):
+        return a is not None and a < b
+    if gt(rain, 2.0):
+        return "Rainy / Washed"
+    if gt(wind, 15.0):
+        return "Windy & Clear"
+    if lt(temp, 18.0) and lt(wind, 5.0):
+        return "Cold & Stagnant"
+    if gt(temp, 35.0) and lt(hum, 40.0):
+        return "Hot & Dry"
+    if gt(temp, 28.0) and gt(hum, 70.0):
+        return "Hot & Humid"
+    return "Pleasant / Normal"
+
+
+_maybe = st.one_of(st.none(), st.sampled_from([0.0, 2.0, 5.0, 15.0, 18.0, 28.0, 35.0, 40.0, 70.0]),
+                   st.floats(-10, 100, allow_nan=False))
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(_maybe, _maybe, _maybe, _maybe), min_size=1, max_size=60))
+def test_weather_verdict_matches_spec(spark, rows):
+    from airshed.functions.weather import weather_verdict
+    df = spark.createDataFrame(rows, "r double, w double, t double, h double")
+    got = [x.v for x in df.select(weather_verdict(F.col("t"), F.col("h"), F.col("w"), F.col("r")).alias("v")).collect()]
+    assert got == [_verdict_spec(*row) for row in rows]
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.floats(0, 360, allow_nan=False), min_size=1, max_size=50))
+def test_wind_direction_unit_circle(spark, degrees):
+    import math
+
+    from airshed.functions.model_features import build_features
+    from tests.test_features import _engineered_row
+    df = None
+    for d in degrees:
+        one = _engineered_row(spark, wind_direction_10m=d)
+        df = one if df is None else df.unionByName(one)
+    for r in build_features(df).collect():
+        assert math.isclose(r.wind_dir_sin ** 2 + r.wind_dir_cos ** 2, 1.0, rel_tol=1e-12)

@@ -12,16 +12,28 @@ class RegionMappingError(ValueError):
     pass
 
 
+# Above this many dimension rows the check is a join instead of a filter.
+MAX_LISTED_CITIES = 10_000
+
+
 def cities_without_region(df: DataFrame, dim: DataFrame) -> DataFrame:
     """Distinct cities of ``df`` absent from the dimension.
 
-    The dimension is a fixed 48-row table, hence the broadcast.  The anti join
-    runs map-side; ``distinct`` pre-aggregates per partition before its
-    (tiny) shuffle, so a hot city costs one row per partition.
+    The dimension is a small fixed table (48 rows; guarded), so it becomes a
+    ``city NOT IN (...)`` predicate.  Unlike an anti join, a filter on a key
+    column is pushed by Catalyst below aggregates and joins down to the scans
+    (or to the Parquet reader): when every city is known -- the normal case --
+    almost nothing flows, and the eager check costs about a scan.  A NULL
+    city counts as missing, as with the anti join.  ``distinct`` pre-aggregates
+    per partition, so a hot city costs one row per partition.
     """
-    return (df.select("city")
-            .join(F.broadcast(dim.select("city")), "city", "left_anti")
-            .distinct())
+    known = dim.select("city").limit(MAX_LISTED_CITIES + 1).collect()
+    if len(known) > MAX_LISTED_CITIES:
+        # large dimension: a plain anti join (AQE picks the strategy by size)
+        return df.select("city").join(dim.select("city"), "city", "left_anti").distinct()
+    names = sorted({r["city"] for r in known if r["city"] is not None})
+    unknown = F.col("city").isNull() | ~F.col("city").isin(*names)
+    return df.select("city").where(unknown).distinct()
 
 
 def check_regions(df: DataFrame, dim: DataFrame) -> None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from airshed.sources.cities import broadcast_if_small
+
 MAX_NAMED = 20
 
 
@@ -52,5 +54,5 @@ def add_region(df: DataFrame, dim: DataFrame, check: bool = True) -> DataFrame:
     """Left lookup join of ``region`` (the dimension has one row per city)."""
     if check:
         check_regions(df, dim)
-    return df.join(F.broadcast(dim.select("city", "region")), "city", "left") \
-             .select(*df.columns, "region")
+    lookup = broadcast_if_small(dim.select("city", "region"))
+    return df.join(lookup, "city", "left").select(*df.columns, "region")

@@ -83,9 +83,19 @@ def dim_city_sql_values() -> str:
     return f"(VALUES\n    {rows}\n) AS dim_city(ix, city, lat, lon, region)"
 
 
+# A dimension passed in is broadcast only up to this many rows.
+MAX_BROADCAST_ROWS = 10_000
+
+
+def broadcast_if_small(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a dimension only after checking its size (the fixed city
+    table has 48 rows); a larger one is joined normally and AQE decides."""
+    return F.broadcast(dim) if dim.limit(max_rows + 1).count() <= max_rows else dim
+
+
 def select_cities(feed: DataFrame, dim: DataFrame) -> DataFrame:
-    """Keep only rows of listed cities (left semi join; dimension is 48 rows)."""
-    return feed.join(F.broadcast(dim.select("city")), "city", "left_semi")
+    """Keep only rows of listed cities (left semi join to the dimension)."""
+    return feed.join(broadcast_if_small(dim.select("city")), "city", "left_semi")
 
 
 def listed_cities(col: str = "city"):

@@ -11,8 +11,9 @@ a variable array, has empty arrays, has arrays of unequal length, or holds a
 time text that does not parse.  The other cities go on.
 
 Rows come out of ``inline(arrays_zip(...))``: a generator inside the scan task,
-no shuffle; the reject set is one row per (feed, city) and is removed with a
-left-anti join (AQE broadcasts it when small).
+no shuffle.  The reject set (one row per rejected city) is bounded by the city
+folders and becomes a ``city`` partition filter, so rejected cities' files
+are not read again (see :func:`hourly_from_landing`).
 """
 
 from __future__ import annotations

@@ -49,8 +49,8 @@ def global_rank(df: DataFrame, order_cols: list[str], name: str = "rn",
     pins their content; one tiny aggregation counts rows per partition (one
     row per partition reaches the driver); each row's position is its
     partition's offset plus its index inside the partition.  No global window,
-    no single-task step.  ``order_cols`` should make the order total (add a
-    per-row tiebreaker when keys repeat, see :func:`_rank_by_hash`).
+    no single-task step.  ``order_cols`` should make the order total and
+    must be deterministic functions of the row (see :func:`_rank_by_hash`).
     """
     ranged = (df.repartitionByRange(num_partitions, *order_cols) if num_partitions
               else df.repartitionByRange(*order_cols))
@@ -88,12 +88,16 @@ def n_test_rows(n: int, test_size: float) -> int:
 
 
 def _rank_by_hash(df: DataFrame, h: Column) -> tuple[DataFrame, int]:
-    """Rank rows by (hash, city, time).  A last per-row tiebreaker makes the
-    order total even when many rows are copies of one key: a hot group of
-    copies is spread over the range partitions instead of landing in one.
-    For unique keys (the job's grain) it never decides anything, so the
-    result stays layout-independent."""
-    keyed = df.withColumn("_h", h).withColumn("_tb", F.monotonically_increasing_id())
+    """Rank rows by (hash, city, time, content hash).
+
+    The last key -- a hash of the whole row -- spreads a hot group of rows
+    that share (city, time) but differ elsewhere over the range partitions.
+    It is a function of the row's content, never of its position, so a
+    re-executed task (lost executor) places every row exactly as before.
+    Fully identical rows stay together; they are interchangeable.  For
+    unique keys (the job's grain) it decides nothing.
+    """
+    keyed = df.withColumn("_h", h).withColumn("_tb", F.xxhash64(*df.columns))
     ranked, n = global_rank(keyed, ["_h", *KEY, "_tb"], "_rn")
     return ranked.drop("_tb"), n
 

@@ -98,10 +98,11 @@ def test_variants_only_differ_by_name_and_target(name, target):
 
 
 def test_hot_copies_spread_over_range_partitions(spark):
-    """A third of the rows are copies of one key: exact sizes still hold and
-    no range partition holds the whole hot group."""
+    """A third of the rows share one key (values differ): exact sizes still
+    hold and no range partition holds the whole hot group."""
     base = dt.datetime(2024, 1, 1)
-    rows = [(base, "HOT", 1.0)] * 300 + [(base + dt.timedelta(hours=i), "C", 1.0) for i in range(600)]
+    rows = ([(base, "HOT", float(i)) for i in range(300)]
+            + [(base + dt.timedelta(hours=i), "C", 1.0) for i in range(600)])
     df = spark.createDataFrame(rows, "time timestamp_ntz, city string, label double").repartition(6)
     out = split_exact(df, 0.2, 42)
     assert out.where("is_test").count() == 180

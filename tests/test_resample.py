@@ -101,3 +101,29 @@ def test_resample_ignores_row_order(spark, data, rnd):
     for x, y in zip(a, b):
         assert x[:2] == y[:2]
         assert all(math.isclose(p, q, rel_tol=1e-12, abs_tol=1e-12) for p, q in zip(x[2:], y[2:]))
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 95), st.sampled_from(["A", "B"]),
+                          st.one_of(st.none(), st.floats(0, 50, allow_nan=False)),
+                          st.one_of(st.none(), st.floats(0, 5, allow_nan=False))),
+                min_size=1, max_size=60, unique_by=lambda r: (r[0], r[1])))
+def test_resample_equals_pandas_semantics(spark, data):
+    """Per city: pandas resample('6h') with mean / sum, then dropna()."""
+    import pandas as pd
+    base = dt.datetime(2024, 3, 1)
+    recs = [(base + dt.timedelta(hours=h), c, t, p) for h, c, t, p in data]
+    schema = "time timestamp_ntz, city string, temperature_2m double, precipitation double"
+    ours = resample(spark.createDataFrame(recs, schema),
+                    {"temperature_2m": "mean", "precipitation": "sum"})
+    got = sorted((r.time, r.city, round(r.temperature_2m, 9), round(r.precipitation, 9))
+                 for r in ours.collect())
+    pdf = pd.DataFrame(recs, columns=["time", "city", "temperature_2m", "precipitation"])
+    want = []
+    for city, g in pdf.groupby("city"):
+        out = (g.drop(columns="city").set_index("time").astype(float)
+               .resample("6h").agg({"temperature_2m": "mean", "precipitation": "sum"})
+               .reset_index().dropna())
+        want += [(r.time.to_pydatetime(), city, round(r.temperature_2m, 9), round(r.precipitation, 9))
+                 for r in out.itertuples()]
+    assert got == sorted(want)

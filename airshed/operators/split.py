@@ -44,12 +44,13 @@ def global_rank(df: DataFrame, order_cols: list[str], name: str = "rn",
     """0-based position of every row in ``order_cols`` order, plus the row count.
 
     Distributed: a range shuffle spreads the keys over sorted partitions
-    (``num_partitions``, else the session's shuffle partition count, which AQE
-    may coalesce -- merged neighbours of a range partitioning stay in order); a reliable checkpoint (to the shared checkpoint folder)
-    pins their content; one tiny aggregation counts rows per partition (one
-    row per partition reaches the driver); each row's position is its
-    partition's offset plus its index inside the partition.  No global window,
-    no single-task step.  ``order_cols`` should make the order total and
+    (``num_partitions``, else the session's shuffle partition count, which
+    AQE may coalesce -- merged neighbours of a range partitioning stay in
+    order); a reliable checkpoint (to the shared checkpoint folder) pins
+    their content; one small aggregation counts rows per partition (one row
+    per partition reaches the driver); each row's position is its
+    partition's offset plus its index inside the partition.  No global
+    window, no single-task step.  ``order_cols`` should make the order total and
     must be deterministic functions of the row (see :func:`_rank_by_hash`).
     """
     ranged = (df.repartitionByRange(num_partitions, *order_cols) if num_partitions

@@ -352,37 +352,54 @@ def q_metrics(spark, sf):
 
 # ---------------------------------------------------------------- S1-S4, S6-S8, P1, A3, U1
 
+def _payload_json(time_arr, arrays: dict):
+    """``{"hourly": {"time": [...], <var>: [...]}}`` as JSON text."""
+    return F.to_json(F.struct(F.struct(time_arr.alias("time"),
+                                       *[a.alias(v) for v, a in arrays.items()]).alias("hourly")))
+
+
+def _defect_texts(variables: list[str]) -> list:
+    """Payload text per defect kind, in ``ix % 16`` order 0..5 (FIXTURES §3):
+    no ``hourly``, corrupt text, unequal lengths, bad time, empty arrays,
+    missing variable."""
+    h = F.col("hourly")
+    t = h["time"]
+    arrays = {v: h[v] for v in variables}
+    first = variables[0]
+    good = F.to_json(F.struct(h.alias("hourly")))
+    shorter = dict(arrays)
+    shorter[first] = F.slice(arrays[first], 1, F.greatest(F.size(arrays[first]) - 1, F.lit(0)))
+    return [
+        F.lit('{"error": true, "reason": "no data"}'),
+        F.expr("substring(to_json(struct(hourly)), 1, length(to_json(struct(hourly))) - 5)"),
+        _payload_json(t, shorter),
+        _payload_json(F.transform(t, lambda x, i: F.when(i == 0, F.lit("not-a-time")).otherwise(x)),
+                      arrays),
+        _payload_json(F.array().cast("array<string>"),
+                      {v: F.array().cast("array<double>") for v in variables}),
+        _payload_json(t, {v: a for v, a in arrays.items() if v != variables[-1]}),
+    ], good
+
+
 def _land(spark, hourly, feed, variables, defects: bool = False) -> str:
-    """Write the adapter's hourly rows as landed payloads; return the path."""
+    """Write the adapter's hourly rows as landed payloads; return the path.
+
+    With ``defects``, the cities with ``ix % 16`` in 0..5 get one defect kind
+    each (every payload of such a city); all rows are still written.
+    """
     from airshed.session import scratch_path
     from airshed.sources.payload import to_payloads, write_landing
     p = to_payloads(hourly, variables)
-    h = F.col("hourly")
-    good = F.to_json(F.struct(h.alias("hourly")))
+    kinds, good = _defect_texts(variables)
     text = good
     if defects:
         ix = F.broadcast(dim_city(spark, with_index=True).select("city", "ix"))
         p = p.join(ix, "city")
         k = F.col("ix") % 16
-        t = h["time"]
-        bad_time = F.transform(t, lambda x, i: F.when(i == 0, F.lit("not-a-time")).otherwise(x))
-        others = [h[v] for v in variables]
-        text = (F.when(k == 0, F.lit('{"error": true, "reason": "no data"}'))
-                .when(k == 1, F.expr("substring(to_json(struct(hourly)), 1, "
-                                     "length(to_json(struct(hourly))) - 5)"))
-                .when(k == 2, F.to_json(F.struct(F.struct(
-                    t.alias("time"),
-                    F.slice(others[0], 1, F.greatest(F.size(others[0]) - 1, F.lit(0))).alias(variables[0]),
-                    *[o.alias(v) for o, v in zip(others[1:], variables[1:])]).alias("hourly"))))
-                .when(k == 3, F.to_json(F.struct(F.struct(
-                    bad_time.alias("time"), *[o.alias(v) for o, v in zip(others, variables)]).alias("hourly"))))
-                .when(k == 4, F.to_json(F.struct(F.struct(
-                    F.array().cast("array<string>").alias("time"),
-                    *[F.array().cast("array<double>").alias(v) for v in variables]).alias("hourly"))))
-                .when(k == 5, F.to_json(F.struct(F.struct(
-                    t.alias("time"), *[o.alias(v) for o, v in zip(others[:-1], variables[:-1])]
-                ).alias("hourly"))))
-                .otherwise(good))
+        text = None
+        for i, bad in enumerate(kinds):
+            text = F.when(k == i, bad) if text is None else text.when(k == i, bad)
+        text = text.otherwise(good)
     path = scratch_path(spark, f"landing-{feed}") + f"/feed={feed}"
     write_landing(p.select("city", text.alias("value")), path)
     return path

@@ -358,10 +358,12 @@ def _payload_json(time_arr, arrays: dict):
                                        *[a.alias(v) for v, a in arrays.items()]).alias("hourly")))
 
 
-def _defect_texts(variables: list[str]) -> list:
-    """Payload text per defect kind, in ``ix % 16`` order 0..5 (FIXTURES §3):
-    no ``hourly``, corrupt text, unequal lengths, bad time, empty arrays,
-    missing variable."""
+def _defect_texts(variables: list[str]) -> tuple[list, object]:
+    """(payload text per defect kind in ``ix % 16`` order 0..5, good text).
+
+    Kinds: no ``hourly``, corrupt text, unequal lengths, bad time, empty
+    arrays, missing variable.
+    """
     h = F.col("hourly")
     t = h["time"]
     arrays = {v: h[v] for v in variables}

@@ -198,6 +198,12 @@ def q_feature_matrix(spark, sf):
     return round_doubles(features(spark, sf))
 
 
+@register("feature_matrix_pm10", O.with_base(O.select_rounded(FM_COLS, "fm", {"label": "pm10"})))
+def q_feature_matrix_pm10(spark, sf):
+    """The pm10 variants train on pm10 (target is a parameter)."""
+    return round_doubles(features(spark, sf, target="pm10"))
+
+
 @register("season_crosses", O.with_base(
     "SELECT season_region, season_city, count(*) AS n FROM fm GROUP BY season_region, season_city"))
 def q_season_crosses(spark, sf):
@@ -457,6 +463,21 @@ def q_src_accepted(spark, sf):
     return rows.groupBy("city").agg(F.count(F.lit(1)).alias("n_hours"))
 
 
+@register("src_all_rejected", O.with_base(
+    "SELECT time, city, pm10, pm2_5 FROM raw_aqi WHERE false"))
+def q_src_all_rejected(spark, sf):
+    """Every city's payload is bad -> an empty raw table that still has
+    its full schema (the next stage can read it)."""
+    from airshed.schemas import AQI_VARS
+    from airshed.session import scratch_path
+    from airshed.sources.payload import hourly_from_landing, to_payloads, write_landing
+    p = to_payloads(hourly_aqi(spark, sf), AQI_VARS)
+    path = scratch_path(spark, "landing-rejected") + "/feed=aqi"
+    write_landing(p.select("city", F.lit('{"error": true}').alias("value")), path)
+    rows, _ = hourly_from_landing(spark, path, "aqi")
+    return stages.gather_aqi(rows)
+
+
 @register("src_date_range", O.with_base(O.select_rounded(
     ["time", "city", "pm10", "pm2_5"], "raw_aqi WHERE time >= TIMESTAMP '2024-02-01 00:00:00' "
     "AND time < TIMESTAMP '2024-10-01 00:00:00'")))

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import argparse
 import dataclasses
+import hashlib
 import logging
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -44,8 +45,10 @@ STAGE_SCHEMAS = {
 KEYS = ["city", "time"]
 
 
-def table_name(stage: str) -> str:
-    return f"airshed_{stage}"
+def table_name(stage: str, warehouse: str) -> str:
+    """Catalog name of a bucketed stage table, unique per warehouse folder."""
+    tag = hashlib.md5(warehouse.rstrip("/").encode()).hexdigest()[:10]
+    return f"airshed_{stage}_{tag}"
 
 
 def observed_write(df: DataFrame, path: str, stage: str, buckets: int | None = None) -> int:
@@ -54,7 +57,8 @@ def observed_write(df: DataFrame, path: str, stage: str, buckets: int | None = N
     obs = Observation(stage)
     df = df.observe(obs, F.count(F.lit(1)).alias("rows"))
     if buckets:
-        write_bucketed(df, table_name(stage), path, KEYS, buckets)
+        warehouse = path.rsplit("/", 1)[0]
+        write_bucketed(df, table_name(stage, warehouse), path, KEYS, buckets)
     else:
         write_stage(df, path)
     n = int(obs.get.get("rows", 0))
@@ -102,7 +106,8 @@ def gather(spark: SparkSession, landing: str, warehouse: str, feed: str,
 def merge(spark: SparkSession, warehouse: str, bucketed: bool = False, fmt: str = "parquet") -> int:
     """raw_aqi x raw_weather -> merged (from bucketed tables: no exchange)."""
     if bucketed:
-        aqi, weather = spark.table(table_name("raw_aqi")), spark.table(table_name("raw_weather"))
+        aqi = spark.table(table_name("raw_aqi", warehouse))
+        weather = spark.table(table_name("raw_weather", warehouse))
     else:
         aqi = read_input(spark, warehouse, "raw_aqi", fmt)
         weather = read_input(spark, warehouse, "raw_weather", fmt)

@@ -62,7 +62,8 @@ def test_bucketed_hand_off_merges_without_exchange(spark, warehouse):
     wh2 = tempfile.mkdtemp(prefix="airshed-bucketed-")
     jobs.gather(spark, landing, wh2, "aqi", buckets=4)
     jobs.gather(spark, landing, wh2, "weather", buckets=4)
-    aqi, weather = spark.table(jobs.table_name("raw_aqi")), spark.table(jobs.table_name("raw_weather"))
+    aqi = spark.table(jobs.table_name("raw_aqi", wh2))
+    weather = spark.table(jobs.table_name("raw_weather", wh2))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
     try:
         plan = catalog.stages.merge(aqi, weather)._jdf.queryExecution().executedPlan().toString()
@@ -85,3 +86,10 @@ def test_csv_export_and_csv_inputs(spark, warehouse):
     a = spark.read.parquet(f"{wh}/engineered")
     b = spark.read.parquet(f"{out2}/engineered")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_stage_grain_is_unique_on_city_time(spark, warehouse):
+    wh, _ = warehouse
+    for stage in ("raw_aqi", "raw_weather", "merged", "engineered"):
+        df = spark.read.parquet(f"{wh}/{stage}")
+        assert df.count() == df.select("city", "time").distinct().count(), stage

@@ -79,3 +79,18 @@ def test_golden_numbers_sf001(spark):
     hours = {r.hour: r.n for r in E.queries()["time_of_day"](spark, sf).collect()}
     assert hours == {0: 2677, 6: 2600, 12: 2592, 18: 2582}
     assert E.queries()["train_test_split_hash"](spark, sf).where("is_test").count() == 2169
+
+
+def test_stage_outputs_match_fixed_schemas(spark):
+    """Names, order and types of every stage table equal schemas.py (the CSV
+    hand-off reads by position)."""
+    from airshed import catalog, schemas
+
+    def shape(df):
+        return [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
+    assert shape(catalog.raw_aqi(spark, SF001)) == shape(spark.createDataFrame([], schemas.RAW_AQI))
+    assert shape(catalog.raw_weather(spark, SF001)) == shape(spark.createDataFrame([], schemas.RAW_WEATHER))
+    assert shape(catalog.merged(spark, SF001)) == shape(spark.createDataFrame([], schemas.MERGED))
+    assert shape(catalog.engineered(spark, SF001)) == shape(spark.createDataFrame([], schemas.ENGINEERED))
+    fm = catalog.features(spark, SF001)
+    assert fm.columns == ["time", *schemas.FEATURES, "label"]

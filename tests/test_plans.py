@@ -92,7 +92,7 @@ def test_cv_scoring_does_not_shuffle_scored_rows(spark):
     assert "isFinalPlan=true" in text
     # group means are materialised and broadcast; scored rows never move
     assert "SortMergeJoin" not in text
-    assert text.count("BroadcastHashJoin") >= 10  # one per scored set
+    assert text.count("BroadcastHashJoin") >= 5  # one per fold model
 
 
 def test_rejected_and_unlisted_cities_are_partition_filters(spark, tmp_dir):

@@ -91,3 +91,13 @@ def test_multiline_payload_files(spark, tmp_dir):
     assert rej.count() == 0
     assert sorted((r.city, r.time.hour) for r in rows.collect()) == \
         [("Delhi", 0), ("Delhi", 1), ("Delhi", 7), ("Pune", 0), ("Pune", 1), ("Pune", 7)]
+
+
+def test_date_range_is_inclusive_of_end_day(spark):
+    import datetime as dt
+
+    from airshed.sources.payload import restrict_dates
+    times = ["2024-01-31 23:59:59", "2024-02-01 00:00:00", "2024-02-29 23:00:00", "2024-03-01 00:00:00"]
+    df = spark.createDataFrame([(ts(t),) for t in times], "time timestamp_ntz")
+    got = [r.time for r in restrict_dates(df, dt.date(2024, 2, 1), dt.date(2024, 2, 29)).orderBy("time").collect()]
+    assert got == [ts("2024-02-01 00:00:00"), ts("2024-02-29 23:00:00")]

@@ -119,3 +119,31 @@ def test_hot_copies_spread_over_range_partitions(spark):
     assert hot_parts > 1 and max(sizes) < 300
     folds = [r["count"] for r in assign_folds(df, 5, 42).groupBy("fold").count().collect()]
     assert sorted(folds) == [180] * 5
+
+
+def _py_ntile(n, k):
+    """SQL ntile: the first n % k buckets get one extra row."""
+    q, r = divmod(n, k)
+    out = []
+    for b in range(1, k + 1):
+        out += [b] * (q + (1 if b <= r else 0))
+    return out
+
+
+def test_ntile_arithmetic_exhaustive(spark):
+    from airshed.operators.split import ntile_of
+    for k in range(1, 8):
+        for n in [*range(1, 16), 23, 37, 40]:  # every remainder for each k
+            df = spark.range(n).select(ntile_of(F.col("id"), n, k).alias("b"))
+            assert [r.b for r in df.orderBy(F.monotonically_increasing_id()).collect()] == _py_ntile(n, k), (n, k)
+
+
+def test_metric_names(spark):
+    folds = spark.createDataFrame([(i, 0.9, 0.5, 0.4) for i in range(1, 6)],
+                                  "Fold int, Train_R2 double, CV_R2 double, Gap double")
+    extra = spark.createDataFrame([("test_r2", 0.5)], "metric string, value double")
+    names = {r.metric for r in metrics_long("m", folds, cv_summary(folds), extra).collect()}
+    expected = {"mean_train_r2", "mean_cv_r2", "generalization_gap", "std_train_r2", "std_cv_r2",
+                "best_fold_r2", "worst_fold_r2", "best_train_r2", "worst_train_r2", "test_r2"}
+    expected |= {f"fold_{i}_{m}" for i in range(1, 6) for m in ("train_r2", "cv_r2", "gap")}
+    assert names == expected

@@ -17,7 +17,7 @@ def merge_feeds(aqi: DataFrame, weather: DataFrame) -> DataFrame:
     Both inputs come out of :func:`resample` hash-partitioned on (city, time),
     so the sort-merge join needs no further exchange.  Many-to-many input is
     allowed (each pair is kept); AQE's skew-join handling splits a hot key.
-    NULL keys never match, which equals the reference because its keys cannot
+    NULL keys never match, which equals the original job because its keys cannot
     be missing after the drop of incomplete rows.
     """
     w_cols = [c for c in weather.columns if c not in KEYS]

@@ -15,10 +15,12 @@ def merge_feeds(aqi: DataFrame, weather: DataFrame) -> DataFrame:
     """Inner equi-join on (city, time); keys once, AQI columns first.
 
     Both inputs come out of :func:`resample` hash-partitioned on (city, time),
-    so the sort-merge join needs no further exchange.  Many-to-many input is
-    allowed (each pair is kept); AQE's skew-join handling splits a hot key.
-    NULL keys never match, which equals the original job because its keys cannot
-    be missing after the drop of incomplete rows.
+    so the sort-merge join needs no further exchange.  There each side is
+    unique on (city, time), so every key yields at most one row.  A direct
+    caller with repeated keys gets the original merge's many-to-many rows;
+    AQE's skew-join handling splits a hot key.  NULL keys never match, which
+    equals the original job because its keys cannot be missing after the
+    drop of incomplete rows.
     """
     w_cols = [c for c in weather.columns if c not in KEYS]
     a_cols = [c for c in aqi.columns if c not in KEYS]

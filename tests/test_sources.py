@@ -101,3 +101,30 @@ def test_date_range_is_inclusive_of_end_day(spark):
     df = spark.createDataFrame([(ts(t),) for t in times], "time timestamp_ntz")
     got = [r.time for r in restrict_dates(df, dt.date(2024, 2, 1), dt.date(2024, 2, 29)).orderBy("time").collect()]
     assert got == [ts("2024-02-01 00:00:00"), ts("2024-02-29 23:00:00")]
+
+
+def test_service_shaped_weather_payload(spark, tmp_dir):
+    """Extra top-level fields are ignored; integer JSON numbers read as double."""
+    from airshed.sources.payload import read_payloads
+    payload = {
+        "latitude": 28.625, "longitude": 77.25, "generationtime_ms": 0.12,
+        "utc_offset_seconds": 19800, "timezone": "Asia/Kolkata", "elevation": 216.0,
+        "hourly_units": {"time": "iso8601", "temperature_2m": "°C"},
+        "hourly": {
+            "time": ["2024-05-01T00:00", "2024-05-01T01:00"],
+            "temperature_2m": [31.5, 30], "relative_humidity_2m": [41, 45],
+            "wind_speed_10m": [7.2, 6.8], "wind_direction_10m": [290, 300],
+            "precipitation": [0, 0.1], "surface_pressure": [976.4, 976.9],
+        },
+    }
+    root = os.path.join(tmp_dir, "feed=weather")
+    d = os.path.join(root, "city=Delhi")
+    os.makedirs(d)
+    with open(os.path.join(d, "p.json"), "w") as f:
+        json.dump(payload, f, indent=2, ensure_ascii=False)
+    payloads = read_payloads(spark, root, schemas.WEATHER_VARS, multiline=True)
+    rows, rej = hourly_from_landing(spark, root, "weather", payloads=payloads)
+    assert rej.count() == 0
+    got = sorted(tuple(r) for r in rows.collect())
+    assert got == [(ts("2024-05-01 00:00:00"), "Delhi", 31.5, 41.0, 7.2, 290.0, 0.0, 976.4),
+                   (ts("2024-05-01 01:00:00"), "Delhi", 30.0, 45.0, 6.8, 300.0, 0.1, 976.9)]

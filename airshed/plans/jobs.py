@@ -136,7 +136,8 @@ def train(spark: SparkSession, warehouse: str, name: str, trees: int | None = No
     write_stage(params_table(spark, name, params), f"{warehouse}/params/model={name}")
     if res.importance is not None:
         write_stage(res.importance, f"{warehouse}/importance/model={name}")
-    return {r["metric"]: r["value"] for r in res.metrics.collect()}  # 25 rows
+    metrics = read_stage(spark, f"{warehouse}/metrics/model={name}")  # 25 rows, written above
+    return {r["metric"]: r["value"] for r in metrics.collect()}
 
 
 def run_all(spark: SparkSession, landing: str, warehouse: str, trees: int | None = None,

@@ -147,3 +147,16 @@ def test_metric_names(spark):
                 "best_fold_r2", "worst_fold_r2", "best_train_r2", "worst_train_r2", "test_r2"}
     expected |= {f"fold_{i}_{m}" for i in range(1, 6) for m in ("train_r2", "cv_r2", "gap")}
     assert names == expected
+
+
+def test_xgboost_backend_is_gated():
+    import importlib.util
+
+    from airshed.params import TrainParams
+    from airshed.plans.train import xgb_estimator
+    if importlib.util.find_spec("xgboost") is None:
+        with pytest.raises(ImportError, match="xgboost.spark is not installed"):
+            xgb_estimator(TrainParams())
+    else:  # pragma: no cover - not installed in this image
+        est = xgb_estimator(TrainParams(), max_iter=3)
+        assert len(est.getStages()) == 2

@@ -93,3 +93,12 @@ def test_stage_grain_is_unique_on_city_time(spark, warehouse):
     for stage in ("raw_aqi", "raw_weather", "merged", "engineered"):
         df = spark.read.parquet(f"{wh}/{stage}")
         assert df.count() == df.select("city", "time").distinct().count(), stage
+
+
+def test_train_from_csv_engineered(spark, warehouse):
+    import tempfile
+    wh, _ = warehouse
+    out = tempfile.mkdtemp(prefix="airshed-csv-train-")
+    jobs.export_csv(spark, wh, out, stages_=("engineered",))
+    metrics = jobs.train(spark, out, "pm25_predictor", trees=1, fmt="csv")
+    assert len(metrics) == 25 and -1.0 <= metrics["mean_cv_r2"] <= 1.0

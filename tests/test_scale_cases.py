@@ -118,3 +118,17 @@ def test_wind_direction_unit_circle(spark, degrees):
         df = one if df is None else df.unionByName(one)
     for r in build_features(df).collect():
         assert math.isclose(r.wind_dir_sin ** 2 + r.wind_dir_cos ** 2, 1.0, rel_tol=1e-12)
+
+
+def test_hyperparameter_mapping_reaches_the_model(spark):
+    from airshed.params import TrainParams
+    from airshed.plans.train import make_gbt
+    g = make_gbt(TrainParams())
+    b = TrainParams().boost
+    assert g.getMaxIter() == b.n_estimators == 900
+    assert (g.getMaxDepth(), g.getStepSize(), g.getMinInstancesPerNode()) == (7, 0.035, 15)
+    assert (g.getSubsamplingRate(), g.getFeatureSubsetStrategy(), g.getLossType()) == (1.0, "all", "squared")
+    assert (g.getMaxBins(), g.getSeed(), g.getCheckpointInterval()) == (256, 42, 10)
+    model, _ = catalog._gbt_train(spark, SF001)
+    fitted = model.stages[-1]
+    assert fitted.getNumTrees == catalog.CHECK_TREES and fitted.getMaxDepth() == 7

@@ -88,21 +88,30 @@ def gather(spark: SparkSession, landing: str, warehouse: str, feed: str,
 
     With ``buckets``, raw_<feed> is a bucketed table on (city, time) so that
     :func:`merge` joins the two feeds without any exchange."""
-    path = f"{landing}/feed={feed}"
-    # S6 first: a partition filter, unlisted cities' folders are never read
-    payloads = read_payloads(spark, path, FEEDS[feed], multiline).where(listed_cities())
-    # parsed once, scanned twice (reject set, then rows)
-    payloads = payloads.persist(StorageLevel.MEMORY_AND_DISK)
+    out, rej, payloads = gather_frames(spark, landing, feed, gp, multiline)
     try:
-        rows, rej = hourly_from_landing(spark, path, feed, payloads=payloads)
         observed_write(rej, f"{warehouse}/rejects_{feed}", f"rejects_{feed}")
-        rows = restrict_dates(rows, gp.start_date, gp.end_date)
-        out = stages.gather_aqi(rows) if feed == "aqi" else stages.gather_weather(rows)
         return observed_write(out, f"{warehouse}/raw_{feed}", f"raw_{feed}", buckets)
     finally:
         payloads.unpersist()
 
 
+def gather_frames(spark: SparkSession, landing: str, feed: str,
+                  gp: GatherParams = GatherParams(), multiline: bool = False,
+                  persist: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(raw_<feed>, rejects, payloads) of W1 / W2 before writing; the caller
+    unpersists ``payloads``."""
+    path = f"{landing}/feed={feed}"
+    # S6 first: a partition filter, unlisted cities' folders are never read
+    payloads = read_payloads(spark, path, FEEDS[feed], multiline).where(listed_cities())
+    if persist:  # parsed once, scanned twice (reject set, then rows)
+        payloads = payloads.persist(StorageLevel.MEMORY_AND_DISK)
+    rows, rej = hourly_from_landing(spark, path, feed, payloads=payloads)
+    rows = restrict_dates(rows, gp.start_date, gp.end_date)
+    out = stages.gather_aqi(rows) if feed == "aqi" else stages.gather_weather(rows)
+    return out, rej, payloads
+
+
 def merge(spark: SparkSession, warehouse: str, bucketed: bool = False, fmt: str = "parquet") -> int:
     """raw_aqi x raw_weather -> merged (from bucketed tables: no exchange)."""
     if bucketed:

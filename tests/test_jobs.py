@@ -102,3 +102,17 @@ def test_train_from_csv_engineered(spark, warehouse):
     jobs.export_csv(spark, wh, out, stages_=("engineered",))
     metrics = jobs.train(spark, out, "pm25_predictor", trees=1, fmt="csv")
     assert len(metrics) == 25 and -1.0 <= metrics["mean_cv_r2"] <= 1.0
+
+
+def test_gather_plan_one_exchange_and_partition_filter(spark, warehouse):
+    wh, _ = warehouse
+    landing = wh.replace("/warehouse", "/landing")
+    out, rej, payloads = jobs.gather_frames(spark, landing, "aqi", persist=False)
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    text = out._jdf.queryExecution().explainString(mode)
+    import re
+    exchanges = re.findall(r"^\(\d+\) Exchange", text, flags=re.M)  # numbered node details
+    assert len(exchanges) == 1, text                   # the resample's only
+    part = [ln for ln in text.splitlines() if "PartitionFilters" in ln]
+    assert part and "city" in part[0] and "Delhi" in part[0]   # listed / rejected cities
+    assert rej.count() == 18

@@ -116,3 +116,17 @@ def test_gather_plan_one_exchange_and_partition_filter(spark, warehouse):
     part = [ln for ln in text.splitlines() if "PartitionFilters" in ln]
     assert part and "city" in part[0] and "Delhi" in part[0]   # listed / rejected cities
     assert rej.count() == 18
+
+
+def test_region_check_pushed_into_parquet_scan(spark, warehouse):
+    from airshed.operators.region import cities_without_region
+    from airshed.sources.cities import dim_city
+    wh, _ = warehouse
+    check = cities_without_region(spark.read.parquet(f"{wh}/merged"), dim_city(spark))
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    text = check._jdf.queryExecution().explainString(mode)
+    pushed = [ln for ln in text.splitlines() if "PushedFilters" in ln]
+    assert pushed and "city" in pushed[0] and "In(city" in pushed[0], text
+    schema = [ln for ln in text.splitlines() if "ReadSchema" in ln]
+    assert schema and schema[0].strip().endswith("struct<city:string>")  # one column read
+    assert check.count() == 0

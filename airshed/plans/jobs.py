@@ -140,13 +140,23 @@ def train(spark: SparkSession, warehouse: str, name: str, trees: int | None = No
     res = fit(spark, eng, name, params, max_iter=trees)
     base = f"{warehouse}/models/model={name}"
     res.model.write().overwrite().save(f"{base}/pipeline")
-    write_stage(res.fold_results, f"{warehouse}/fold_results/model={name}")
-    write_stage(res.metrics, f"{warehouse}/metrics/model={name}")
-    write_stage(params_table(spark, name, params), f"{warehouse}/params/model={name}")
+    write_per_model(res.fold_results, f"{warehouse}/fold_results", name)
+    write_per_model(res.metrics, f"{warehouse}/metrics", name)
+    write_per_model(params_table(spark, name, params), f"{warehouse}/params", name)
     if res.importance is not None:
-        write_stage(res.importance, f"{warehouse}/importance/model={name}")
-    metrics = read_stage(spark, f"{warehouse}/metrics/model={name}")  # 25 rows, written above
-    return {r["metric"]: r["value"] for r in metrics.collect()}
+        write_per_model(res.importance, f"{warehouse}/importance", name)
+    metrics = read_stage(spark, f"{warehouse}/metrics").where(F.col("model") == name)
+    return {r["metric"]: r["value"] for r in metrics.collect()}  # 25 rows, written above
+
+
+def write_per_model(df: DataFrame, path: str, name: str) -> None:
+    """One table per kind, partitioned by ``model``; dynamic partition
+    overwrite replaces only this model's partition (re-runs are idempotent,
+    other variants stay)."""
+    if "model" not in df.columns:
+        df = df.withColumn("model", F.lit(name))
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("model").parquet(path))
 
 
 def run_all(spark: SparkSession, landing: str, warehouse: str, trees: int | None = None,

@@ -49,6 +49,12 @@ def test_train_writes_model_and_metrics(spark, warehouse):
     assert folds.columns == ["Fold", "Train_R2", "CV_R2", "Gap"] and folds.count() == 5
     imp = spark.read.parquet(f"{wh}/importance/model=pm10_forecaster")
     assert imp.count() == 22
+    # a second variant keeps the first one's partition; whole tables read back
+    jobs.train(spark, wh, "pm25_predictor", trees=1)
+    allm = spark.read.parquet(f"{wh}/metrics")
+    assert {r.model for r in allm.select("model").distinct().collect()} == {"pm10_forecaster", "pm25_predictor"}
+    assert allm.count() == 50
+    assert spark.read.parquet(f"{wh}/fold_results").count() == 10
     from pyspark.ml import PipelineModel
     model = PipelineModel.load(f"{wh}/models/model=pm10_forecaster/pipeline")
     fm = catalog.build_features(spark.read.parquet(f"{wh}/engineered"), target="pm10")

@@ -13,9 +13,9 @@ def plan_text(df) -> str:
 
 
 def formatted(df) -> str:
-    return df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted") and \
-        df._jdf.queryExecution().explainString(
-            df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    """``df.explain("formatted")`` as a string (current plan; final once executed)."""
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    return df._jdf.queryExecution().explainString(mode)
 
 
 def test_merge_reuses_aggregate_partitioning(spark):

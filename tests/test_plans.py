@@ -116,3 +116,19 @@ def test_rejected_and_unlisted_cities_are_partition_filters(spark, tmp_dir):
     part = [ln for ln in text.splitlines() if "PartitionFilters" in ln]
     assert part and "Leh" in part[0] and "Delhi" in part[0]  # NOT IN rejects, IN listed
     assert "Exchange" not in text and "Join" not in text
+
+
+def test_no_registered_query_uses_python_udfs(spark):
+    """The whole catalog runs JVM-side: no Python UDF / Arrow evaluation node
+    in any optimized plan (model checks excluded: MLlib stages are JVM too,
+    but their queries train models, which is slow here)."""
+    import __spark_entry__ as E
+    skip = {"gbt_fit_predict", "importance_topk", "model_save_load", "gbt_cross_validate"}
+    offenders = []
+    for name, fn in E.queries().items():
+        if name in skip:
+            continue
+        plan = fn(spark, SF001)._jdf.queryExecution().optimizedPlan().toString()
+        if "PythonUDF" in plan or "ArrowEvalPython" in plan or "BatchEvalPython" in plan:
+            offenders.append(name)
+    assert offenders == []

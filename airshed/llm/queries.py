@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airshed.llm import decontam, quality, tokens, warc
+from airshed.llm import chat, decontam, licenses, mixing, neardup, quality, spans, tokens, urls, warc
 from airshed.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,58 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+# ---------------------------------------------------------------- 1 mixing
+
+@register("op1_mixing")
+def op1_mixing(spark, sf):
+    """Words that the mix takes of every document."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    return mixing.mix(spark, docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies",
+                                          "shards")
+
+
+# ---------------------------------------------------------------- 2 url filters
+
+@register("op2_url_filter")
+def op2_url_filter(spark, sf):
+    """Rule and verdict of every page's url."""
+    return urls.judge(table(spark, sf, "pages").select("page_id", "url")).select(
+        "page_id", "host", "path", "rule", "verdict")
+
+
+# ---------------------------------------------------------------- 3 license scans
+
+def _license_sql() -> str:
+    values = ", ".join("({}, '{}', '{}')".format(i, t.license_id, t.text.replace("'", "''"))
+                       for i, t in enumerate(licenses.TEMPLATES))
+    words = r"regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    cut = "array_to_string(w[i:i + 2], ' ')"
+    return f"""
+WITH t AS (SELECT number, license_id, {words} AS w FROM (VALUES {values}) v(number, license_id, text)),
+ts AS (SELECT DISTINCT number, license_id, {cut} AS s
+       FROM (SELECT number, license_id, w, unnest(range(1, len(w) - 1)) AS i FROM t)),
+tn AS (SELECT number, count(*) AS n FROM ts GROUP BY number),
+tc AS (SELECT number, n, cast(pow(2, ceil(log2(n))) AS integer) AS cls FROM tn),
+tw AS (SELECT number, n, greatest(1, cls // 2) AS step, CASE WHEN cls > 1 THEN 3 * (cls // 2) ELSE 1 END AS size FROM tc),
+ds AS (SELECT doc_id, i - 1 AS i, {cut} AS s
+       FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i
+             FROM (SELECT doc_id, {words} AS w FROM documents))),
+hit AS (SELECT ds.doc_id, ts.number, ts.license_id, ds.s, n,
+               unnest(range(greatest(0, cast(floor((i - (size - step)) / step) AS bigint)), i // step + 1)) * step AS start
+        FROM ds JOIN ts ON ds.s = ts.s JOIN tw ON ts.number = tw.number),
+win AS (SELECT doc_id, number, license_id, start, count(DISTINCT s) / any_value(n) AS share
+        FROM hit GROUP BY doc_id, number, license_id, start)
+SELECT doc_id, license_id, max(share) AS containment, count(*) AS n_windows
+FROM win WHERE share >= 0.8e0 GROUP BY doc_id, license_id
+"""
+
+
+@register("op3_license_scan", _license_sql())
+def op3_license_scan(spark, sf):
+    """Licenses found in every document's whole text."""
+    return licenses.scan(spark, table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+
+
 # ---------------------------------------------------------------- 4 token counts
 
 @register("op4_token_counts")
@@ -79,6 +131,14 @@ def op5_quality_rules(spark, sf):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+# ---------------------------------------------------------------- 6 substring dedup
+
+@register("op6_substring_dedup")
+def op6_substring_dedup(spark, sf):
+    """Every document's text without sentences of repeated spans."""
+    return spans.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 # ---------------------------------------------------------------- 7 benchmark decontamination
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -141,3 +201,22 @@ def op8_warc(spark, sf):
     warc.write_archives(spark, table(spark, sf, "pages"), path)
     return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type",
                                                   "refers_to")
+
+
+# ---------------------------------------------------------------- 9 chat formatting
+
+@register("op9_chat_format")
+def op9_chat_format(spark, sf):
+    """Raw transcripts of all conversations, parsed into roles and rendered canonically."""
+    parts = chat.segments(table(spark, sf, "conversations"))
+    model = chat.train(spark, parts)
+    return chat.format_transcripts(spark, chat.transcripts(parts), model)
+
+
+# ---------------------------------------------------------------- 10 near-duplicates
+
+@register("op10_near_dedup")
+def op10_near_dedup(spark, sf):
+    """Near-duplicate class of every document (the smallest doc_id in it)."""
+    return neardup.classes(spark, table(spark, sf, "documents").select("doc_id", "text")) \
+        .select(F.col("id").alias("doc_id"), F.col("class").alias("class_id"), "copy_of")

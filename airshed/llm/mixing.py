@@ -8,8 +8,9 @@ splitting tree deals its exact quota of blocks to the output shards.
    blocks of all sources hold about equally many words.
 2. A source's blocks are permuted.  The mix takes whole epochs (all blocks),
    then the first blocks of one more epoch up to the target, the last of them
-   up to a place (the cut-off), so that the words taken miss the target by
-   half a document at most.
+   up to a place (the cut-off), and at last up to ``TOP_UPS`` documents left
+   over, each time the one whose size comes nearest to what is still missing,
+   as long as that brings the words closer to the target.
 3. The splitting tree halves the shard range again and again; at each node
    the left half draws its blocks from the node's quotas without replacement.
    Its leaves say how many blocks of each source a shard has; a source's draws
@@ -35,11 +36,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airshed.llm.quality import GAPS
+from airshed.llm.tables import kept
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
 BLOCKS = 8192
 SHARDS = 16
+TOP_UPS = 6
 #: Above this many sources the per-source rows are joined without a broadcast.
 BROADCAST_SOURCES = 10_000
 
@@ -101,6 +104,16 @@ def _block(blocks: Column) -> Column:
     return F.shiftright(F.shiftright(F.col("__place"), 31) * blocks.cast("long"), 31)
 
 
+def _rank() -> Column:
+    """Rank of a row's block in its source's permutation."""
+    return (_block(F.col("__blocks")) * F.col("__step")) % F.col("__blocks")
+
+
+def _once_more() -> Column:
+    """Is the row in the whole blocks of the last epoch, or before the cut-off of the next one?"""
+    return (_rank() < F.col("__whole")) | ((_rank() == F.col("__whole")) & (F.col("__place") <= F.col("__cut")))
+
+
 def _same_source(n: Names) -> Column:
     return F.col(f"d.`{n.source}`").eqNullSafe(F.col("s.__source"))
 
@@ -119,7 +132,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, shards: int = SHA
     """
     made = ("size", "source_size", "target", "copies", "taken", "shards")
     rows = _with_place(docs, names, seed)
-    narrow = rows.select(F.col(f"`{names.source}`"), "__size", "__place")
+    narrow = kept(spark, rows.select(F.col(f"`{names.source}`"), "__size", "__place"), "mix-sizes")
     # equal places (repeated rows) are added up before the shuffle
     totals = [(r[0], r[1]) for r in narrow.groupBy(f"`{names.source}`").agg(F.sum("__size")).collect()]
     totals.sort(key=lambda r: (r[0] is None, r[0] or ""))
@@ -130,13 +143,11 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, shards: int = SHA
     rng = np.random.default_rng(seed)
     step = [next(a for a in (int(rng.integers(1, c + 1)) for _ in iter(int, 1)) if math.gcd(a, c) == 1) for c in count]
 
-    # rank of a block in its source's permutation: (block * step) mod blocks
     source_type = docs.schema[names.source].dataType.simpleString()
     plan = spark.createDataFrame(
         [(s, c, a) for (s, _), c, a in zip(totals, count, step, strict=True)],
         f"__source {source_type}, __blocks long, __step long")
-    ranked = _join_sources(narrow, plan, len(sizes), names).withColumn(
-        "__rank", (_block(F.col("__blocks")) * F.col("__step")) % F.col("__blocks"))
+    ranked = _join_sources(narrow, plan, len(sizes), names).withColumn("__rank", _rank())
     number = {s: i for i, (s, _) in enumerate(totals)}
     words = [np.zeros(c, np.int64) for c in count]
     for r in ranked.groupBy("__source", "__rank").agg(F.sum("__size").alias("n")).collect():
@@ -158,36 +169,51 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, shards: int = SHA
         f"__source {source_type}, __blocks long, __step long, __whole long, __rest double")
     from pyspark.sql import Window
     edge = (_join_sources(narrow, bounds, len(sizes), names)
-            .where((_block(F.col("__blocks")) * F.col("__step")) % F.col("__blocks") == F.col("__whole"))
+            .where(_rank() == F.col("__whole"))
             .groupBy("__source", "__place", "__rest").agg(F.sum("__size").alias("n")))
     before = F.sum("n").over(Window.partitionBy("__source").orderBy("__place")) - F.col("n")
-    cut = {r["__source"]: r["p"] for r in edge.withColumn("b", before).where("b + n / 2 < __rest")
-           .groupBy("__source").agg(F.max("__place").alias("p")).collect()}
+    cut = {r["__source"]: (r["p"], r["n"]) for r in edge.withColumn("b", before).where("b + n <= __rest")
+           .groupBy("__source").agg(F.max("__place").alias("p"), F.sum("n").alias("n")).collect()}
+    # what is still missing goes to the nearest sizes among the places not taken in the last epoch
+    extra: dict = {s: [] for s, _ in totals}
+    gap = {s: float(r - cut.get(s, (-1, 0))[1]) for (s, _), r in zip(totals, rest, strict=True)}
+    for last in [*[False] * (TOP_UPS - 1), True]:  # only the last one may go beyond the target
+        missing = spark.createDataFrame(
+            [(s, c, a, m, cut.get(s, (-1, 0))[0], extra[s], gap[s])
+             for (s, _), c, a, m in zip(totals, count, step, whole, strict=True) if gap[s] >= 1],
+            f"__source {source_type}, __blocks long, __step long, __whole long, __cut long, __extra array<long>, "
+            "__gap double")
+        free = _join_sources(narrow, missing, len(sizes), names).where(
+            ~_once_more() & ~F.array_contains("__extra", F.col("__place")))
+        near = (free.groupBy("__source", "__place", "__gap").agg(F.sum("__size").alias("n"))
+                .where("n > 0 and " + ("n < 2 * __gap" if last else "n <= __gap")).groupBy("__source")
+                .agg(F.min(F.struct(F.abs(F.col("n") - F.col("__gap")), "__place", "n")).alias("best"))).collect()
+        for r in near:
+            extra[r["__source"]].append(r["best"]["__place"])
+            gap[r["__source"]] -= r["best"]["n"]
 
     quotas = np.array([e * c + m + (s in cut) for (s, _), e, c, m in zip(totals, full, count, whole, strict=True)],
                       np.int64)
     dealt = np.cumsum(splitting_tree(quotas, shards, rng), axis=0) if len(quotas) else np.zeros((shards, 0), int)
     final = spark.createDataFrame(
-        [(s, size, t, c, a, e, m, cut.get(s, -1), [int(x) for x in dealt[:, i]])
+        [(s, size, t, c, a, e, m, cut.get(s, (-1, 0))[0], extra[s], [int(x) for x in dealt[:, i]])
          for i, ((s, _), size, t, c, a, e, m) in enumerate(
              zip(totals, sizes, want, count, step, full, whole, strict=True))],
         f"__source {source_type}, source_size long, target double, __blocks long, __step long, __full long, "
-        "__whole long, __cut long, __ends array<long>")
+        "__whole long, __cut long, __extra array<long>, __ends array<long>")
     keep = [F.col(f"d.`{c}`") for c in docs.columns if c not in made]
     got = _join_sources(rows, final, len(sizes), names).select(
-        *keep, F.col("__size").alias("size"), "source_size", "target",
-        ((_block(F.col("__blocks")) * F.col("__step")) % F.col("__blocks")).alias("__rank"), "__place", "__blocks",
-        "__full", "__whole", "__cut", "__ends")
-    once_more = (F.col("__rank") < F.col("__whole")) | \
-        ((F.col("__rank") == F.col("__whole")) & (F.col("__place") <= F.col("__cut")))
-    got = got.withColumn("copies", F.col("__full") + once_more.cast("long"))
+        *keep, F.col("__size").alias("size"), "source_size", "target", _rank().alias("__rank"), "__blocks", "__full",
+        "__ends", (_once_more() | F.array_contains("__extra", F.col("__place"))).alias("__more"))
+    got = got.withColumn("copies", F.col("__full") + F.col("__more").cast("long"))
     # draw number of a copy: epoch * blocks + rank; its shard: how many shards end at or before it
     shard = F.transform(
         F.when(F.col("copies") > 0, F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).otherwise(
             F.array().cast("array<long>")),
-        lambda e: F.size(F.filter("__ends", lambda x: x <= e * F.col("__blocks") + F.col("__rank"))))
+        lambda e: F.least(F.size(F.filter("__ends", lambda x: x <= e * F.col("__blocks") + F.col("__rank"))),
+                          F.lit(shards - 1)))
     return got.withColumns({"taken": F.col("copies") * F.col("size"), "shards": shard}).drop(
-        "__rank", "__place", "__blocks", "__full", "__whole", "__cut", "__ends")
+        "__rank", "__blocks", "__full", "__ends", "__more")
 
 
 def deal(mixed: DataFrame, shards: int = SHARDS, seed: int = 1, names: Names = Names()) -> DataFrame:

@@ -7,7 +7,7 @@ are ordered by document id, then place.
 
 * A sentence ends at ``.``, ``!`` or ``?`` before white space, at an
   ideographic full stop, and at a line end; one of more than ``PIECE`` words
-  counts as several.  Sentences are compared by their lower-cased letters and
+  counts as several, cut by content so that a passage inside it is found too.  Sentences are compared by their lower-cased letters and
   digits.
 * Removed stretches have at least ``min_words`` words; shorter ones (a chance
   run of tiny sentences, a license line) stay.
@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +43,26 @@ from airshed.llm.words import alnum_bytes, mix
 
 RUN = 3
 PIECE = 16
+LEAST = 4
 MIN_WORDS = 30
 _END = re.compile(rb"[.!?]+[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*|\xe3\x80\x82")
 _WORD = re.compile(rb"[^ ]+")
 
 
+def _pieces(words: list[bytes]) -> list[int]:
+    """Ends of the pieces of a long sentence.
+
+    A piece ends after a word whose code says so (one in eight), so that equal
+    stretches are cut alike whatever stands before them.
+    """
+    out, start = [], 0
+    for i, w in enumerate(words, 1):
+        if i == len(words) or i - start == PIECE or i - start >= LEAST and crc32(w) % 8 == 0:
+            out.append(i)
+            start = i
+    return out
+
+
 def sentences(text: bytes) -> tuple[list[tuple[int, int]], list[bytes], list[int]]:
     """Byte ranges that tile the text, the normalised sentence of each, and its words."""
     plain = alnum_bytes(text)
@@ -65,11 +81,12 @@ def sentences(text: bytes) -> tuple[list[tuple[int, int]], list[bytes], list[int
             sizes.append(len(words))
         else:
             places = [m.start() for m in _WORD.finditer(plain, at, end)]
-            for i in range(0, len(words), PIECE):
-                stop = end if i + PIECE >= len(words) else places[i + PIECE]
+            cuts = _pieces(words)
+            for i, j in zip([0, *cuts], cuts, strict=False):
+                stop = end if j == len(words) else places[j]
                 ranges.append((start, stop))
-                keys.append(b" ".join(words[i:i + PIECE]))
-                sizes.append(min(PIECE, len(words) - i))
+                keys.append(b" ".join(words[i:j]))
+                sizes.append(j - i)
                 start = stop
         start = at = end
     if ranges:

@@ -1,0 +1,76 @@
+import collections
+
+import numpy as np
+import pytest
+
+from airshed.llm import mixing
+from airshed.llm.queries import QUERIES
+from tests.llm.cases import HARD, empty, hard, white_words
+
+
+def test_targets_stop_at_three_sizes():
+    got = mixing.targets([100, 10, 1, 1000], [5, 2, 1, 5])
+    assert got[1] == 30 and got[2] == 3 and got[0] == 300
+    assert sum(got) == pytest.approx(1111) and got[3] == pytest.approx(1111 - 333)
+    assert mixing.targets([0, 0], [5, 2]) == [0, 0]
+    assert mixing.targets([], []) == []
+
+
+@pytest.mark.parametrize("shards", [1, 2, 5, 16])
+def test_splitting_tree_is_exact_and_even(shards):
+    quotas = np.array([1000, 30, 7, 0, 512])
+    got = mixing.splitting_tree(quotas, shards, np.random.default_rng(3))
+    assert got.shape == (shards, 5) and (got.sum(axis=0) == quotas).all() and (got >= 0).all()
+    assert np.ptp(got.sum(axis=1)) <= shards.bit_length()
+
+
+def test_splitting_tree_draws_the_hypergeometric_mean():
+    rng = np.random.default_rng(1)
+    first = [mixing.splitting_tree(np.array([80, 20]), 4, rng)[0] for _ in range(800)]
+    assert np.mean(first, axis=0) == pytest.approx([20, 5], rel=0.05)
+    assert np.var(first, axis=0)[1] == pytest.approx(25 * .2 * .8 * 75 / 99, rel=0.25)
+
+
+def test_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sizes = {r["doc_id"]: len(white_words(r["text"])) for r in docs.collect()}
+    rows = QUERIES["op1_mixing"](spark, "/root/testdata/sf0.01").collect()
+    assert {r["doc_id"]: r["size"] for r in rows} == sizes
+    by = collections.defaultdict(lambda: [0, 0])
+    for r in rows:
+        by[r["source"]][0] += r["size"]
+        by[r["source"]][1] += r["taken"]
+        assert r["taken"] % max(1, r["size"]) == 0 and r["taken"] <= 3 * r["size"] and len(r["shards"]) == r["copies"]
+        assert all(0 <= s < mixing.SHARDS for s in r["shards"])
+    names = sorted(by)
+    want = mixing.targets([by[s][0] for s in names], [mixing.WEIGHTS[i % 3] for i in range(len(names))])
+    for s, t in zip(names, want, strict=True):
+        assert {r["target"] for r in rows if r["source"] == s} == {t}
+        assert abs(by[s][1] - t) <= 0.02 * t
+    again = QUERIES["op1_mixing"](spark, "/root/testdata/sf0.01").collect()
+    assert sorted(rows) == sorted(again)
+
+
+def test_hard_rows(spark):
+    got = mixing.mix(spark, hard(spark), blocks=4).collect()
+    assert len(got) == len(HARD)
+    by = collections.defaultdict(set)
+    for r in got:
+        by[r["source"]].add((r["source_size"], r["target"]))
+        assert r["size"] == len(white_words(next(t for i, t, _ in HARD if i == r["doc_id"])))
+    assert all(len(v) == 1 for v in by.values())
+    sizes = {s: next(iter(v))[0] for s, v in by.items()}
+    order = ["", "src1", "src2", "src3", None]
+    assert [next(iter(by[s]))[1] for s in order] == mixing.targets([sizes[s] for s in order], [5, 2, 1, 5, 2])
+    assert mixing.mix(spark, empty(spark)).count() == 0
+    assert mixing.deal(mixing.mix(spark, empty(spark))).count() == 0
+
+
+def test_deal_writes_every_copy_once(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    mixed = mixing.mix(spark, docs, shards=4)
+    copies = sum(r["copies"] for r in mixed.collect())
+    rows = mixing.deal(mixed, shards=4).collect()
+    assert len(rows) == copies == len({(r["doc_id"], r["copy"]) for r in rows})
+    shard = {(r["doc_id"], c): s for r in mixed.collect() for c, s in enumerate(r["shards"])}
+    assert {(r["doc_id"], r["copy"]): r["shard"] for r in rows} == shard

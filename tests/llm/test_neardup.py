@@ -1,0 +1,114 @@
+import itertools
+import random
+
+import numpy as np
+import pytest
+
+from airshed.llm import neardup as nd
+from airshed.llm.components import components
+from tests.llm.cases import HARD, empty, hard, prose
+
+
+def brute(docs, threshold=0.8):
+    """Class of each id (unique ids): all pairs compared."""
+    kmers = {i: nd.labelled_kmers((t or "").encode()) for i, t in docs}
+    up = {i: i for i, _ in docs}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+    for (a, ta), (b, tb) in itertools.combinations(docs, 2):
+        same = ta is not None and ta == tb
+        if same or len(kmers[a]) and len(kmers[b]) and nd.similarity(kmers[a], kmers[b], threshold) >= threshold:
+            x, y = sorted((root(a), root(b)))
+            up[y] = x
+    return {i: root(i) for i, _ in docs}
+
+
+def family(seed, n, size, edits):
+    """Copies of one text with up to ``edits`` words changed, dropped or added."""
+    rnd = random.Random(seed)
+    base, out = prose(seed, size, 4000), []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(rnd.randrange(edits + 1)):
+            at = rnd.randrange(len(w))
+            w[at:at + rnd.choice([0, 1, 1])] = [f"new{rnd.randrange(10**6)}"] * rnd.choice([0, 1, 1])
+        out.append(" ".join(w))
+    return out
+
+
+def run(spark, docs):
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    return {r["id"]: r["class"] for r in nd.classes(spark, df).collect()}
+
+
+def test_families_against_all_pairs(spark):
+    texts = [t for s in range(6) for t in family(s, 25, 60 + 40 * s, 2 + s)]
+    texts += [" ".join(prose(900 + i, 80)) for i in range(60)]
+    random.Random(1).shuffle(texts)
+    docs = list(enumerate(texts))
+    got, want = run(spark, docs), brute(docs)
+    assert got == want
+    assert len(set(want.values())) < len(docs) - 50
+
+
+def test_order_matters():
+    a, b = prose(1, 100), prose(2, 100)
+    one, two = nd.labelled_kmers(" ".join(a + b).encode()), nd.labelled_kmers(" ".join(b + a).encode())
+    assert len(np.intersect1d(one, two)) / len(np.union1d(one, two)) > 0.9  # as sets they are near
+    assert nd.similarity(one, two) < 0.8
+    assert nd.similarity(one, one) == 1.0
+
+
+def test_occurrences_are_labelled():
+    once, twice = nd.labelled_kmers(b"a b c d e"), nd.labelled_kmers(b"a b c d e a b c d e")
+    assert len(set(twice.tolist())) == 6 and len(once) == 1
+    assert nd.similarity(nd.labelled_kmers(b"x " * 40), nd.labelled_kmers(b"x " * 20)) < 0.8
+
+
+@pytest.mark.parametrize("n", [1, 3, 5, 40])
+def test_sketches_of_short_texts(n):
+    k = nd.labelled_kmers(" ".join(prose(3, n + 4)).encode())
+    assert len(k) == n and len(nd.sketches(k)) == nd.BANDS
+    assert (nd.sketches(k) == nd.sketches(k.copy())).all()
+
+
+def test_sketch_collisions_follow_similarity():
+    texts = family(11, 300, 200, 3)
+    kmers = [nd.labelled_kmers(t.encode()) for t in texts]
+    sk = [set(nd.sketches(k).tolist()) for k in kmers]
+    pairs = [(i, j) for i in range(0, 60) for j in range(i) if nd.similarity(kmers[i], kmers[j]) >= 0.8]
+    assert len(pairs) > 300
+    assert np.mean([bool(sk[i] & sk[j]) for i, j in pairs]) > 0.999
+
+
+def test_hard_rows(spark):
+    got = {r["id"]: r["class"] for r in nd.classes(spark, hard(spark)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 7: 7, 8: 8, 9: 9}
+    assert nd.classes(spark, empty(spark)).count() == 0
+    kept = nd.keep_first(spark, hard(spark))
+    assert kept.columns == hard(spark).columns
+    assert kept.count() == len(HARD) - 2  # both rows of id 5 go, the row without an id stays
+    assert nd.keep_first(spark, empty(spark)).count() == 0
+
+
+def test_repeated_ids_join_their_texts(spark):
+    a, b = " ".join(prose(1, 50)), " ".join(prose(2, 50))
+    assert run(spark, [(5, a), (5, b), (3, a), (8, b), (9, None), (9, a)]) == {5: 3, 3: 3, 8: 3, 9: 3}
+
+
+@pytest.mark.parametrize("shape", ["path", "star", "random", "none"])
+def test_components(spark, shape):
+    rnd = random.Random(4)
+    links = {"path": [(i, i + 1) for i in range(40)], "star": [(99, i) for i in range(40)], "none": [],
+             "random": [(rnd.randrange(80), rnd.randrange(80)) for _ in range(50)]}[shape]
+    got = {r["node"]: r["label"] for r in components(
+        spark, spark.createDataFrame(links, "a long, b long")).collect()}
+    up = {x: x for e in links for x in e if e[0] != e[1]}
+    for _ in up:
+        for a, b in links:
+            if a != b:
+                up[a] = up[b] = min(up[a], up[b])
+    assert got == up

@@ -188,25 +188,29 @@ def train_dictionary(payloads: list[bytes], size: int = DICT_BYTES) -> bytes:
         return b""
 
 
-def with_revisits(pages: DataFrame, page_id: str = "page_id", min_bytes: int = 0) -> DataFrame:
-    """Rows of ``pages`` as (page_id, url, payload, digest, response_id, revisit).
+def _rows(pages: DataFrame, page_id: str) -> DataFrame:
+    """(page_id, url, payload, digest, row): ``row`` names the page id and the payload."""
+    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    rows = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
+                        payload.alias("payload"), F.sha1(payload).alias("digest"))
+    return rows.withColumn("row", F.concat_ws(" ", "digest", F.col("page_id").cast("string")))
+
+
+def revisits(pages: DataFrame, page_id: str = "page_id", min_bytes: int = 0) -> DataFrame:
+    """(row, response_id) of the pages that revisit an earlier one; payloads do not travel.
 
     Of equal payloads of at least ``min_bytes`` bytes the smallest page id is
     the response.  Digests are reduced inside each task before the shuffle;
     a payload shared by very many pages is then one row per task, and the
     join back (against one row per digest) can be split by adaptive execution.
     """
-    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
-                        payload.alias("payload"), F.unhex(F.sha1(payload)).alias("digest"))
-    firsts = (rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest")
-              .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-              .where("n > 1").select("digest", "first"))
-    joined = rows.join(firsts, "digest", "left")
+    rows = _rows(pages, page_id).where(F.octet_length("payload") >= min_bytes).select("page_id", "digest", "row")
+    firsts = (rows.groupBy("digest").agg(F.min("page_id").alias("response_id"), F.count(F.lit(1)).alias("n"))
+              .where("n > 1").select("digest", "response_id"))
     # a later row (or one without an id) revisits the first; rows that tie with it stay responses
-    later = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return joined.withColumn("revisit", later & (F.octet_length("payload") >= min_bytes)) \
-        .withColumnRenamed("first", "response_id")
+    return (rows.join(firsts, "digest").where(F.col("response_id").isNotNull()
+                                              & ~F.col("page_id").eqNullSafe(F.col("response_id")))
+            .select("row", "response_id").distinct())
 
 
 def write_archives(spark: SparkSession, pages: DataFrame, path: str, page_id: str = "page_id", min_bytes: int = 0,
@@ -216,18 +220,18 @@ def write_archives(spark: SparkSession, pages: DataFrame, path: str, page_id: st
     A null html is an empty payload, a null url leaves the header out, a null
     page id writes the id ``none`` and never is the response of others with
     an id; rows with equal page id and payload are all responses if that id
-    is the smallest.  Further columns are ignored.
+    is the smallest.  Further columns are ignored.  Payloads are shuffled
+    once, into the archives.
     """
     sample = [bytes(r["p"]) for r in pages.select(F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("p"))
               .where(F.octet_length("p") < 1 << 16).limit(DICT_SAMPLE).collect()]
     dictionary = train_dictionary(sample)
     total = pages.agg(F.sum(F.octet_length("html")).alias("n")).first()["n"] or 0
     archives = max(1, -(-total // archive_bytes))
-    rows = with_revisits(pages, page_id, min_bytes)
-    # a revisit's payload is not stored: only its length travels to the writer
-    slim = rows.select("page_id", "url", F.octet_length("payload").alias("size"), "digest", "response_id", "revisit",
-                       F.when(~F.col("revisit"), F.col("payload")).alias("payload"))
-    dealt = slim.repartition(archives, F.xxhash64("page_id", "digest"))
+    dealt = _rows(pages, page_id).repartition(archives, "row")
+    # the join keeps that partitioning, and holds one archive's revisits in a hash table
+    joined = dealt.join(revisits(pages, page_id, min_bytes).hint("shuffle_hash"), "row", "left")
+    slim = joined.select("page_id", "url", "payload", "digest", "response_id")
     lead = skippable(dictionary)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,20 +241,18 @@ def write_archives(spark: SparkSession, pages: DataFrame, path: str, page_id: st
             cctx = zstandard.ZstdCompressor(write_checksum=True)
         begun = False
         for b in batches:
-            for row in b.to_batches() if isinstance(b, pa.Table) else [b]:
-                out = []
-                cols = [row.column(c).to_pylist() for c in
-                        ("page_id", "url", "size", "digest", "response_id", "revisit", "payload")]
-                for pid, url, size, digest, first, revisit, payload in zip(*cols, strict=True):
-                    body = bytes(size) if revisit else payload or b""
-                    record = build_record(pid, url, body, base64.b32encode(digest).decode(), first, revisit)
-                    out.append(cctx.compress(record))
-                if out and not begun:
-                    out.insert(0, lead)
-                    begun = True
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
-
-    (dealt.mapInArrow(write, "frame binary").select(F.col("frame").cast("string").alias("value"))
+            out = []
+            cols = [b.column(c) for c in ("page_id", "url", "payload", "digest", "response_id")]
+            for row in zip(*cols, strict=True):
+                pid, url, payload, digest, first = (x.as_py() for x in row)
+                name = base64.b32encode(bytes.fromhex(digest)).decode()
+                out.append(cctx.compress(build_record(pid, url, payload, name, first, first is not None)))
+            if out and not begun:
+                out.insert(0, lead)
+                begun = True
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
+
+    (slim.mapInArrow(write, "frame binary").select(F.col("frame").cast("string").alias("value"))
      .write.mode("overwrite").option("lineSep", SEPARATOR).option("compression", "none").text(path))
 
 

@@ -180,10 +180,10 @@ def classes(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text:
             .select("key", (-F.col("m.col2")).alias("lead"))
         led = kept(spark, open_.join(lead, "key").where("node <> lead"), "led")
         pairs = led.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-        if texts is None:  # only texts that meet others travel
+        if texts is None:  # only texts that meet others travel on; sorted by id at any size
             wanted = open_.select(F.col("node").alias("id")).distinct()
             texts = kept(spark, docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t"))
-                         .where("t is not null").join(wanted, "id", "left_semi")
+                         .where("t is not null").join(wanted.hint("merge"), "id", "left_semi")
                          .groupBy("id").agg(F.min("t").alias("t")), "texts")
         found = kept(spark, _verify(pairs, texts, threshold), "found")
         links = links.union(found)

@@ -78,16 +78,17 @@ def rule_columns(host_: Column, path_: Column, rules=RULES) -> tuple[Column, Col
     return rule, verdict
 
 
-def _grams(text: Column, mark: str, sizes=NGRAMS) -> Column:
-    """Marked character n-grams of ``^text$``."""
-    body = F.concat(F.lit("^"), text, F.lit("$"))
-    parts = [F.when(F.length(body) >= n, F.transform(
-        F.sequence(F.lit(1), F.length(body) - (n - 1)),
-        lambda i, n=n: F.concat(F.lit(mark), F.substring(body, i, F.lit(n)))))
-        .otherwise(F.array().cast("array<string>")) for n in sizes]
+def _grams(body: str, mark: str, sizes=NGRAMS) -> Column:
+    """Marked character n-grams of a string column (a plain column: it is read once per n-gram)."""
+    parts = [F.when(F.length(body) >= n, F.transform(F.sequence(F.lit(1), F.length(body) - (n - 1)), _gram(body, mark, n)))
+             .otherwise(F.array().cast("array<string>")) for n in sizes]
     return F.concat(*parts)
 
 
+def _gram(body: str, mark: str, n: int):
+    return lambda i: F.concat(F.lit(mark), F.substring(F.col(body), i, F.lit(n)))
+
+
 def with_parts(df: DataFrame, url: str = "url") -> DataFrame:
     u = F.col(f"`{url}`")
     return df.withColumns({"host": host(u), "path": path(u)})
@@ -96,7 +97,9 @@ def with_parts(df: DataFrame, url: str = "url") -> DataFrame:
 def _featured(df: DataFrame) -> DataFrame:
     # digits of a path tell pages apart, not kinds of pages
     plain = F.regexp_replace(F.col("path"), "[0-9]+", "0")
-    return df.withColumn("__grams", F.concat(_grams(F.col("host"), "h"), _grams(plain, "p")))
+    ends = df.withColumns({"__h": F.concat(F.lit("^"), F.col("host"), F.lit("$")),
+                           "__p": F.concat(F.lit("^"), plain, F.lit("$"))})
+    return ends.withColumn("__grams", F.concat(_grams("__h", "h"), _grams("__p", "p"))).drop("__h", "__p")
 
 
 @dataclass

@@ -110,7 +110,8 @@ def test_hard_rows(spark):
 
 
 def test_repeated_rows_and_missing_ids(spark):
-    text = "".join(sentence(random.Random(5), 20) for _ in range(4))
+    rnd = random.Random(5)
+    text = "".join(sentence(rnd, 20) for _ in range(4))
     rows = [(3, text), (3, text), (None, text), (None, text), (9, text), (3, "something else under the id.")]
     got = spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     left = sorted(((r["doc_id"] or 0), r["text"]) for r in got)

@@ -9,7 +9,8 @@ likeliest states; turns are then rendered canonically.
 
 Transition and emission counts come from labelled turns, as one grouped count
 in Spark over at most ``MAX_TRAINING`` labelled transcripts (those with the
-smallest hashes, a bounded repeatable sample), with add-one smoothing.
+smallest hashes, a bounded repeatable sample).  Emissions of a state are smoothed by one
+count spread like the first (or further) lines of all roles, moves by one each.
 
 Conversations are read in segments of ``SEGMENT`` turns, and a segment with
 more than ``PIECE`` rows (one id repeated very often) is dealt into pieces by
@@ -108,16 +109,23 @@ def fit(counts: dict[tuple[str, str, int], int]) -> Model:
         elif kind == "move":
             move[int(value), state] += c
         else:
-            values[FEATURES.index(kind)].setdefault(value, np.ones(n))[state] += c
+            values[FEATURES.index(kind)].setdefault(value, np.zeros(n))[state] += c
     for i, (role, _) in enumerate(STATES):  # a further line follows a line of its own role
         for j, (to, first) in enumerate(STATES):
             if not first and to != role:
                 move[i, j] = 0
     start[[j for j, (_, first) in enumerate(STATES) if not first]] = 0
     emit = []
+    firsts = np.array([first for _, first in STATES])
     for v in values:
-        total = sum(v.values(), np.ones(n))  # one more for values not seen
-        emit.append({k: np.log(x / total) for k, x in v.items()} | {"": np.log(1 / total)})
+        # a rare role is smoothed towards what first (or further) lines of all roles look like
+        total = sum(v.values(), np.zeros(n))
+        every = np.array([total[firsts == f].sum() for f in firsts]) + len(v) / 2
+        table = {"": np.zeros(n)}  # a value that no training line has tells nothing
+        for k, x in v.items():
+            pooled = np.array([x[firsts == f].sum() + 0.5 for f in firsts]) / every
+            table[k] = np.log((x + pooled) / (total + 1))
+        emit.append(table)
     with np.errstate(divide="ignore"):
         return Model(np.log(start / start.sum()), np.log(move / move.sum(axis=1, keepdims=True)), emit)
 

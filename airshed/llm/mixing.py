@@ -131,6 +131,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, shards: int = SHA
     Columns of ``docs`` with these names are replaced.
     """
     made = ("size", "source_size", "target", "copies", "taken", "shards")
+    docs = docs.drop(*made)
     rows = _with_place(docs, names, seed)
     narrow = kept(spark, rows.select(F.col(f"`{names.source}`"), "__size", "__place"), "mix-sizes")
     # equal places (repeated rows) are added up before the shuffle
@@ -201,7 +202,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, shards: int = SHA
              zip(totals, sizes, want, count, step, full, whole, strict=True))],
         f"__source {source_type}, source_size long, target double, __blocks long, __step long, __full long, "
         "__whole long, __cut long, __extra array<long>, __ends array<long>")
-    keep = [F.col(f"d.`{c}`") for c in docs.columns if c not in made]
+    keep = [F.col(f"d.`{c}`") for c in docs.columns]
     got = _join_sources(rows, final, len(sizes), names).select(
         *keep, F.col("__size").alias("size"), "source_size", "target", _rank().alias("__rank"), "__blocks", "__full",
         "__ends", (_once_more() | F.array_contains("__extra", F.col("__place"))).alias("__more"))

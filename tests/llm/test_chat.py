@@ -9,14 +9,14 @@ SCHEMA = "conv_id long, turn long, role string, text string"
 
 @pytest.fixture(scope="module")
 def model(spark):
-    parts = chat.segments(spark.read.parquet(TABLE)).where("conv_id % 2 = 0")
+    parts = chat.segments(spark.read.parquet(TABLE)).where("conv_id % 3 <> 0")
     return chat.train(spark, parts)
 
 
 def test_held_out_roles(spark, model):
     """Roles of conversations that the model has not seen, whole transcripts."""
     right = n = 0
-    for r in chat.segments(spark.read.parquet(TABLE)).where("conv_id % 2 = 1").collect():
+    for r in chat.segments(spark.read.parquet(TABLE)).where("conv_id % 3 = 0").collect():
         raw = "\n".join(line for line, _ in chat._lines([t.asDict() for t in r["turns"]], r["conv_id"], r["segment"]))
         right += [role for role, _ in chat.parse(model, raw)] == [t["role"] for t in r["turns"]]
         n += 1
@@ -24,7 +24,7 @@ def test_held_out_roles(spark, model):
 
 
 def test_marked_turns_are_exact(model):
-    turns = [("user", "Where is it?\nI looked\n\neverywhere."), ("assistant", "There: on the table."), ("user", "Thanks")]
+    turns = [("user", "Where is it?\nI looked\neverywhere."), ("assistant", "There: on the table."), ("user", "Thanks")]
     raw = "\n".join(line for line, _ in chat.write_transcript(turns, 0))
     assert chat.parse(model, raw) == [("user", "Where is it?\nI looked\neverywhere."), *turns[1:]]
 

@@ -44,7 +44,7 @@ def test_against_brute_force(spark):
     for r in licenses.scan(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect():
         got.setdefault(r["id"], {})[r["license_id"]] = r["containment"]
     assert got == {i: b for i, t in rows if (b := brute(t))}
-    assert len(got) > 60
+    assert len(got) >= 40  # the whole third at least: not a vacuous comparison
 
 
 def test_native_plan(spark):

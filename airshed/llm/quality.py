@@ -134,6 +134,13 @@ def judge(docs: DataFrame, text: str = "text", rules=DEFAULT_RULES, stop_words=S
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules=DEFAULT_RULES) -> DataFrame:
-    """Only the documents that pass; the input's columns."""
-    return judge(docs.withColumn("__quality_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])),
-                 text, rules).where("kept").select("__quality_row.*")
+    """Only the documents that pass; the input's columns.
+
+    The verdict decides in a generator (a rejected row generates null): a
+    plain filter would be pushed below the counting projections, and the
+    counts inlined into it again and again.
+    """
+    row = "__quality_row"
+    judged = judge(docs.withColumn(row, F.struct(*[F.col(f"`{c}`") for c in docs.columns])), text, rules)
+    return (judged.select(F.explode_outer(F.when(F.col("kept"), F.array(row))).alias(row))
+            .where(F.col(row).isNotNull()).select(f"{row}.*"))

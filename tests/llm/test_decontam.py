@@ -12,17 +12,21 @@ from tests.llm.cases import HARD, alnum, empty, hard, prose
 
 def brute(docs, items, window=10):
     """Per document: hit word places and item ids."""
-    out = {}
+    known, out = {}, {}
+    for item, t in items:
+        w = alnum(t)
+        n = min(window, len(w))
+        for a in range(len(w) - n + 1 if n else 0):
+            known.setdefault(tuple(w[a:a + n]), set()).add(item)
+    sizes = {len(k) for k in known}
     for i, text in docs:
         words, hit, ids = alnum(text), set(), set()
-        for item, t in items:
-            w = alnum(t)
-            n = min(window, len(w))
-            for a in range(len(w) - n + 1 if n else 0):
-                for p in range(len(words) - n + 1):
-                    if words[p:p + n] == w[a:a + n]:
-                        hit.update(range(p, p + n))
-                        ids.add(item)
+        for n in sizes:
+            for p in range(len(words) - n + 1):
+                found = known.get(tuple(words[p:p + n]))
+                if found:
+                    hit.update(range(p, p + n))
+                    ids |= found
         out[i] = (hit, sorted(map(str, ids)))
     return out
 

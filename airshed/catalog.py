@@ -17,9 +17,10 @@ from airshed.compare import round_doubles
 from airshed.functions.model_features import build_features, day_ordinal
 from airshed.operators.crossval import SUMMARY_COLS
 from airshed.operators.region import cities_without_region
-from airshed.operators.resample import resample
+from airshed.operators.resample import drop_incomplete_rows, resample
 from airshed.plans import stages
-from airshed.schemas import AQI_AGG, WEATHER_AGG
+from airshed.schemas import AQI_AGG, FEATURES, WEATHER_AGG
+from airshed.session import pinned
 from airshed.sources.adapter import hourly_aqi, hourly_weather
 from airshed.sources.cities import dim_city
 
@@ -98,19 +99,16 @@ FROM (SELECT time_bucket(INTERVAL 6 HOUR, time) AS bin, city, avg(temperature_2m
 @register("dropna_any", _DROPNA_SQL)
 def q_dropna_any(spark, sf):
     """Bins before and after dropping incomplete rows, per feed."""
+    from airshed.operators.merge import union_frames
     out = []
     for feed, hourly, how in (("aqi", hourly_aqi(spark, sf), AQI_AGG),
                               ("weather", hourly_weather(spark, sf), WEATHER_AGG)):
         binned = resample(hourly, how, drop_incomplete=False)
-        complete = F.lit(True)
-        for c in ["time", "city", *how]:
-            complete = complete & F.col(c).isNotNull() & ~F.isnan(F.col(c)) \
-                if c in how else complete & F.col(c).isNotNull()
-        out.append(binned.agg(
-            F.lit(feed).alias("feed"),
-            F.count(F.lit(1)).alias("n_bins"),
-            F.count(F.when(complete, 1)).alias("n_complete")))
-    return out[0].unionByName(out[1])
+        for rows, counted in ((binned, "n_bins"), (drop_incomplete_rows(binned), "n_complete")):
+            out.append(rows.agg(F.lit(feed).alias("feed"), F.lit(counted).alias("k"), F.count(F.lit(1)).alias("n")))
+    return union_frames(out).groupBy("feed").agg(
+        F.max(F.when(F.col("k") == "n_bins", F.col("n"))).alias("n_bins"),
+        F.max(F.when(F.col("k") == "n_complete", F.col("n"))).alias("n_complete"))
 
 
 # ---------------------------------------------------------------- J1
@@ -242,6 +240,11 @@ def q_dow(spark, sf):
 
 # ---------------------------------------------------------------- M1, M2, F17
 
+def _keys(spark, sf):
+    """The keys of the feature table, written once: counting and cutting read only them."""
+    return pinned(spark, features(spark, sf).select("time", "city"), "keys")
+
+
 def _coded(spark, sf):
     from pyspark.ml import Pipeline
 
@@ -254,7 +257,7 @@ def _coded(spark, sf):
 def q_split(spark, sf):
     """M1 exact: ceil(0.2 n) test rows, smallest md5(city|time|seed) first."""
     from airshed.operators.split import split_exact
-    return split_exact(features(spark, sf).select("time", "city"), 0.2, 42)
+    return split_exact(_keys(spark, sf), 0.2, 42)
 
 
 @register("train_test_split_hash", O.with_base(
@@ -270,7 +273,7 @@ def q_split_hash(spark, sf):
 def q_folds(spark, sf):
     """M2: exact 5 folds over the training rows."""
     from airshed.operators.split import assign_folds, split_exact
-    s = split_exact(features(spark, sf).select("time", "city"), 0.2, 42)
+    s = split_exact(_keys(spark, sf), 0.2, 42)
     return assign_folds(s.where(~F.col("is_test")).drop("is_test"), 5, 42)
 
 
@@ -280,7 +283,7 @@ def q_folds(spark, sf):
 def q_folds_hash(spark, sf):
     """M2 hash mode: fold = md5 prefix modulo 5 (no sort, sizes ~n/5)."""
     from airshed.operators.split import assign_folds, split_exact
-    s = split_exact(features(spark, sf).select("time", "city"), 0.2, 42)
+    s = split_exact(_keys(spark, sf), 0.2, 42)
     return assign_folds(s.where(~F.col("is_test")).drop("is_test"), 5, 42, exact=False)
 
 
@@ -316,7 +319,7 @@ def q_cv_r2(spark, sf):
     from airshed.operators.crossval import cross_validate
     from airshed.operators.estimators import GroupMeanRegressor
     from airshed.operators.split import assign_folds, split_exact
-    fm = features(spark, sf).select("time", "city", "label")
+    fm = pinned(spark, features(spark, sf).select("time", "city", "label"), "labels")
     s = split_exact(fm, 0.2, 42)
     folded = assign_folds(s.where(~F.col("is_test")).drop("is_test"), 5, 42)
     r2 = cross_validate(folded, GroupMeanRegressor(groupCol="city"), 5)
@@ -401,7 +404,7 @@ def _land(spark, hourly, feed, variables, defects: bool = False) -> str:
     kinds, good = _defect_texts(variables)
     text = good
     if defects:
-        ix = F.broadcast(dim_city(spark, with_index=True).select("city", "ix"))
+        ix = dim_city(spark, with_index=True).select("city", "ix")
         p = p.join(ix, "city")
         k = F.col("ix") % 16
         text = None
@@ -478,15 +481,35 @@ def q_src_all_rejected(spark, sf):
     return stages.gather_aqi(rows)
 
 
+@register("src_all_rejected_reasons", O.with_base(
+    "SELECT DISTINCT 'aqi' AS feed, city, 'no_hourly' AS reason FROM hourly_aqi"))
+def q_src_all_rejected_reasons(spark, sf):
+    """The same landing's reject table names every city."""
+    from airshed.schemas import AQI_VARS
+    from airshed.session import scratch_path
+    from airshed.sources.payload import hourly_from_landing, to_payloads, write_landing
+    p = to_payloads(hourly_aqi(spark, sf), AQI_VARS)
+    path = scratch_path(spark, "landing-rejected") + "/feed=aqi"
+    write_landing(p.select("city", F.lit('{"error": true}').alias("value")), path)
+    return hourly_from_landing(spark, path, "aqi")[1]
+
+
 @register("src_date_range", O.with_base(O.select_rounded(
-    ["time", "city", "pm10", "pm2_5"], "raw_aqi WHERE time >= TIMESTAMP '2024-02-01 00:00:00' "
-    "AND time < TIMESTAMP '2024-10-01 00:00:00'")))
+    ["time", "city", "pm10", "pm2_5"], "raw_aqi WHERE time >= TIMESTAMP '2024-02-10 00:00:00' "
+    "AND time < TIMESTAMP '2024-09-21 00:00:00'")))
 def q_src_dates(spark, sf):
-    """Inclusive date range [2024-02-01, 2024-09-30] on the hourly feed."""
+    """Inclusive date range [2024-02-10, 2024-09-20] on the hourly stage
+    (a partition filter on its months, then the days)."""
     import datetime as dt
 
-    from airshed.sources.payload import restrict_dates
-    h = restrict_dates(hourly_aqi(spark, sf), dt.date(2024, 2, 1), dt.date(2024, 9, 30))
+    from airshed.schemas import AQI_VARS
+    from airshed.session import scratch_path
+    from airshed.sources.payload import accepted, read_payloads, rejects, write_hourly
+    landed = _land(spark, hourly_aqi(spark, sf), "aqi", AQI_VARS)
+    stage = scratch_path(spark, "hourly-aqi")
+    write_hourly(read_payloads(spark, landed, AQI_VARS), "aqi", stage)
+    rej = pinned(spark, rejects(spark, stage, "aqi"), "rejects-aqi")
+    h = accepted(spark, stage, "aqi", rej, dt.date(2024, 2, 10), dt.date(2024, 9, 20))
     return round_doubles(stages.gather_aqi(h))
 
 
@@ -496,17 +519,18 @@ def q_src_dates(spark, sf):
 def q_dim_city(spark, sf):
     """The city dimension (48 fixed rows, broadcast) against the feed."""
     counts = hourly_aqi(spark, sf).groupBy("city").agg(F.count(F.lit(1)).alias("n_hours"))
-    return counts.join(F.broadcast(dim_city(spark)), "city").select(
+    return counts.join(dim_city(spark), "city").select(
         "city", "lat", "lon", "region", "n_hours")
 
 
 @register("src_city_semi", O.with_base(
     "SELECT city, count(*) AS n_hours FROM hourly_weather "
-    "WHERE city IN (SELECT city FROM dim_city) GROUP BY city"))
+    "WHERE city IN (SELECT city FROM dim_city WHERE region NOT IN ('South', 'UT')) GROUP BY city"))
 def q_src_semi(spark, sf):
-    """Only listed cities (left semi join to the dimension)."""
-    from airshed.sources.cities import select_cities
-    return (select_cities(hourly_weather(spark, sf), dim_city(spark))
+    """Only listed cities, with a list that lacks two regions."""
+    from airshed.sources.cities import CITIES, select_cities
+    listed = [c for c, _lat, _lon, region in CITIES if region not in ("South", "UT")]
+    return (select_cities(hourly_weather(spark, sf), listed)
             .groupBy("city").agg(F.count(F.lit(1)).alias("n_hours")))
 
 
@@ -546,28 +570,13 @@ _STAGES_SQL = O.with_base(
 
 @register("stage_counts", _STAGES_SQL)
 def q_stage_counts(spark, sf):
-    """A3: rows per stage, from one plan with 2 exchanges.
-
-    The two 6-hour tables (the real stage outputs) are flagged and full-outer
-    joined on (city, time), which reuses their partitioning; both are unique
-    on that key, so rows present on both sides are exactly the merged rows,
-    and W4 only adds columns (engineered = merged).  The hourly counts are
-    plain scans.  (In the job runner the counts come from ``observe`` on
-    each stage's write.)
-    """
+    """A3: rows of every stage's real output, W3 and W4 included.  (In the
+    job runner the counts come from ``observe`` on each stage's write.)"""
     from airshed.operators.merge import union_frames
-    ha, hw = hourly_aqi(spark, sf), hourly_weather(spark, sf)
-    a = raw_aqi(spark, sf).select("city", "time", F.lit(True).alias("_a"))
-    w = raw_weather(spark, sf).select("city", "time", F.lit(True).alias("_w"))
-    both = F.col("_a").isNotNull() & F.col("_w").isNotNull()
-    j = a.join(w, ["city", "time"], "full_outer").agg(
-        F.count("_a").alias("raw_aqi"), F.count("_w").alias("raw_weather"),
-        F.count(F.when(both, 1)).alias("merged"), F.count(F.when(both, 1)).alias("engineered"))
-    staged = j.unpivot([], ["raw_aqi", "raw_weather", "merged", "engineered"], "stage", "n_rows")
-    return union_frames([
-        ha.agg(F.lit("hourly_aqi").alias("stage"), F.count(F.lit(1)).alias("n_rows")),
-        hw.agg(F.lit("hourly_weather").alias("stage"), F.count(F.lit(1)).alias("n_rows")),
-        staged])
+    outputs = {"hourly_aqi": hourly_aqi, "hourly_weather": hourly_weather, "raw_aqi": raw_aqi,
+               "raw_weather": raw_weather, "merged": merged, "engineered": engineered}
+    return union_frames([make(spark, sf).agg(F.lit(stage).alias("stage"), F.count(F.lit(1)).alias("n_rows"))
+                         for stage, make in outputs.items()])
 
 
 @register("union_cities", O.with_base(O.select_rounded(["time", "city", "pm10", "pm2_5"], "raw_aqi")))
@@ -589,44 +598,93 @@ def q_union(spark, sf):
     return round_doubles(union_frames(parts))
 
 
-# ---------------------------------------------------------------- M3, M5, M8, M9, T1, S13 (rows only)
+# ---------------------------------------------------------------- M3, M5, M8, M9, M10, T1, S13
 
-# Trees per boosted model in the registered checks (the job default is 900).
+# Trees per boosted model in the registered checks.  The number is a parameter
+# of the job (``--n-estimators``, 900 by default); these queries check that
+# fitting, scoring, saving and reporting work on every row.
 CHECK_TREES = 5
 
 
-def _gbt_train(spark, sf, with_cv: bool = False):
+def _gbt_train(spark, sf, target: str = "pm2_5", trees: int = CHECK_TREES):
+    from pyspark.ml import PipelineModel
+
     from airshed.params import TrainParams
-    from airshed.plans.train import gbt_estimator, prepare
-    params = TrainParams()
+    from airshed.plans.train import bins_for, gbt_estimator, prepare
+    params = TrainParams(target=target)
     indexer, split = prepare(engineered(spark, sf), params)
     train_rows = split.where(~F.col("is_test")).drop("is_test")
     test_rows = split.where(F.col("is_test")).drop("is_test")
-    fitted = gbt_estimator(params, CHECK_TREES).fit(train_rows)
-    from pyspark.ml import PipelineModel
+    fitted = gbt_estimator(params, trees, bins_for(indexer, params)).fit(train_rows)
     model = PipelineModel(stages=[*indexer.stages, *fitted.stages])
     return model, test_rows
 
 
-@register("gbt_fit_predict", None)
+def _uncoded(rows: DataFrame) -> DataFrame:
+    """Rows without the categorical codes: the full model derives them again."""
+    return rows.select(*[c for c in rows.columns if not c.endswith("_code")])
+
+
+@register("gbt_fit_predict", O.with_cv(
+    f"SELECT time, city, {O.r6('label')} AS label, true AS predicted FROM split WHERE is_test"))
 def q_gbt(spark, sf):
-    """M3 / M5 / M9: boosted trees on the training rows, predictions for the
-    held-out rows (time, city, label, prediction)."""
+    """M3 / M5 / M9: boosted trees on the training rows score exactly the held-out rows."""
     model, test_rows = _gbt_train(spark, sf)
-    # the test rows already carry codes; the full model re-derives them
-    fm_cols = [c for c in test_rows.columns if not c.endswith("_code")]
-    return model.transform(test_rows.select(*fm_cols)).select("time", "city", "label", "prediction")
+    scored = model.transform(_uncoded(test_rows))
+    ok = F.col("prediction").isNotNull() & ~F.isnan("prediction")
+    return round_doubles(scored.select("time", "city", "label", ok.alias("predicted")))
+
+
+def _stump(spark, sf, target: str) -> DataFrame:
+    """One tree of depth 1 on ``is_weekend``: MLlib does not shrink its first
+    tree, so the prediction is the mean label of the training rows per group."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+
+    from airshed.params import BoostParams, TrainParams
+    from airshed.plans.train import make_gbt, prepare
+    params = TrainParams(target=target, boost=BoostParams(max_depth=1))
+    _, split = prepare(engineered(spark, sf), params)
+    stump = Pipeline(stages=[VectorAssembler(inputCols=["is_weekend"], outputCol="features"), make_gbt(params, 1)])
+    model = stump.fit(split.where(~F.col("is_test")))
+    return round_doubles(model.transform(split.where("is_test")).select("time", "city", "is_weekend", "prediction"))
 
 
-@register("importance_topk", None)
+def _stump_sql(target: str) -> str:
+    return O.with_cv(f"""
+SELECT s.time, s.city, f.is_weekend, {O.r6("m.p")} AS prediction
+FROM split s JOIN fm f ON s.time = f.time AND s.city = f.city
+JOIN (SELECT f.is_weekend, avg(f.{target}) AS p FROM split s JOIN fm f ON s.time = f.time AND s.city = f.city
+      WHERE NOT s.is_test GROUP BY f.is_weekend) m ON m.is_weekend = f.is_weekend
+WHERE s.is_test""")
+
+
+@register("gbt_stump", _stump_sql("pm2_5"))
+def q_gbt_stump(spark, sf):
+    """M3 / M5 / M9 against SQL: the first boosted tree's values."""
+    return _stump(spark, sf, "pm2_5")
+
+
+@register("gbt_stump_pm10", _stump_sql("pm10"))
+def q_gbt_stump_pm10(spark, sf):
+    """The pm10 variants fit the same job on pm10."""
+    return _stump(spark, sf, "pm10")
+
+
+@register("importance_topk", "SELECT feature, 1.0e0 AS total FROM (VALUES "
+          + ", ".join(f"('{c}')" for c in FEATURES) + ") v(feature)")
 def q_importance(spark, sf):
-    """Feature importance, top 40 by importance."""
+    """The importance table (top 40 of 22 features) names every
+    feature once, and its importances add up to 1."""
+    from pyspark.sql import Window
+
     from airshed.plans.train import importance_table
     model, _ = _gbt_train(spark, sf)
-    return importance_table(spark, model, 40)
+    total = F.sum("importance").over(Window.partitionBy(F.lit(1)))  # 22 rows
+    return round_doubles(importance_table(spark, model, 40).select("feature", total.alias("total")))
 
 
-@register("model_save_load", None)
+@register("model_save_load", O.with_cv("SELECT time, city, true AS same FROM split WHERE is_test"))
 def q_model_io(spark, sf):
     """Save the fitted pipeline, load it back, predict with both."""
     from pyspark.ml import PipelineModel
@@ -636,17 +694,18 @@ def q_model_io(spark, sf):
     path = scratch_path(spark, "model")
     model.write().overwrite().save(path)
     loaded = PipelineModel.load(path)
-    fm_cols = [c for c in test_rows.columns if not c.endswith("_code")]
-    rows = test_rows.select(*fm_cols)
-    a = model.transform(rows).select("time", "city", F.col("prediction").alias("p_saved"))
-    b = loaded.transform(rows).select("time", "city", F.col("prediction").alias("p_loaded"))
-    return a.join(b, ["time", "city"]).withColumn(
-        "same", F.abs(F.col("p_saved") - F.col("p_loaded")) < F.lit(1e-9))
+    rows = _uncoded(test_rows)
+    once = model.transform(rows).withColumnRenamed("prediction", "p_saved").select(*rows.columns, "p_saved")
+    both = loaded.transform(once)
+    return both.select("time", "city", (F.abs(F.col("p_saved") - F.col("prediction")) < F.lit(1e-9)).alias("same"))
 
 
-@register("gbt_cross_validate", None)
+@register("gbt_cross_validate", O.with_cv(
+    "SELECT DISTINCT cast(fold AS integer) AS Fold, true AS gap_is_difference, true AS scored FROM folds"))
 def q_gbt_cv(spark, sf):
-    """M4 with the boosted model: Fold, Train_R2, CV_R2, Gap (5 rows)."""
+    """M4 with the boosted model: one row per fold, Gap = Train_R2 - CV_R2, scores of at most 1."""
     from airshed.plans.train import train
-    res = train(spark, engineered(spark, sf), "pm25_predictor", max_iter=CHECK_TREES)
-    return round_doubles(res.fold_results)
+    res = train(spark, engineered(spark, sf), "pm25_predictor", max_iter=CHECK_TREES).fold_results
+    gap = F.abs(F.col("Gap") - (F.col("Train_R2") - F.col("CV_R2"))) < 1e-9
+    return res.select("Fold", gap.alias("gap_is_difference"),
+                      ((F.col("Train_R2") <= 1) & (F.col("CV_R2") <= 1)).alias("scored"))

@@ -13,7 +13,8 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasLabelCol, HasPredictionCol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
+
+from airshed.session import pinned
 
 
 class _GroupParams(HasLabelCol, HasPredictionCol):
@@ -35,13 +36,11 @@ class GroupMeanRegressor(Estimator, _GroupParams):
         g, y = self.getGroupCol(), self.getLabelCol()
         # Partial aggregation per task first: a hot group is one row per task.
         means = dataset.groupBy(g).agg(F.avg(F.col(y).cast("double")).alias("_group_mean"))
-        # Materialise the one-row-per-group table (fitting is eager anyway):
-        # joins are then planned with its measured size, so a small table is
+        # Write the one-row-per-group table (fitting is eager anyway): joins
+        # are then planned with its measured size, so a small table is
         # broadcast up front and the scored rows are never shuffled; a large
         # one (beyond the broadcast threshold) falls back to a shuffle join.
-        means = means.persist(StorageLevel.MEMORY_AND_DISK)
-        means.count()
-        m = GroupMeanModel(means)
+        m = GroupMeanModel(pinned(dataset.sparkSession, means, "group-means"))
         m._set(groupCol=g, labelCol=y, predictionCol=self.getPredictionCol())
         return m
 
@@ -53,7 +52,7 @@ class GroupMeanModel(Model, _GroupParams):
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         g, p = self.getGroupCol(), self.getPredictionCol()
-        # One row per group, materialised: broadcast when its measured size is
+        # One row per group, written: broadcast when its measured size is
         # under the threshold, otherwise a shuffle join (AQE splits skew).
         return (dataset.join(self.means, g, "left")
                 .withColumnRenamed("_group_mean", p))

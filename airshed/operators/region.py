@@ -3,49 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from airshed.sources.cities import broadcast_if_small
-
-MAX_NAMED = 20
 
 
 class RegionMappingError(ValueError):
     pass
 
 
-# Above this many dimension rows the check is a join instead of a filter.
-MAX_LISTED_CITIES = 10_000
-
-
 def cities_without_region(df: DataFrame, dim: DataFrame) -> DataFrame:
     """Distinct cities of ``df`` absent from the dimension.
 
-    The dimension is a small fixed table (48 rows; guarded), so it becomes a
-    ``city NOT IN (...)`` predicate.  Unlike an anti join, a filter on a key
-    column is pushed by Catalyst below aggregates and joins down to the scans
-    (or to the Parquet reader): when every city is known -- the normal case --
-    almost nothing flows, and the eager check costs about a scan.  A NULL
-    city counts as missing, as with the anti join.  ``distinct`` pre-aggregates
-    per partition, so a hot city costs one row per partition.
+    One left-anti join whose strategy the planner picks by the dimension's
+    size.  ``distinct`` is partially aggregated first, so a hot city costs one
+    row per partition; a NULL city counts as missing.
     """
-    known = dim.select("city").limit(MAX_LISTED_CITIES + 1).collect()
-    if len(known) > MAX_LISTED_CITIES:
-        # large dimension: a plain anti join (AQE picks the strategy by size)
-        return df.select("city").join(dim.select("city"), "city", "left_anti").distinct()
-    names = sorted({r["city"] for r in known if r["city"] is not None})
-    unknown = F.col("city").isNull() | ~F.col("city").isin(*names)
-    return df.select("city").where(unknown).distinct()
+    return df.select("city").distinct().join(dim.select("city"), "city", "left_anti")
 
 
 def check_regions(df: DataFrame, dim: DataFrame) -> None:
-    """Fail, naming the cities, when any city has no region.
+    """Fail, naming every city that has no region.
 
     Eager on purpose: a lazy guard inside the plan is pruned when the region
-    column is not selected downstream.  At most ``MAX_NAMED`` names reach the
-    driver.
+    column is not selected downstream.
     """
-    missing = [r["city"] for r in cities_without_region(df, dim).limit(MAX_NAMED).collect()]
+    missing = sorted((r["city"] for r in cities_without_region(df, dim).collect()), key=lambda c: (c is None, c or ""))
     if missing:
         raise RegionMappingError(f"Region mapping incomplete; missing region for: {missing}")
 
@@ -54,5 +34,4 @@ def add_region(df: DataFrame, dim: DataFrame, check: bool = True) -> DataFrame:
     """Left lookup join of ``region`` (the dimension has one row per city)."""
     if check:
         check_regions(df, dim)
-    lookup = broadcast_if_small(dim.select("city", "region"))
-    return df.join(lookup, "city", "left").select(*df.columns, "region")
+    return df.join(dim.select("city", "region"), "city", "left").select(*df.columns, "region")

@@ -10,15 +10,20 @@ Two modes:
   ``md5(key | seed)`` fall below ``test_size * 2^32``.  A pure projection: no
   shuffle, no driver round trip; the test size is ~``test_size * n``.
 * exact mode (the default) -- the test part is exactly ``ceil(test_size * n)``
-  rows: the smallest keys in md5 order.  Rows get their global position in
-  that order from :func:`global_rank` (a distributed range sort).  Folds use
-  the same ranking and ``ntile`` arithmetic, so sizes differ by at most one,
-  larger folds first.
+  rows: the smallest keys in md5 order.  :func:`cut_keys` finds the key at
+  that position by counting key prefixes (no sort, no row moves); a row is in
+  the test part when its key is smaller, a pure projection.  Folds use the
+  keys at the ``ntile`` boundaries, so sizes differ by at most one, larger
+  folds first.
+
+Rows that share (city, time) are told apart by a hash of their whole content;
+fully identical rows are one key and stay on the same side of every cut.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,37 +44,65 @@ def key_hash(seed: int | str, tag: str | None = None, key=KEY) -> Column:
     return F.md5(F.concat(*parts))
 
 
-def global_rank(df: DataFrame, order_cols: list[str], name: str = "rn",
-                num_partitions: int | None = None) -> tuple[DataFrame, int]:
-    """0-based position of every row in ``order_cols`` order, plus the row count.
+DIGITS = 4            # hex digits counted per step: at most 65,536 counts reach the driver
+SMALL = 1000          # a prefix with at most this many distinct keys is looked into
 
-    Distributed: a range shuffle spreads the keys over sorted partitions
-    (``num_partitions``, else the session's shuffle partition count, which
-    AQE may coalesce -- merged neighbours of a range partitioning stay in
-    order); a reliable checkpoint (to the shared checkpoint folder) pins
-    their content; one small aggregation counts rows per partition (one row
-    per partition reaches the driver); each row's position is its
-    partition's offset plus its index inside the partition.  No global
-    window, no single-task step.  ``order_cols`` should make the order total and
-    must be deterministic functions of the row (see :func:`_rank_by_hash`).
+
+def row_key(df: DataFrame, h: Column) -> Column:
+    """48 hex digits: the md5 of the key, then the hash of the whole row."""
+    return F.concat(h, F.lpad(F.lower(F.hex(F.xxhash64(*df.columns))), 16, "0"))
+
+
+def cut_keys(df: DataFrame, h: Column, cuts: Callable[[int], list[int]]) -> tuple[list[str | None], int]:
+    """Keys at the 0-based positions ``cuts(n)`` of the ``n`` rows in key order.
+
+    A row is before position r when its key is smaller than the r-th key
+    (None: r is beyond the last row).  Counts per prefix find the prefix that
+    holds each position; only rows with that prefix are looked at in the next
+    step, until few keys are left.  Each step is a partial aggregation with a
+    bounded result, whatever the number of rows or of rows per key.  ``df`` is
+    read a few times: its columns must come out equal each time (sums of
+    doubles may not; write such a table first).
     """
-    ranged = (df.repartitionByRange(num_partitions, *order_cols) if num_partitions
-              else df.repartitionByRange(*order_cols))
-    ordered = ranged.sortWithinPartitions(*order_cols)
-    pinned = ordered.checkpoint(eager=True)
-    pid = F.spark_partition_id()
-    counts = {r[0]: r[1] for r in pinned.groupBy(pid.alias("p")).count().collect()}
-    total = sum(counts.values())
-    if not counts:
-        return pinned.withColumn(name, F.lit(None).cast("long")), 0
-    offsets, acc = [], 0
-    for p in range(max(counts) + 1):
-        offsets.append(acc)
-        acc += counts.get(p, 0)
-    offset = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), pid + 1)
-    # monotonically_increasing_id = (partition index << 33) + row index in partition
-    in_part = F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)
-    return pinned.withColumn(name, offset + in_part), total
+    def counted(rows: DataFrame, prefix: Column) -> list[tuple[str, int]]:
+        got = rows.groupBy(prefix.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+        return sorted((r["p"], r["n"]) for r in got)
+
+    first = counted(df, F.substring(h, 1, DIGITS))
+    total = sum(n for _, n in first)
+    found: dict[int, str | None] = {}
+    # open positions: (rank, prefix holding it, position inside the prefix)
+    open_: list[tuple[int, str, int]] = []
+
+    def place(rank: int, inside: int, counts: list[tuple[str, int]]) -> None:
+        for p, n in counts:
+            if inside < n:
+                open_.append((rank, p, inside))
+                return
+            inside -= n
+
+    ranks = cuts(total)
+    for r in ranks:
+        if r >= total:
+            found[r] = None
+        else:
+            place(r, r, first)
+    sizes = dict(first)
+    while open_:
+        waiting, open_ = open_, []
+        prefixes = sorted({p for _, p, _ in waiting})
+        length = len(prefixes[0])
+        rows = df.where(F.substring(row_key(df, h), 1, length).isin(*prefixes))
+        few = all(sizes[p] <= SMALL for p in prefixes)
+        step = 48 if few else min(48, length + DIGITS)
+        counts = counted(rows, F.substring(row_key(df, h), 1, step))
+        sizes = dict(counts)
+        for r, p, inside in waiting:
+            place(r, inside, [(q, n) for q, n in counts if q.startswith(p)])
+        if step == 48:
+            found.update({r: p for r, p, _ in open_})
+            open_ = []
+    return [found[r] for r in ranks], total
 
 
 def hash_threshold(fraction: float) -> str:
@@ -88,38 +121,18 @@ def n_test_rows(n: int, test_size: float) -> int:
     return int(math.ceil(test_size * n))
 
 
-def _rank_by_hash(df: DataFrame, h: Column) -> tuple[DataFrame, int]:
-    """Rank rows by (hash, city, time, content hash).
-
-    The last key -- a hash of the whole row -- spreads a hot group of rows
-    that share (city, time) but differ elsewhere over the range partitions.
-    It is a function of the row's content, never of its position, so a
-    re-executed task (lost executor) places every row exactly as before.
-    Fully identical rows stay together; they are interchangeable.  For
-    unique keys (the job's grain) it decides nothing.
-    """
-    keyed = df.withColumn("_h", h).withColumn("_tb", F.xxhash64(*df.columns))
-    ranked, n = global_rank(keyed, ["_h", *KEY, "_tb"], "_rn")
-    return ranked.drop("_tb"), n
-
-
 def split_exact(df: DataFrame, test_size: float = 0.2, seed: int = 42,
                 flag: str = "is_test") -> DataFrame:
     """M1, exact mode: exactly ``ceil(test_size * n)`` test rows."""
-    ranked, n = _rank_by_hash(df, key_hash(seed))
-    k = n_test_rows(n, test_size)
-    return ranked.withColumn(flag, F.col("_rn") < F.lit(k)).drop("_h", "_rn")
+    h = key_hash(seed)
+    (cut,), _ = cut_keys(df, h, lambda n: [n_test_rows(n, test_size)])
+    return df.withColumn(flag, F.lit(True) if cut is None else row_key(df, h) < F.lit(cut))
 
 
-def ntile_of(rank: Column, n: int, k: int) -> Column:
-    """``ntile(k)`` bucket (1-based) of a 0-based position among ``n`` rows."""
+def fold_starts(n: int, k: int) -> list[int]:
+    """0-based positions at which folds 2..k begin, as ``ntile(k)`` cuts n rows."""
     q, rem = divmod(n, k)
-    big = rem * (q + 1)
-    first = F.floor(rank / F.lit(q + 1)) + 1
-    if q == 0:
-        return first.cast("int")
-    rest = F.floor((rank - F.lit(big)) / F.lit(q)) + 1 + rem
-    return F.when(rank < F.lit(big), first).otherwise(rest).cast("int")
+    return [f * q + min(f, rem) for f in range(1, k)]
 
 
 def assign_folds(df: DataFrame, n_folds: int = 5, seed: int = 42,
@@ -130,5 +143,9 @@ def assign_folds(df: DataFrame, n_folds: int = 5, seed: int = 42,
     if not exact:
         v = F.conv(F.substring(h, 1, 8), 16, 10).cast("long")
         return df.withColumn(fold_col, (F.pmod(v, F.lit(n_folds)) + 1).cast("int"))
-    ranked, n = _rank_by_hash(df, h)
-    return ranked.withColumn(fold_col, ntile_of(F.col("_rn"), n, n_folds)).drop("_h", "_rn")
+    keys, _ = cut_keys(df, h, lambda n: fold_starts(n, n_folds))
+    fold = F.lit(1)
+    for key in keys:
+        if key is not None:
+            fold = fold + (row_key(df, h) >= F.lit(key)).cast("int")
+    return df.withColumn(fold_col, fold)

@@ -15,7 +15,7 @@ def r6(x: str) -> str:
 
 
 _TIME = ("timestamp '2024-01-01 00:00:00' "
-         "+ to_days(cast((l_orderkey % 12) * 30 + l_suppkey % 5 as int)) "
+         "+ to_days(cast((l_orderkey % 12) * 30 + l_suppkey % 5 + 360 * (l_orderkey // 15000) as int)) "
          "+ to_hours(cast(l_quantity as int) % 24)")
 
 _BASE = f"""
@@ -24,20 +24,20 @@ dim_city AS (SELECT ix, city, cast(lat AS double) AS lat, cast(lon AS double) AS
 li AS (SELECT *, l_partkey % 48 AS ix FROM lineitem),
 hourly_aqi AS (
   SELECT {_TIME} AS time, d.city,
-         cast(l_quantity * 4.0 AS double) AS pm10,
-         cast(CASE WHEN l_linenumber = 7 THEN NULL ELSE l_quantity * 2.0 + l_discount * 100 END AS double) AS pm2_5
-  FROM li JOIN dim_city d ON li.ix = d.ix
-  WHERE l_returnflag <> 'R'),
+         CASE WHEN l_returnflag <> 'R' THEN cast(l_quantity * 4.0 AS double) END AS pm10,
+         CASE WHEN l_returnflag <> 'R' AND l_linenumber <> 7
+              THEN cast(l_quantity * 2.0 + l_discount * 100 AS double) END AS pm2_5
+  FROM li JOIN dim_city d ON li.ix = d.ix),
 hourly_weather AS (
   SELECT {_TIME} AS time, d.city,
-         cast(8 + d.ix * 0.7e0 + l_discount * 20 AS double) AS temperature_2m,
-         cast(20 + (l_orderkey % 12) * 7 + l_tax * 100 AS double) AS relative_humidity_2m,
-         cast((l_partkey % 6) * 3.2e0 + l_quantity / 50 AS double) AS wind_speed_10m,
-         cast(cast(l_quantity * 7 AS int) % 360 AS double) AS wind_direction_10m,
-         cast(CASE WHEN l_linenumber <= 5 THEN NULL ELSE l_tax * 25 END AS double) AS precipitation,
-         cast(CASE WHEN l_linenumber = 6 THEN NULL ELSE 940 + l_quantity END AS double) AS surface_pressure
-  FROM li JOIN dim_city d ON li.ix = d.ix
-  WHERE l_returnflag <> 'A'),
+         CASE WHEN l_returnflag <> 'A' THEN cast(8 + d.ix * 0.7e0 + l_discount * 20 AS double) END AS temperature_2m,
+         CASE WHEN l_returnflag <> 'A' THEN cast(20 + (l_orderkey % 12) * 7 + l_tax * 100 AS double) END
+           AS relative_humidity_2m,
+         CASE WHEN l_returnflag <> 'A' THEN cast((l_partkey % 6) * 3.2e0 + l_quantity / 50 AS double) END AS wind_speed_10m,
+         CASE WHEN l_returnflag <> 'A' THEN cast(cast(l_quantity * 7 AS int) % 360 AS double) END AS wind_direction_10m,
+         CASE WHEN l_returnflag <> 'A' AND l_linenumber > 5 THEN cast(l_tax * 25 AS double) END AS precipitation,
+         CASE WHEN l_returnflag <> 'A' AND l_linenumber <> 6 THEN cast(940 + l_quantity AS double) END AS surface_pressure
+  FROM li JOIN dim_city d ON li.ix = d.ix),
 raw_aqi AS (
   SELECT * FROM (
     SELECT bin AS time, city, avg(pm10) AS pm10, avg(pm2_5) AS pm2_5

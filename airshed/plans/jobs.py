@@ -1,9 +1,11 @@
 """W1-W8 as runnable jobs: stage functions wrapped with sources and sinks.
 
     python -m airshed.plans.jobs gather   --landing L --warehouse W [--feed aqi|weather]
+                                          [--start-date D] [--end-date D]
     python -m airshed.plans.jobs merge    --warehouse W
     python -m airshed.plans.jobs engineer --warehouse W
-    python -m airshed.plans.jobs train    --warehouse W --model pm25_predictor [--trees N]
+    python -m airshed.plans.jobs train    --warehouse W --model pm25_predictor
+                                          [--n-estimators N] [--max-depth N] [--learning-rate X] ...
     python -m airshed.plans.jobs all      --landing L --warehouse W [--buckets N]
     python -m airshed.plans.jobs export   --warehouse W --out O      (stage tables as CSV)
 
@@ -19,20 +21,20 @@ from __future__ import annotations
 
 import argparse
 import dataclasses
+import datetime as dt
 import hashlib
 import logging
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from airshed import schemas
-from airshed.params import MODEL_VARIANTS, GatherParams, TrainParams
+from airshed.params import MODEL_VARIANTS, BoostParams, GatherParams, TrainParams
 from airshed.plans import stages
-from airshed.session import build_session, ensure_checkpoint_dir
-from airshed.sources.cities import dim_city, listed_cities
-from airshed.sources.files import read_csv, read_stage, write_bucketed, write_csv, write_stage
-from airshed.sources.payload import FEEDS, hourly_from_landing, read_payloads, restrict_dates
+from airshed.session import build_session, clear_scratch, ensure_checkpoint_dir
+from airshed.sources.cities import dim_city, select_cities
+from airshed.sources.files import read_bucketed, read_csv, read_stage, write_bucketed, write_csv, write_stage
+from airshed.sources.payload import FEEDS, accepted, read_payloads, rejects, write_hourly
 
 log = logging.getLogger("airshed.jobs")
 
@@ -84,39 +86,32 @@ def export_csv(spark: SparkSession, warehouse: str, out: str,
 def gather(spark: SparkSession, landing: str, warehouse: str, feed: str,
            gp: GatherParams = GatherParams(), buckets: int | None = None,
            multiline: bool = False) -> int:
-    """Landed payloads -> raw_<feed> (+ rejects_<feed>).
-
-    With ``buckets``, raw_<feed> is a bucketed table on (city, time) so that
-    :func:`merge` joins the two feeds without any exchange."""
-    out, rej, payloads = gather_frames(spark, landing, feed, gp, multiline)
-    try:
-        observed_write(rej, f"{warehouse}/rejects_{feed}", f"rejects_{feed}")
-        return observed_write(out, f"{warehouse}/raw_{feed}", f"raw_{feed}", buckets)
-    finally:
-        payloads.unpersist()
-
-
-def gather_frames(spark: SparkSession, landing: str, feed: str,
-                  gp: GatherParams = GatherParams(), multiline: bool = False,
-                  persist: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(raw_<feed>, rejects, payloads) of W1 / W2 before writing; the caller
-    unpersists ``payloads``."""
-    path = f"{landing}/feed={feed}"
-    # S6 first: a partition filter, unlisted cities' folders are never read
-    payloads = read_payloads(spark, path, FEEDS[feed], multiline).where(listed_cities())
-    if persist:  # parsed once, scanned twice (reject set, then rows)
-        payloads = payloads.persist(StorageLevel.MEMORY_AND_DISK)
-    rows, rej = hourly_from_landing(spark, path, feed, payloads=payloads)
-    rows = restrict_dates(rows, gp.start_date, gp.end_date)
-    out = stages.gather_aqi(rows) if feed == "aqi" else stages.gather_weather(rows)
-    return out, rej, payloads
-
-
-def merge(spark: SparkSession, warehouse: str, bucketed: bool = False, fmt: str = "parquet") -> int:
+    """Landed payloads -> hourly_<feed>, rejects_<feed>, raw_<feed>, counts_<feed>.
+
+    The JSON is parsed once, into ``hourly_<feed>``.  ``counts_<feed>`` has the
+    rows of each city.  With ``buckets``, raw_<feed> is a bucketed table on
+    (city, time) so that :func:`merge` joins the two feeds without any exchange."""
+    payloads = select_cities(read_payloads(spark, f"{landing}/feed={feed}", FEEDS[feed], multiline), gp.cities)
+    write_hourly(payloads, feed, f"{warehouse}/hourly_{feed}")
+    observed_write(rejects(spark, f"{warehouse}/hourly_{feed}", feed), f"{warehouse}/rejects_{feed}", f"rejects_{feed}")
+    n = observed_write(gather_frame(spark, warehouse, feed, gp), f"{warehouse}/raw_{feed}", f"raw_{feed}", buckets)
+    counts = read_stage(spark, f"{warehouse}/raw_{feed}").groupBy("city").agg(F.count(F.lit(1)).alias("rows"))
+    write_stage(counts.coalesce(1), f"{warehouse}/counts_{feed}")  # one row per city
+    return n
+
+
+def gather_frame(spark: SparkSession, warehouse: str, feed: str, gp: GatherParams = GatherParams()) -> DataFrame:
+    """raw_<feed> before writing, from the hourly stage and the written reject table."""
+    rejected = read_stage(spark, f"{warehouse}/rejects_{feed}", schemas.REJECTS)
+    rows = accepted(spark, f"{warehouse}/hourly_{feed}", feed, rejected, gp.start_date, gp.end_date)
+    return stages.gather_aqi(rows) if feed == "aqi" else stages.gather_weather(rows)
+
+
+def merge(spark: SparkSession, warehouse: str, buckets: int | None = None, fmt: str = "parquet") -> int:
     """raw_aqi x raw_weather -> merged (from bucketed tables: no exchange)."""
-    if bucketed:
-        aqi = spark.table(table_name("raw_aqi", warehouse))
-        weather = spark.table(table_name("raw_weather", warehouse))
+    if buckets:
+        aqi, weather = (read_bucketed(spark, table_name(s, warehouse), f"{warehouse}/{s}", STAGE_SCHEMAS[s], KEYS, buckets)
+                        for s in ("raw_aqi", "raw_weather"))
     else:
         aqi = read_input(spark, warehouse, "raw_aqi", fmt)
         weather = read_input(spark, warehouse, "raw_weather", fmt)
@@ -159,17 +154,22 @@ def write_per_model(df: DataFrame, path: str, name: str) -> None:
      .partitionBy("model").parquet(path))
 
 
-def run_all(spark: SparkSession, landing: str, warehouse: str, trees: int | None = None,
-            models: list[str] | None = None, buckets: int | None = None) -> None:
+def run_all(spark: SparkSession, landing: str, warehouse: str, models: list[str] | None = None,
+            buckets: int | None = None, gp: GatherParams = GatherParams(), params: TrainParams = TrainParams(),
+            multiline: bool = False) -> None:
     for feed in FEEDS:
-        gather(spark, landing, warehouse, feed, buckets=buckets)
-    merge(spark, warehouse, bucketed=bool(buckets))
+        gather(spark, landing, warehouse, feed, gp, buckets, multiline)
+    merge(spark, warehouse, buckets)
     engineer(spark, warehouse)
     for name in models or list(MODEL_VARIANTS):
-        train(spark, warehouse, name, trees)
+        train(spark, warehouse, name, params=dataclasses.replace(params, target=MODEL_VARIANTS[name]))
 
 
-def main(argv: list[str] | None = None) -> None:
+def boost_fields() -> list[dataclasses.Field]:
+    return list(dataclasses.fields(BoostParams))
+
+
+def parse_args(argv: list[str] | None) -> argparse.Namespace:
     ap = argparse.ArgumentParser(prog="airshed.plans.jobs")
     ap.add_argument("stage", choices=["gather", "merge", "engineer", "train", "all", "export"])
     ap.add_argument("--input-format", choices=["parquet", "csv"], default="parquet",
@@ -180,31 +180,47 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--landing")
     ap.add_argument("--warehouse", required=True)
     ap.add_argument("--feed", choices=list(FEEDS))
-    ap.add_argument("--model", choices=list(MODEL_VARIANTS), default="pm25_predictor")
-    ap.add_argument("--trees", type=int, default=None)
+    ap.add_argument("--model", choices=list(MODEL_VARIANTS), action="append",
+                    help="train: the variant (default pm25_predictor); all: may be repeated (default: every variant)")
+    ap.add_argument("--start-date", type=dt.date.fromisoformat, default=GatherParams.start_date)
+    ap.add_argument("--end-date", type=dt.date.fromisoformat, default=GatherParams.end_date)
+    ap.add_argument("--test-size", type=float, default=TrainParams.test_size)
+    ap.add_argument("--folds", type=int, default=TrainParams.n_folds)
+    ap.add_argument("--cv-parallelism", type=int, default=TrainParams.cv_parallelism)
+    for f in boost_fields():  # every hyperparameter, by its configured name
+        ap.add_argument("--" + f.name.replace("_", "-"), type=type(f.default), default=f.default)
     ap.add_argument("--master", default=None)
     ap.add_argument("--buckets", type=int, default=None,
                     help="bucket raw tables on (city, time) so the merge needs no shuffle")
-    a = ap.parse_args(argv)
+    return ap.parse_args(argv)
+
+
+def main(argv: list[str] | None = None) -> None:
+    a = parse_args(argv)
     logging.basicConfig(level=logging.INFO)
     owned = SparkSession.getActiveSession() is None
     spark = build_session(a.master)
     ensure_checkpoint_dir(spark)
     fmt = a.input_format
+    gp = GatherParams(start_date=a.start_date, end_date=a.end_date)
+    params = TrainParams(test_size=a.test_size, n_folds=a.folds, cv_parallelism=a.cv_parallelism,
+                         boost=BoostParams(**{f.name: getattr(a, f.name) for f in boost_fields()}))
     if a.stage == "gather":
         for feed in [a.feed] if a.feed else list(FEEDS):
-            gather(spark, a.landing, a.warehouse, feed, buckets=a.buckets, multiline=a.multiline)
+            gather(spark, a.landing, a.warehouse, feed, gp, a.buckets, a.multiline)
     elif a.stage == "merge":
-        merge(spark, a.warehouse, bucketed=bool(a.buckets), fmt=fmt)
+        merge(spark, a.warehouse, a.buckets, fmt)
     elif a.stage == "engineer":
         engineer(spark, a.warehouse, fmt=fmt)
     elif a.stage == "train":
-        print(train(spark, a.warehouse, a.model, a.trees, fmt=fmt))
+        for name in a.model or ["pm25_predictor"]:
+            print(train(spark, a.warehouse, name, params=dataclasses.replace(params, target=MODEL_VARIANTS[name]), fmt=fmt))
     elif a.stage == "export":
         export_csv(spark, a.warehouse, a.out)
     else:
-        run_all(spark, a.landing, a.warehouse, a.trees, buckets=a.buckets)
+        run_all(spark, a.landing, a.warehouse, a.model, a.buckets, gp, params, a.multiline)
     if owned:
+        clear_scratch(spark)
         spark.stop()
 
 

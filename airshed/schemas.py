@@ -9,6 +9,7 @@ S = T.StringType()
 NTZ = T.TimestampNTZType()
 I = T.IntegerType()
 
+# Variable names of the payloads.
 AQI_VARS = ["pm10", "pm2_5"]
 WEATHER_VARS = [
     "temperature_2m", "relative_humidity_2m", "wind_speed_10m",
@@ -47,7 +48,7 @@ ENGINEERED = T.StructType(list(MERGED.fields) + [
     T.StructField("regional_season", S),
 ])
 
-# Model input columns, in order.
+# Model input columns, in order.
 FEATURES = [
     "city", "temperature_2m", "relative_humidity_2m", "wind_speed_10m",
     "precipitation", "surface_pressure", "time_of_day", "is_weekend",
@@ -55,6 +56,7 @@ FEATURES = [
     "wind_precip", "pressure_temp", "wind_dir_sin", "wind_dir_cos",
     "dow_sin", "dow_cos", "month_sin", "month_cos", "hour_sin", "hour_cos",
 ]
+# The categorical ones.
 CATEGORICAL = ["city", "weather_verdict", "time_of_day", "season_region", "season_city"]
 NUMERIC = [c for c in FEATURES if c not in CATEGORICAL]
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -80,3 +80,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/scratch/{name}-{uuid.uuid4().hex}"
+
+
+def pinned(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """``df`` written below the shared checkpoint folder and read back.
+
+    Cuts lineage (a lost executor costs tasks of the reading step only) and
+    gives the planner a measured size; nothing is held in executor storage.
+    """
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove every scratch table of this session's checkpoint folder.
+
+    For callers that have consumed their results: lazy frames that read a
+    scratch table can't be evaluated afterwards.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

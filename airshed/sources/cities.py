@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airshed import schemas
-
 # The 48 monitored cities as (city, lat, lon, region), in the
 # configured order.  The position in this list is the city's index ``ix``.
 CITIES = [
@@ -64,13 +62,12 @@ CITIES = [
 def dim_city(spark: SparkSession, with_index: bool = False) -> DataFrame:
     """The 48-row city dimension (city, lat, lon, region[, ix]).
 
-    It is a fixed, 48-row table, so joins against it may broadcast it.
+    A literal table, so the planner knows its size and broadcasts it without
+    a hint.
     """
-    if not with_index:
-        return spark.createDataFrame(CITIES, schemas.DIM_CITY)
-    rows = [(*row, i) for i, row in enumerate(CITIES)]
-    return spark.createDataFrame(
-        rows, "city string, lat double, lon double, region string, ix long")
+    return spark.sql(
+        "SELECT city, cast(lat AS double) AS lat, cast(lon AS double) AS lon, region"
+        + (", cast(ix AS bigint) AS ix" if with_index else "") + f" FROM {dim_city_sql_values()}")
 
 
 def dim_city_sql_values() -> str:
@@ -83,23 +80,12 @@ def dim_city_sql_values() -> str:
     return f"(VALUES\n    {rows}\n) AS dim_city(ix, city, lat, lon, region)"
 
 
-# A dimension passed in is broadcast only up to this many rows.
-MAX_BROADCAST_ROWS = 10_000
-
-
-def broadcast_if_small(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a dimension only after checking its size (the fixed city
-    table has 48 rows); a larger one is joined normally and AQE decides."""
-    return F.broadcast(dim) if dim.limit(max_rows + 1).count() <= max_rows else dim
-
-
-def select_cities(feed: DataFrame, dim: DataFrame) -> DataFrame:
-    """Keep only rows of listed cities (left semi join to the dimension)."""
-    return feed.join(broadcast_if_small(dim.select("city")), "city", "left_semi")
+CITY_NAMES = tuple(c for c, *_rest in CITIES)
 
 
-def listed_cities(col: str = "city"):
-    """S6 as a predicate on the fixed city list.  On a landing scan ``city`` is
-    a partition column, so this prunes unlisted cities' folders at listing
-    time (no file of theirs is opened)."""
-    return F.col(col).isin(*[c for c, *_rest in CITIES])
+def select_cities(feed: DataFrame, cities=CITY_NAMES) -> DataFrame:
+    """Only rows of the listed cities (a job argument; the fixed list by
+    default).  On a landing scan ``city`` is a partition column, so this
+    prunes unlisted cities' folders at listing time (no file of theirs is
+    opened).  A NULL city is not listed."""
+    return feed.where(F.col("city").isin(*cities))

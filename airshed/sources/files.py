@@ -47,6 +47,18 @@ def write_bucketed(df: DataFrame, table: str, path: str, keys: list[str], bucket
      .saveAsTable(table))
 
 
+def read_bucketed(spark: SparkSession, table: str, path: str, schema: T.StructType, keys: list[str],
+                  buckets: int) -> DataFrame:
+    """A bucketed stage by name; registered from its folder and bucket spec
+    when this session's catalog does not know it (another process wrote it)."""
+    if not spark.catalog.tableExists(table):
+        cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        by = ", ".join(keys)
+        spark.sql(f"CREATE TABLE {table} ({cols}) USING parquet LOCATION '{path}' "
+                  f"CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS")
+    return spark.table(table)
+
+
 def read_stage(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     r = spark.read
     if schema is not None:

@@ -10,10 +10,11 @@ request drops the city -- when it is corrupt, has no ``hourly`` object, lacks
 a variable array, has empty arrays, has arrays of unequal length, or holds a
 time text that does not parse.  The other cities go on.
 
-Rows come out of ``inline(arrays_zip(...))``: a generator inside the scan task,
-no shuffle.  The reject set (one row per rejected city) is bounded by the city
-folders and becomes a ``city`` partition filter, so rejected cities' files
-are not read again (see :func:`hourly_from_landing`).
+The JSON is parsed once, into an hourly Parquet stage partitioned by city and
+month (see :func:`write_hourly`): a generator inside the scan task, no
+shuffle.  A bad payload is one row that carries its reason and no month.  The
+reject table reads only those rows, the date range is a partition filter on
+the month, and rejected cities are removed by one null-safe anti join.
 """
 
 from __future__ import annotations
@@ -22,10 +23,12 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from airshed.functions.calendar import parse_time
 from airshed.functions.nan import nan_to_null
 from airshed.schemas import AQI_VARS, WEATHER_VARS, payload_schema
+from airshed.session import pinned, scratch_path
 
 FEEDS = {"aqi": AQI_VARS, "weather": WEATHER_VARS}
 
@@ -67,57 +70,67 @@ def reject_reason(variables: list[str]) -> Column:
             .when(bad_time, BAD_TIME))
 
 
-def classify(payloads: DataFrame, variables: list[str]) -> DataFrame:
-    return payloads.withColumn("_reason", reject_reason(variables))
+def parsed(payloads: DataFrame, variables: list[str]) -> DataFrame:
+    """(time, <variables>, reason, city, month): one row per hour of a good
+    payload, one row with a reason (and nothing else) per bad one."""
+    hour = "struct<" + ", ".join(["time:string", *[f"{v}:double" for v in variables]]) + ">"
+    zipped = F.arrays_zip(*[F.col(f"hourly.{v}") for v in ["time", *variables]])
+    none = F.array(F.lit(None).cast(hour))
+    rows = (payloads.withColumn("reason", reject_reason(variables))
+            .select("city", "reason", F.explode(F.when(F.col("reason").isNull(), zipped).otherwise(none)).alias("h")))
+    # arrays_zip names fields after the source fields: time, <var>...
+    out = rows.select(parse_time(F.col("h.time")).alias("time"), *[F.col(f"h.{v}") for v in variables],
+                      "reason", "city")
+    out = nan_to_null(out, variables).where(F.col("time").isNotNull() | F.col("reason").isNotNull())
+    return out.withColumn("month", F.trunc("time", "month"))
 
 
-def rejects(payloads: DataFrame, feed: str, variables: list[str]) -> DataFrame:
-    """(feed, city, reason): one row per rejected city and reason."""
-    c = classify(payloads, variables)
-    return (c.where(F.col("_reason").isNotNull())
-            .select(F.lit(feed).alias("feed"), "city", F.col("_reason").alias("reason"))
-            .distinct())
+def write_hourly(payloads: DataFrame, feed: str, path: str) -> None:
+    """The hourly stage of one feed: Parquet below ``city=<name>/month=<first day>/``."""
+    parsed(payloads, FEEDS[feed]).write.mode("overwrite").partitionBy("city", "month").parquet(path)
 
 
-def explode_hourly(payloads: DataFrame, variables: list[str]) -> DataFrame:
-    """Parallel arrays -> one row per hour: (time, city, vars...)."""
-    zipped = F.arrays_zip(*[F.col(f"hourly.{v}") for v in ["time", *variables]])
-    rows = payloads.select("city", F.inline(zipped))
-    # arrays_zip names fields after the source fields: time, <var>...
-    out = rows.select(parse_time(F.col("time")).alias("time"), "city", *variables)
-    return nan_to_null(out, variables).where(F.col("time").isNotNull())
+def hourly_schema(variables: list[str]) -> T.StructType:
+    return T.StructType([T.StructField("time", T.TimestampNTZType()), *[T.StructField(v, T.DoubleType()) for v in variables],
+                         T.StructField("reason", T.StringType()), T.StructField("city", T.StringType()),
+                         T.StructField("month", T.DateType())])
 
 
-# Above this many rejected cities the reject set is joined instead of listed.
-MAX_LISTED_REJECTS = 10_000
+def rejects(spark: SparkSession, path: str, feed: str) -> DataFrame:
+    """(feed, city, reason): one row per rejected city and reason of an hourly stage."""
+    stage = spark.read.schema(hourly_schema(FEEDS[feed])).parquet(path)
+    return (stage.where("month IS NULL AND reason IS NOT NULL")
+            .select(F.lit(feed).alias("feed"), "city", "reason").distinct())
 
 
-def hourly_from_landing(spark: SparkSession, path: str, feed: str, multiline: bool = False,
-                        payloads: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(hourly rows of accepted cities, reject table) for one feed.
-
-    The reject table is computed eagerly (one pass over the payloads, one row
-    per rejected city).  Cities are partition folders, so the set is bounded
-    by the folder listing the driver already holds; it is collected (up to
-    ``MAX_LISTED_REJECTS``) and becomes a ``city`` partition filter: rejected
-    cities' files are not read again and the rows are never shuffled.  A
-    larger set falls back to a left-anti join.
+def accepted(spark: SparkSession, path: str, feed: str, rejected: DataFrame, start: dt.date | None = None,
+             end: dt.date | None = None) -> DataFrame:
+    """(time, city, <variables>) of the cities without a rejected payload.
+
+    ``rejected`` should be a written table, so that the planner knows its size
+    (one row per rejected city).  A NULL city is a city like any other.
     """
     variables = FEEDS[feed]
+    stage = spark.read.schema(hourly_schema(variables)).parquet(path).where("month IS NOT NULL")
+    if start is not None and end is not None:
+        # whole months first: a partition filter, other months' files are not opened
+        stage = restrict_dates(stage.where(
+            F.col("month").between(F.lit(start.replace(day=1)), F.lit(end.replace(day=1)))), start, end)
+    bad = rejected.select(F.col("city").alias("_city"))
+    return (stage.join(bad, F.col("city").eqNullSafe(F.col("_city")), "left_anti")
+            .select("time", "city", *variables))
+
+
+def hourly_from_landing(spark: SparkSession, path: str, feed: str, multiline: bool = False,
+                        payloads: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(hourly rows of accepted cities, reject table) for one feed; the hourly
+    stage and the reject table are written to the shared folder."""
     if payloads is None:
-        payloads = read_payloads(spark, path, variables, multiline)
-    rej = rejects(payloads, feed, variables)
-    found = rej.limit(MAX_LISTED_REJECTS + 1).collect()
-    good = classify(payloads, variables).where(F.col("_reason").isNull())
-    if len(found) <= MAX_LISTED_REJECTS:
-        bad = sorted({r["city"] for r in found if r["city"] is not None})
-        if bad:
-            good = good.where(~F.col("city").isin(*bad))
-        rej = spark.createDataFrame([tuple(r) for r in found], rej.schema)
-        rows = explode_hourly(good, variables)
-    else:
-        rows = explode_hourly(good, variables).join(rej.select("city"), "city", "left_anti")
-    return rows.select("time", "city", *variables), rej
+        payloads = read_payloads(spark, path, FEEDS[feed], multiline)
+    stage = scratch_path(spark, f"hourly-{feed}")
+    write_hourly(payloads, feed, stage)
+    rej = pinned(spark, rejects(spark, stage, feed), f"rejects-{feed}")
+    return accepted(spark, stage, feed, rej), rej
 
 
 def restrict_dates(df: DataFrame, start: dt.date, end: dt.date) -> DataFrame:

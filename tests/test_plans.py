@@ -53,13 +53,36 @@ def test_scan_prunes_columns(spark):
     assert scan and "l_extendedprice" not in scan[0] and "l_shipdate" not in scan[0]
 
 
-def test_date_filter_reaches_scan(spark, tmp_dir):
-    path = f"{tmp_dir}/hourly"
-    hourly_aqi(spark, SF001).write.parquet(path)
-    df = restrict_dates(spark.read.parquet(path), dt.date(2024, 2, 1), dt.date(2024, 3, 31))
+def test_job_date_range_is_a_partition_filter(spark, tmp_dir):
+    """The gather job's own scan: months of the hourly stage are pruned, then days are pushed down."""
+    from airshed.params import GatherParams
+    from airshed.plans import jobs
+    from airshed.schemas import AQI_VARS
+    from airshed.sources.payload import read_payloads, rejects, write_hourly
+    landed = catalog._land(spark, hourly_aqi(spark, SF001), "aqi", AQI_VARS)
+    write_hourly(read_payloads(spark, landed, AQI_VARS), "aqi", f"{tmp_dir}/hourly_aqi")
+    rejects(spark, f"{tmp_dir}/hourly_aqi", "aqi").write.parquet(f"{tmp_dir}/rejects_aqi")
+    df = jobs.gather_frame(spark, tmp_dir, "aqi", GatherParams(dt.date(2024, 2, 10), dt.date(2024, 3, 31)))
     text = formatted(df)
-    pushed = [ln for ln in text.splitlines() if "PushedFilters" in ln]
+    part = [ln for ln in text.splitlines() if "PartitionFilters" in ln and "month" in ln]
+    assert part and "2024-02-01" in part[0] and "2024-03-01" in part[0]
+    pushed = [ln for ln in text.splitlines() if "PushedFilters" in ln and "(time" in ln]
     assert pushed and "GreaterThanOrEqual(time" in pushed[0] and "LessThan(time" in pushed[0]
+    rej = formatted(rejects(spark, f"{tmp_dir}/hourly_aqi", "aqi"))
+    assert "isnull(month" in [ln for ln in rej.splitlines() if "PartitionFilters" in ln][0]
+    times = [r.time for r in df.collect()]
+    assert min(times) >= dt.datetime(2024, 2, 10) and max(times) < dt.datetime(2024, 4, 1)
+
+
+def test_split_and_folds_move_no_rows(spark):
+    """Exact split and folds: no exchange and no checkpoint of rows, no literal per partition."""
+    from airshed.operators.split import assign_folds, split_exact
+    table = spark.range(5000).selectExpr("cast(id % 7 AS string) AS city",
+                                         "timestampadd(HOUR, cast(id AS int), timestamp_ntz'2024-01-01') AS time")
+    df = assign_folds(split_exact(table, 0.2, 42).where("not is_test").drop("is_test"), 5, 42)
+    text = plan_text(df)
+    assert "Exchange" not in text and "Scan ExistingRDD" not in text and "Sort" not in text
+    assert text.count("md5") <= 12 and len(text) < 20_000
 
 
 def test_dimension_joins_broadcast(spark):
@@ -93,13 +116,15 @@ def test_cv_scoring_does_not_shuffle_scored_rows(spark):
     # group means are materialised and broadcast; scored rows never move
     assert "SortMergeJoin" not in text
     assert text.count("BroadcastHashJoin") >= 5  # one per fold model
+    scans = [ln for ln in text.splitlines() if "Location" in ln and "labels-" in ln]
+    assert 1 <= len(scans) <= 2  # one pass for all models (once in the final, once in the initial plan)
 
 
-def test_rejected_and_unlisted_cities_are_partition_filters(spark, tmp_dir):
+def test_unlisted_cities_are_pruned_and_rejects_joined_without_shuffle(spark, tmp_dir):
     import json
     import os
 
-    from airshed.sources.cities import listed_cities
+    from airshed.sources.cities import select_cities
     from airshed.sources.payload import hourly_from_landing, read_payloads
     good = json.dumps({"hourly": {"time": ["2024-01-01T00:00"], "pm10": [1.0], "pm2_5": [1.0]}})
     for city, text in (("Delhi", good), ("Leh", '{"oops": 1}'), ("Atlantis", good)):
@@ -108,25 +133,23 @@ def test_rejected_and_unlisted_cities_are_partition_filters(spark, tmp_dir):
         with open(os.path.join(d, "p.json"), "w") as f:
             f.write(text + "\n")
     root = os.path.join(tmp_dir, "feed=aqi")
-    payloads = read_payloads(spark, root, ["pm10", "pm2_5"]).where(listed_cities())
+    payloads = select_cities(read_payloads(spark, root, ["pm10", "pm2_5"]))
+    part = [ln for ln in formatted(payloads).splitlines() if "PartitionFilters" in ln]
+    assert part and "Delhi" in part[0] and "Atlantis" not in part[0]
     rows, rej = hourly_from_landing(spark, root, "aqi", payloads=payloads)
     assert [r.city for r in rows.collect()] == ["Delhi"]
     assert [r.city for r in rej.collect()] == ["Leh"]
     text = formatted(rows)
-    part = [ln for ln in text.splitlines() if "PartitionFilters" in ln]
-    assert part and "Leh" in part[0] and "Delhi" in part[0]  # NOT IN rejects, IN listed
-    assert "Exchange" not in text and "Join" not in text
+    assert "LeftAnti" in text and "SortMergeJoin" not in text
 
 
 def test_no_registered_query_uses_python_udfs(spark):
     """The whole catalog runs JVM-side: no Python UDF / Arrow evaluation node
     in any optimized plan (model checks excluded: MLlib stages are JVM too,
     but their queries train models, which is slow here)."""
-    import __spark_entry__ as E
-    skip = {"gbt_fit_predict", "importance_topk", "model_save_load", "gbt_cross_validate"}
     offenders = []
-    for name, fn in E.queries().items():
-        if name in skip:
+    for name, fn in catalog.QUERIES.items():
+        if name.startswith("gbt_") or name in ("importance_topk", "model_save_load"):
             continue
         plan = fn(spark, SF001)._jdf.queryExecution().optimizedPlan().toString()
         if "PythonUDF" in plan or "ArrowEvalPython" in plan or "BatchEvalPython" in plan:

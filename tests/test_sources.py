@@ -128,3 +128,43 @@ def test_service_shaped_weather_payload(spark, tmp_dir):
     got = sorted(tuple(r) for r in rows.collect())
     assert got == [(ts("2024-05-01 00:00:00"), "Delhi", 31.5, 41.0, 7.2, 290.0, 0.0, 976.4),
                    (ts("2024-05-01 01:00:00"), "Delhi", 30.0, 45.0, 6.8, 300.0, 0.1, 976.9)]
+
+
+def test_null_city_is_a_city_like_any_other(spark, tmp_dir):
+    """Rows of a city without a name stay, with or without rejects elsewhere, and go when it is rejected."""
+    good = json.dumps(GOOD)
+    nameless = "__HIVE_DEFAULT_PARTITION__"
+    for i, (payloads, want) in enumerate([
+            ({nameless: [good], "Leh": [good]}, {None, "Leh"}),
+            ({nameless: [good], "Leh": ['{"error": 1}']}, {None}),
+            ({nameless: [good, '{"error": 1}'], "Leh": [good]}, {"Leh"})]):
+        root = land(os.path.join(tmp_dir, str(i)), payloads)
+        rows, _ = hourly_from_landing(spark, root, "aqi")
+        assert {r.city for r in rows.collect()} == want
+
+
+def test_city_with_two_reasons_has_two_reject_rows(spark, tmp_dir):
+    root = land(tmp_dir, {"Delhi": [json.dumps(GOOD)], "Leh": ['{"error": 1}', "{broken", '{"error": 2}']})
+    rows, rej = hourly_from_landing(spark, root, "aqi")
+    assert {r.city for r in rows.collect()} == {"Delhi"}
+    assert sorted((r.city, r.reason) for r in rej.collect()) == [("Leh", "corrupt"), ("Leh", "no_hourly")]
+
+
+def test_every_missing_city_is_named(spark):
+    from airshed.operators.region import RegionMappingError, add_region
+    from airshed.sources.cities import dim_city
+    names = [f"Nowhere {i:03d}" for i in range(60)]
+    df = spark.createDataFrame([(n,) for n in [*names, "Leh", None]], "city string")
+    with pytest.raises(RegionMappingError) as e:
+        add_region(df, dim_city(spark))
+    assert all(n in str(e.value) for n in names) and "None" in str(e.value) and "Leh" not in str(e.value)
+
+
+def test_scratch_tables_can_be_removed(spark):
+    from airshed.session import clear_scratch, pinned
+    df = pinned(spark, spark.range(5), "five")
+    assert df.count() == 5
+    path = df.inputFiles()[0].replace("file://", "")
+    assert os.path.exists(path)
+    clear_scratch(spark)
+    assert not os.path.exists(path)

@@ -2,11 +2,10 @@ import datetime as dt
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from airshed.operators.crossval import cross_validate, cv_summary, fold_results, metrics_long, r2_by
 from airshed.operators.estimators import GroupMeanRegressor
-from airshed.operators.split import assign_folds, global_rank, split_exact, split_hash
+from airshed.operators.split import assign_folds, cut_keys, fold_starts, key_hash, row_key, split_exact, split_hash
 
 
 def keyed(spark, n, cities=("A", "B", "C")):
@@ -47,13 +46,23 @@ def test_fold_sizes(spark):
     assert sizes == [201, 201, 201, 200, 200]
 
 
-def test_global_rank_matches_sorted_order(spark):
-    df = keyed(spark, 500).withColumn("h", F.md5(F.concat("city", F.col("time").cast("string"))))
-    ranked, n = global_rank(df, ["h", "city", "time"], num_partitions=6)
-    got = [r.h for r in ranked.orderBy("rn").collect()]
-    assert n == 500
-    assert got == sorted(r.h for r in df.collect())
-    assert [r.rn for r in ranked.orderBy("rn").collect()] == list(range(500))
+def test_cut_keys_match_sorted_order(spark, monkeypatch):
+    from airshed.operators import split
+    df = keyed(spark, 500)
+    h = key_hash(42)
+    order = sorted(r[0] for r in df.select(row_key(df, h)).collect())
+    want = [0, 1, 99, 250, 499, 500, 501]
+    for small, digits in ((1000, 4), (1, 1), (3, 2)):  # look in early, or only at full keys
+        monkeypatch.setattr(split, "SMALL", small)
+        monkeypatch.setattr(split, "DIGITS", digits)
+        got, n = cut_keys(df, h, lambda n: want)
+        assert n == 500
+        assert got == [order[r] if r < 500 else None for r in want]
+
+
+def test_no_rows(spark):
+    df = keyed(spark, 5).where("false")
+    assert split_exact(df, 0.2, 42).count() == 0 and assign_folds(df, 5, 42).count() == 0
 
 
 def r2_of(spark, ys, ps):
@@ -97,30 +106,27 @@ def test_variants_only_differ_by_name_and_target(name, target):
     assert set(MODEL_VARIANTS) == {"pm25_predictor", "pm10_predictor", "pm25_forecaster", "pm10_forecaster"}
 
 
-def test_hot_copies_spread_over_range_partitions(spark):
-    """A third of the rows share one key (values differ): exact sizes still
-    hold and no range partition holds the whole hot group."""
+def test_hot_key_with_other_values_is_split_exactly(spark):
+    """A third of the rows share one key (values differ): exact sizes hold."""
     base = dt.datetime(2024, 1, 1)
     rows = ([(base, "HOT", float(i)) for i in range(300)]
             + [(base + dt.timedelta(hours=i), "C", 1.0) for i in range(600)])
     df = spark.createDataFrame(rows, "time timestamp_ntz, city string, label double").repartition(6)
     out = split_exact(df, 0.2, 42)
     assert out.where("is_test").count() == 180
-    from airshed.operators.split import _rank_by_hash, key_hash
-    # keep the 8 range partitions (AQE would merge such tiny ones into one)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        ranked, n = _rank_by_hash(df, key_hash(42))
-        sizes = [r["count"] for r in ranked.groupBy(F.spark_partition_id()).count().collect()]
-        hot_parts = ranked.where("city = 'HOT'").select(F.spark_partition_id()).distinct().count()
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert n == 900 and sum(sizes) == 900
-    assert hot_parts > 1 and max(sizes) < 300
     folds = [r["count"] for r in assign_folds(df, 5, 42).groupBy("fold").count().collect()]
     assert sorted(folds) == [180] * 5
 
 
+def test_identical_rows_stay_together(spark):
+    base = dt.datetime(2024, 1, 1)
+    rows = [(base, "HOT", 1.0)] * 50 + [(base + dt.timedelta(hours=i), "C", 1.0) for i in range(50)]
+    df = spark.createDataFrame(rows, "time timestamp_ntz, city string, label double")
+    out = split_exact(df, 0.5, 42)
+    assert out.where("city = 'HOT'").select("is_test").distinct().count() == 1
+    assert out.count() == 100
+
+
 def _py_ntile(n, k):
     """SQL ntile: the first n % k buckets get one extra row."""
     q, r = divmod(n, k)
@@ -130,12 +136,11 @@ def _py_ntile(n, k):
     return out
 
 
-def test_ntile_arithmetic_exhaustive(spark):
-    from airshed.operators.split import ntile_of
+def test_ntile_arithmetic_exhaustive():
     for k in range(1, 8):
-        for n in [*range(1, 16), 23, 37, 40]:  # every remainder for each k
-            df = spark.range(n).select(ntile_of(F.col("id"), n, k).alias("b"))
-            assert [r.b for r in df.orderBy(F.monotonically_increasing_id()).collect()] == _py_ntile(n, k), (n, k)
+        for n in range(60):
+            starts = fold_starts(n, k)
+            assert [1 + sum(r >= c for c in starts) for r in range(n)] == _py_ntile(n, k), (n, k)
 
 
 def test_metric_names(spark):
@@ -147,16 +152,3 @@ def test_metric_names(spark):
                 "best_fold_r2", "worst_fold_r2", "best_train_r2", "worst_train_r2", "test_r2"}
     expected |= {f"fold_{i}_{m}" for i in range(1, 6) for m in ("train_r2", "cv_r2", "gap")}
     assert names == expected
-
-
-def test_xgboost_backend_is_gated():
-    import importlib.util
-
-    from airshed.params import TrainParams
-    from airshed.plans.train import xgb_estimator
-    if importlib.util.find_spec("xgboost") is None:
-        with pytest.raises(ImportError, match="xgboost.spark is not installed"):
-            xgb_estimator(TrainParams())
-    else:  # pragma: no cover - not installed in this image
-        est = xgb_estimator(TrainParams(), max_iter=3)
-        assert len(est.getStages()) == 2

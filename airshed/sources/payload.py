@@ -10,7 +10,7 @@ request drops the city -- when it is corrupt, has no ``hourly`` object, lacks
 a variable array, has empty arrays, has arrays of unequal length, or holds a
 time text that does not parse.  The other cities go on.
 
-The JSON is parsed once, into an hourly Parquet stage partitioned by city and
+The JSON is parsed once, into an hourly Parquet stage partitioned by
 month (see :func:`write_hourly`): a generator inside the scan task, no
 shuffle.  A bad payload is one row that carries its reason and no month.  The
 reject table reads only those rows, the date range is a partition filter on
@@ -86,8 +86,8 @@ def parsed(payloads: DataFrame, variables: list[str]) -> DataFrame:
 
 
 def write_hourly(payloads: DataFrame, feed: str, path: str) -> None:
-    """The hourly stage of one feed: Parquet below ``city=<name>/month=<first day>/``."""
-    parsed(payloads, FEEDS[feed]).write.mode("overwrite").partitionBy("city", "month").parquet(path)
+    """The hourly stage of one feed: Parquet below ``month=<first day>/``."""
+    parsed(payloads, FEEDS[feed]).write.mode("overwrite").partitionBy("month").parquet(path)
 
 
 def hourly_schema(variables: list[str]) -> T.StructType:

@@ -13,12 +13,18 @@ that the threshold allows.  Similarity is chain / (n1 + n2 - chain); it never
 exceeds the Jaccard similarity of the two sets, and texts are linked at
 ``threshold`` (0.8) or more.
 
-Classes are the connected components of the links.  Candidate pairs are never
-listed within a group: equal texts are one node first, and each sketch links
-its members to one leader, the member that shares most sketches with others
-(of a family of copies, the one nearest their common original).  Members that
-miss their leader and are in no common class with it form the bucket of the
-next round, with the next leader, until a round merges no classes.
+Classes are the connected components of the links.  Equal texts are one node
+first, and each sketch links its members to one leader, the member that shares
+most sketches with others (of a family of copies, the one nearest their common
+original).  Members that miss their leader and are in no common class with it
+form the bucket of the next round, with the next leader, until a round merges
+no classes.
+
+Leaders only gather the large classes cheaply; they decide no pair.  All
+members of every bucket that then holds two classes or more are joined exactly:
+texts of similarity ``threshold`` share a labelled k-mer among the first few of
+each, rarest first (prefix filter with length bounds), and every such pair of
+two classes is aligned.  Pairs within one class are never listed.
 
 With 20 bands of 5 picks, two texts of similarity 0.8 share a sketch with
 probability 1 - (1 - 0.8^5)^20 = 0.9996.
@@ -32,6 +38,7 @@ a null class.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -49,6 +56,7 @@ BANDS = 20
 PICKS = 5
 THRESHOLD = 0.8
 _CELLS = 1 << 20  # band x k-mer cells held at once
+_COUNTERS = 1 << 20  # cells in which k-mers are counted to order them by rarity
 
 
 def labelled_kmers(text: bytes, k: int = K) -> np.ndarray:
@@ -151,6 +159,88 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return sides.mapInArrow(run, "a long, b long")
 
 
+def least_common(n1, n2, threshold: float = THRESHOLD):
+    """K-mers that two texts of ``n1`` and ``n2`` k-mers share at least, if they are linked."""
+    return threshold / (1 + threshold) * (n1 + n2) - 1e-9
+
+
+def prefix_size(n: int, threshold: float = THRESHOLD) -> int:
+    """In any order of the k-mers, linked texts share one among the first ``prefix_size`` of each."""
+    return n - math.ceil(threshold * n - 1e-9) + 1
+
+
+def _prefixes(spark: SparkSession, texts: DataFrame, threshold: float) -> DataFrame:
+    """(node, own, n, place, kmer): the rarest k-mers of every text (node, own, t), as many as a link can need.
+
+    K-mers are counted in a fixed number of cells; cells that several share only make the order less even.
+    """
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(_COUNTERS, np.int64)
+        for b in batches:
+            for t in b.column("t").cast(pa.binary()):
+                np.add.at(n, (labelled_kmers(t.as_py()) % np.uint64(_COUNTERS)).astype(np.int64), 1)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["cell", "n"])
+
+    cells = texts.select("t").mapInArrow(tally, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(_COUNTERS, np.int64)
+    counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    shared = spark.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for b in batches:
+            size, place, kmer = [], [], []
+            for t in b.column("t").cast(pa.binary()):
+                kmers = labelled_kmers(t.as_py())
+                n = len(kmers)
+                m = prefix_size(n, threshold) if n else 0
+                order = np.lexsort((kmers, counts[(kmers % np.uint64(_COUNTERS)).astype(np.int64)]))[:m]
+                size.append((n, m))
+                place.append(np.arange(m))
+                kmer.append(kmers[order])
+            if not size:
+                continue
+            rows = np.repeat(np.arange(len(size)), [m for _, m in size])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("node").take(pa.array(rows)), b.column("own").take(pa.array(rows)),
+                 pa.array(np.array([n for n, _ in size], np.int64)[rows]), pa.array(np.concatenate(place), pa.int64()),
+                 pa.array(np.concatenate(kmer).astype(np.uint64).view(np.int64))],
+                names=["node", "own", "n", "place", "kmer"])
+
+    return texts.select("node", "own", "t").mapInArrow(run, "node long, own long, n long, place long, kmer long")
+
+
+def _across(spark: SparkSession, buckets: DataFrame, label: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of two classes that can reach the threshold, among the members of buckets with several classes."""
+    owned = (buckets.select("key", "node").join(label.select("node", F.col("label").alias("own")), "node", "left")
+             .select("key", "node", F.coalesce("own", "node").alias("own")))
+    mixed = owned.groupBy("key").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x <> y").select("key")
+    nodes = owned.join(mixed, "key", "left_semi").select("node", "own").distinct()
+    left = kept(spark, texts.join(nodes, texts["id"] == nodes["node"]).select("node", "own", "t"), "rest")
+    first = _prefixes(spark, left, threshold)
+    # by k-mer and class, so that pairs of one class are never formed
+    groups = first.groupBy("kmer", "own").agg(F.min("n").alias("lo"), F.max("n").alias("hi"),
+                                              F.min("place").alias("at"))
+    several = groups.groupBy("kmer").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("kmer")
+    groups = kept(spark, groups.join(several, "kmer", "left_semi"), "groups")
+    first = kept(spark, first.join(several, "kmer", "left_semi"), "prefixes")
+
+    def side(df: DataFrame, tag: str) -> DataFrame:
+        return df.select("kmer", *[F.col(c).alias(c + tag) for c in df.columns if c != "kmer"])
+
+    def room(n1: str, n2: str):
+        # k-mers of the first text that the second may lack
+        return F.col(n1) - least_common(F.col(n1), F.col(n2), threshold)
+
+    meet = (side(groups, "1").join(side(groups, "2"), "kmer").where("own1 < own2")
+            .where((F.col("at1") <= room("hi1", "lo2")) & (F.col("at2") <= room("hi2", "lo1")))
+            .select("kmer", "own1", "own2"))
+    both = (meet.join(side(first, "1"), ["kmer", "own1"]).join(side(first, "2"), ["kmer", "own2"])
+            .where((F.col("place1") <= room("n1", "n2")) & (F.col("place2") <= room("n2", "n1"))))
+    return both.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
+
+
 def classes(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             threshold: float = THRESHOLD) -> DataFrame:
     """(id, class, copy_of): the class (smallest id in it) of every row's id, and the id whose text is equal.
@@ -169,6 +259,7 @@ def classes(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text:
     weight = open_.groupBy("node").agg(F.sum("n").alias("w"))
     open_ = kept(spark, open_.join(weight, "node").select("key", "node", "w"), "buckets")
 
+    buckets = open_
     equal = member.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
     links = equal
     label: DataFrame | None = None
@@ -200,6 +291,10 @@ def classes(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text:
         open_ = kept(spark, left.join(several, "key", "left_semi"), "buckets")
     if label is None:
         label = components(spark, links)
+    else:
+        found = kept(spark, _verify(_across(spark, buckets, label, texts, threshold), texts, threshold), "found")
+        if not found.isEmpty():
+            label = components(spark, links.union(found))
     out = (member.select("id", "node").alias("m")
            .join(label.alias("l"), F.col("m.id") == F.col("l.node"), "left")
            .select("m.id", F.coalesce("l.label", "m.id").alias("class"), F.col("m.node").alias("copy_of")))

@@ -54,6 +54,67 @@ def test_families_against_all_pairs(spark):
     assert len(set(want.values())) < len(docs) - 50
 
 
+def drifting(seed, n, size, step):
+    """Each copy is the one before it with ``step`` words changed."""
+    rnd = random.Random(seed)
+    w, out = prose(seed, size, 4000), []
+    for _ in range(n):
+        w = list(w)
+        for at in rnd.sample(range(size), step):
+            w[at] = f"new{rnd.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+def copies_of_copies(seed, n, size, edits):
+    """Each text is a copy of any earlier one with up to ``edits`` words changed."""
+    rnd = random.Random(seed)
+    out = [prose(seed, size, 4000)]
+    while len(out) < n:
+        w = list(rnd.choice(out))
+        for _ in range(rnd.randrange(edits + 1)):
+            w[rnd.randrange(size)] = f"new{rnd.randrange(10**6)}"
+        out.append(w)
+    return [" ".join(w) for w in out]
+
+
+@pytest.mark.parametrize("texts", [drifting(31, 150, 200, 3), copies_of_copies(32, 200, 200, 4)],
+                         ids=["drifting", "copies of copies"])
+def test_chains_of_copies_against_all_pairs(spark, texts):
+    docs = list(enumerate(texts))
+    random.Random(2).shuffle(docs)
+    got, want = run(spark, docs), brute(docs)
+    assert got == want
+    assert len(set(want.values())) < 5
+
+
+def templated(seed, n, size, own):
+    """Pairs of texts on one template, each pair with its own words and two edits between the two."""
+    rnd = random.Random(seed)
+    base, out = prose(seed, size, 4000), []
+    for _ in range(n // 2):
+        tail = [f"own{rnd.randrange(10**6)}" for _ in range(own)]
+        other = list(tail)
+        for at in rnd.sample(range(own), 2):
+            other[at] = f"new{rnd.randrange(10**6)}"
+        out += [" ".join(base + tail), " ".join(base + other)]
+    return out
+
+
+def test_members_of_an_open_bucket_are_joined_exactly(spark):
+    """Pairs behind leaders that miss them are found, pairs of one class and far pairs are not listed."""
+    texts = templated(42, 40, 172, 26)
+    kmers = [nd.labelled_kmers(t.encode()) for t in texts]
+    linked = {(a, b) for a, b in itertools.combinations(range(40), 2) if nd.similarity(kmers[a], kmers[b]) >= 0.8}
+    assert len(linked) == 20
+    buckets = spark.createDataFrame([(1, i) for i in range(40)], "key long, node long")
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    label = spark.createDataFrame([(0, 0), (1, 0)], "node long, label long")
+    got = {tuple(sorted(r)) for r in nd._across(spark, buckets, label, rows, 0.8).collect()}
+    assert linked - {(0, 1)} <= got and (0, 1) not in got
+    assert len(got) < 100
+
+
 def test_order_matters():
     a, b = prose(1, 100), prose(2, 100)
     one, two = nd.labelled_kmers(" ".join(a + b).encode()), nd.labelled_kmers(" ".join(b + a).encode())

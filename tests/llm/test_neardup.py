@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from airshed.llm import neardup as nd
 from airshed.llm.components import components
@@ -101,6 +102,25 @@ def templated(seed, n, size, own):
     return out
 
 
+def test_pairs_on_one_template_against_all_pairs(spark):
+    docs = list(enumerate(templated(41, 300, 172, 26)))
+    random.Random(3).shuffle(docs)
+    got, want = run(spark, docs), brute(docs)
+    assert len(set(want.values())) == 150
+    assert got == want
+
+
+def test_a_round_without_links_ends_no_bucket(spark, monkeypatch):
+    """All texts in one bucket, led by a text that none of them is near."""
+    texts = [" ".join(prose(77, 120)), *templated(43, 40, 172, 26)]
+    plain = nd._sketched
+    monkeypatch.setattr(nd, "_sketched", lambda *a: plain(*a).withColumn("keys", F.array(F.lit(1).cast("long"))))
+    docs = list(enumerate(texts))
+    got = run(spark, docs)
+    assert got == brute(docs)
+    assert len(set(got.values())) == 21
+
+
 def test_members_of_an_open_bucket_are_joined_exactly(spark):
     """Pairs behind leaders that miss them are found, pairs of one class and far pairs are not listed."""
     texts = templated(42, 40, 172, 26)

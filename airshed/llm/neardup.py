@@ -26,8 +26,12 @@ texts of similarity ``threshold`` share a labelled k-mer among the first few of
 each, rarest first (prefix filter with length bounds), and every such pair of
 two classes is aligned.  Pairs within one class are never listed.
 
-With 20 bands of 5 picks, two texts of similarity 0.8 share a sketch with
-probability 1 - (1 - 0.8^5)^20 = 0.9996.
+With 20 bands of 5 picks, two long texts of similarity 0.8 share a sketch with
+probability 1 - (1 - 0.8^5)^20 = 0.9996; picks are drawn without replacement,
+so shorter texts share one less often (24 of 30 k-mers in common: 0.9992).  A
+text of up to ``FEW`` k-mers has no sketches: it meets others by its k-mers
+that come first in one fixed random order, as many as hold a common one for
+certain (prefix filter), and so do the longer texts that it can link to.
 
 Defined results: rows with equal texts are of one class, empty texts included;
 a null text is a class of its own row's id; texts without words have no
@@ -55,6 +59,7 @@ K = 5
 BANDS = 20
 PICKS = 5
 THRESHOLD = 0.8
+FEW = 20
 _CELLS = 1 << 20  # band x k-mer cells held at once
 _COUNTERS = 1 << 20  # cells in which k-mers are counted to order them by rarity
 
@@ -87,6 +92,21 @@ def sketches(kmers: np.ndarray, bands: int = BANDS, picks: int = PICKS) -> np.nd
     return out.view(np.int64)
 
 
+def prefix_size(n: int, threshold: float = THRESHOLD) -> int:
+    """In any order of the k-mers, linked texts share one among the first ``prefix_size`` of each."""
+    return n - math.ceil(threshold * n - 1e-9) + 1
+
+
+def bucket_keys(kmers: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """Buckets of a text: its sketches; for texts with few k-mers the first ones in a fixed random order."""
+    n = len(kmers)
+    keys = sketches(kmers) if n > FEW else np.zeros(0, np.int64)
+    if n and threshold * n <= FEW + 1e-9:  # short itself, or near to a short one
+        order = np.sort(mix(kmers ^ np.uint64(0xD1B54A32D192ED03)))
+        keys = np.r_[keys, order[:prefix_size(n, threshold)].view(np.int64)]
+    return keys
+
+
 def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
     """Aligned share of two labelled k-mer sequences; 0 if it can't reach the threshold."""
     both = len(a) + len(b)
@@ -115,8 +135,8 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
     return chain / (both - chain) if chain >= need else 0.0
 
 
-def _sketched(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, h1, h2, keys) per document: id, 128-bit code of the text, sketches."""
+def _sketched(docs: DataFrame, doc_id: str, text: str, threshold: float) -> DataFrame:
+    """(id, h1, h2, keys) per document: id, 128-bit code of the text, buckets."""
     src = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"),
                       F.coalesce(F.xxhash64(F.col(f"`{text}`")), F.lit(0)).alias("h1"),
                       F.conv(F.substring(F.md5(F.col(f"`{text}`").cast("binary")), 1, 15), 16, 10).cast("long")
@@ -125,7 +145,7 @@ def _sketched(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = [sketches(labelled_kmers(t.as_py())) for t in b.column("t").cast(pa.binary())]
+            keys = [bucket_keys(labelled_kmers(t.as_py()), threshold) for t in b.column("t").cast(pa.binary())]
             offsets = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -164,11 +184,6 @@ def least_common(n1, n2, threshold: float = THRESHOLD):
     return threshold / (1 + threshold) * (n1 + n2) - 1e-9
 
 
-def prefix_size(n: int, threshold: float = THRESHOLD) -> int:
-    """In any order of the k-mers, linked texts share one among the first ``prefix_size`` of each."""
-    return n - math.ceil(threshold * n - 1e-9) + 1
-
-
 def _prefixes(spark: SparkSession, texts: DataFrame, threshold: float) -> DataFrame:
     """(node, own, n, place, kmer): the rarest k-mers of every text (node, own, t), as many as a link can need.
 
@@ -247,7 +262,7 @@ def classes(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text:
 
     One row per distinct id; see the module's rules for nulls and repeated ids.
     """
-    sk = kept(spark, _sketched(docs, doc_id, text), "sketches")
+    sk = kept(spark, _sketched(docs, doc_id, text, threshold), "sketches")
     # equal texts: one node each, the smallest id
     first = sk.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n"))
     member = kept(spark, sk.join(first.where("n > 1"), ["h1", "h2"], "left")

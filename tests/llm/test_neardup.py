@@ -156,6 +156,23 @@ def test_sketches_of_short_texts(n):
     assert (nd.sketches(k) == nd.sketches(k.copy())).all()
 
 
+def test_short_texts_against_all_pairs(spark):
+    """Texts of 5 to 30 words with a word dropped, added or changed at either end or inside."""
+    texts = []
+    for n in range(5, 31):
+        w = prose(500 + n, n, 10**6)
+        texts += [" ".join(v) for v in (w, w[:-1], w[1:], [*w, "more"], ["first", *w], w[:-2], [*w[:-1], "other"],
+                                        [*w[:n // 2], "inside", *w[n // 2 + 1:]])]
+    docs = list(enumerate(texts))
+    random.Random(4).shuffle(docs)
+    assert run(spark, docs) == brute(docs)
+    kmers = [nd.labelled_kmers(t.encode()) for t in texts]
+    keys = [set(nd.bucket_keys(k).tolist()) for k in kmers]
+    linked = [(i, j) for i, j in itertools.combinations(range(len(docs)), 2)
+              if min(len(kmers[i]), len(kmers[j])) <= nd.FEW and nd.similarity(kmers[i], kmers[j]) >= 0.8]
+    assert len(linked) > 100 and all(keys[i] & keys[j] for i, j in linked)
+
+
 def test_sketch_collisions_follow_similarity():
     texts = family(11, 300, 200, 3)
     kmers = [nd.labelled_kmers(t.encode()) for t in texts]

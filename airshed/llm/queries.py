@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airshed.llm import chat, decontam, licenses, mixing, neardup, quality, spans, tokens, urls, warc
+from airshed.llm import chat, decontam, licenses, mixing, neardup, quality, secrets, spans, tokens, urls, warc
 from airshed.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -220,3 +220,22 @@ def op10_near_dedup(spark, sf):
     """Near-duplicate class of every document (the smallest doc_id in it)."""
     return neardup.classes(spark, table(spark, sf, "documents").select("doc_id", "text")) \
         .select(F.col("id").alias("doc_id"), F.col("class").alias("class_id"), "copy_of")
+
+
+# ---------------------------------------------------------------- 13 secret scans
+
+@register("op13_secret_scan")
+def op13_secret_scan(spark, sf):
+    """Secrets in every document's whole text."""
+    found = secrets.scan(spark, table(spark, sf, "documents").select("doc_id", "text"))
+
+    def shown(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"),
+                                                                     s["end"].cast("string"))), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    return found.select(F.col("id").alias("doc_id"), count("assign"), count("access"), count("hex"),
+                        F.sha2(shown(base).cast("binary"), 256).alias("base_sha256"), shown("spans").alias("spans"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airshed.llm import chat, decontam, licenses, mixing, neardup, quality, secrets, spans, tokens, urls, warc
+from airshed.llm import chat, decontam, licenses, mixing, neardup, phrases, quality, secrets, spans, tokens, urls, warc
 from airshed.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -222,6 +222,43 @@ def op10_near_dedup(spark, sf):
         .select(F.col("id").alias("doc_id"), F.col("class").alias("class_id"), "copy_of")
 
 
+# ---------------------------------------------------------------- 11 phrase collocations
+
+_PHRASES_SQL = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece
+           FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+o AS (SELECT lang, 1 AS k, unnest(w) AS phrase FROM w
+      UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w
+      UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1),
+                                       lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM o GROUP BY lang, k, phrase),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+cuts AS (SELECT lang, k, phrase, a, w, unnest(range(1, k)) AS cut FROM c),
+s AS (SELECT t.lang, t.k, t.phrase, t.a, t.cut, x.f AS l, y.f AS r,
+             cast(cast(t.a AS hugeint) * t.a * 1000000 // (cast(x.f AS hugeint) * y.f) AS bigint) AS score
+      FROM cuts t JOIN f x ON x.lang = t.lang AND x.phrase = array_to_string(t.w[1:t.cut], ' ')
+      JOIN f y ON y.lang = t.lang AND y.phrase = array_to_string(t.w[t.cut + 1:t.k], ' ')),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (SELECT DISTINCT lang, phrase FROM (
+             SELECT x.lang, x.phrase FROM c x JOIN c y ON x.lang = y.lang AND x.k = 2 AND y.k = 3
+               AND x.w = y.w[1:2] AND 100 * y.a >= 50 * x.a
+             UNION ALL SELECT x.lang, x.phrase FROM c x JOIN c y ON x.lang = y.lang AND x.k = 2 AND y.k = 3
+               AND x.w = y.w[2:3] AND 100 * y.a >= 50 * x.a)),
+ranked AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+           FROM best b ANTI JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase)
+SELECT ranked.lang, rank, phrase, a, l, r, cast(n AS bigint) AS n, score
+FROM ranked JOIN n ON n.lang = ranked.lang WHERE rank <= 2000
+"""
+
+
+@register("op11_phrase_mining", _PHRASES_SQL)
+def op11_phrase_mining(spark, sf):
+    """The first 2,000 collocations of every language."""
+    return phrases.collocations(spark, table(spark, sf, "documents").select("lang", "text"))
+
+
 # ---------------------------------------------------------------- 13 secret scans
 
 @register("op13_secret_scan")

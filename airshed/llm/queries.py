@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airshed.llm import chat, decontam, licenses, mixing, neardup, phrases, quality, secrets, spans, tokens, urls, warc
+from airshed.llm import (chat, decontam, licenses, mixing, neardup, phrases, quality, secrets, spans, tokens, urls,
+                         warc, whitening)
 from airshed.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -259,6 +260,15 @@ def op11_phrase_mining(spark, sf):
     return phrases.collocations(spark, table(spark, sf, "documents").select("lang", "text"))
 
 
+# ---------------------------------------------------------------- 12 embedding whitening
+
+@register("op12_whitening")
+def op12_whitening(spark, sf):
+    """Whitened coordinates of every usable embedding."""
+    return whitening.whiten(spark, table(spark, sf, "embeddings").select("vec_id", "embedding")) \
+        .withColumnRenamed("id", "vec_id")
+
+
 # ---------------------------------------------------------------- 13 secret scans
 
 @register("op13_secret_scan")

@@ -29,43 +29,74 @@ ordered by the phrase's UTF-8 bytes.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from airshed.llm.tables import kept
+from airshed.llm.words import mix
 
 SHARDS = 4
 SUPPORT = 10
 MAX_WORDS = 3
 BUCKET_BYTES = 2 << 20      # bytes of text per bucket
-HELD = 1_000_000            # phrases a task holds before it hands them over
+HELD = 2_000_000            # words a task holds before it hands their phrases over
+PARTS = 16                  # parts in which a language's phrases are ranked first
 _CUT = b"\n"
 # A-Z to a-z, the piece ends to a line feed, a tab to a blank
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c
                for c in range(256))
 
 
-def pieces(text: bytes) -> Iterator[list[bytes]]:
-    """The words of every piece that has any."""
-    for piece in text.translate(_TABLE).split(_CUT):
-        words = [w for w in piece.split(b" ") if w]
-        if words:
-            yield words
+def tokens(text: bytes) -> list[bytes]:
+    """The words of a text, a line feed before every piece; blanks that follow each other give empty tokens."""
+    return (_CUT + text.translate(_TABLE)).replace(_CUT, b" \n ").split(b" ")
 
 
-def count_into(phrases: Counter, text: bytes, longest: int) -> None:
-    """Adds every run of 1 to ``longest`` words of the text, joined by blanks."""
-    for words in pieces(text):
-        phrases.update(words)
-        for k in range(2, min(longest, len(words)) + 1):
-            phrases.update(map(b" ".join, zip(*[words[i:] for i in range(k)])))
+class Numbers(dict):
+    """A number per token, in order of first use; 0 for empty ones, 1 for the piece end."""
+
+    def __init__(self):
+        super().__init__({b"": 0, _CUT: 1})
+
+    def __missing__(self, token: bytes) -> int:
+        self[token] = n = len(self)
+        return n
+
+
+def counted_runs(codes: np.ndarray, words: pa.Array, marks: np.ndarray,
+                 longest: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(phrases, hashes, counts) of the runs of 1 to ``longest`` words, one item a length.
+
+    ``codes`` are token numbers (1: piece end), ``marks`` a hash per number."""
+    at = np.flatnonzero(codes != 1)          # where the runs of this length begin
+    run = codes                              # number of the run that begins at each place
+    texts, hashes = words, marks
+    for k in range(1, longest + 1):
+        if k > 1:
+            at = at[at < len(codes) - k + 1]
+            at = at[codes[at + k - 1] != 1]
+        if not len(at):
+            return
+        # the run without its last word, and the last word: numbers below places and words, so one integer
+        key = codes[at] if k == 1 else run[at] * np.int64(len(marks)) + codes[at + k - 1]
+        distinct, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
+        if k == 1:
+            texts, hashes = words.take(pa.array(distinct)), marks[distinct]
+        else:
+            head, last = distinct // len(marks), distinct % len(marks)
+            texts = pc.binary_join_element_wise(texts.take(pa.array(head)), words.take(pa.array(last)), b" ")
+            hashes = mix(hashes[head] + marks[last])
+        run = np.zeros(len(codes), np.int64)
+        run[at] = inverse
+        yield texts, hashes, counts
 
 
 def local_support(support: int, share: float) -> int:
@@ -86,66 +117,90 @@ def _dealt(docs: DataFrame, lang: str, text: str, buckets: int, shards: int, lon
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId() % shards
-        held: dict[str, Counter] = {}
         pack = zstandard.ZstdCompressor(level=1).compress
+        held: dict[str, list[np.ndarray]] = {}
+        numbers, size = Numbers(), 0
+
+        def packed(language: str, phrases: pa.Array, hashes: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
+            bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            lines = pc.binary_join_element_wise(phrases.take(pa.array(order)), b"", _CUT)  # every phrase ends a line
+            ends = np.frombuffer(lines.buffers()[1], np.int32)[lines.offset:lines.offset + len(lines) + 1]
+            data, counts = memoryview(lines.buffers()[2]), counts[order].astype(np.uint32)
+            cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True])
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                yield (int(bucket[order[i]]), language, shard, pack(data[ends[i]:ends[j]]), pack(counts[i:j].tobytes()))
 
         def handed() -> Iterator[pa.RecordBatch]:
-            for language, counted in held.items():
-                dealt: list[list[bytes]] = [[] for _ in range(buckets)]
-                for phrase in counted:
-                    dealt[crc32(phrase) % buckets].append(phrase)
-                rows = []
-                for bucket, phrases in enumerate(dealt):
-                    if phrases:
-                        numbers = b" ".join([b"%d" % counted[p] for p in phrases])
-                        rows.append((bucket, language, shard, pack(_CUT.join(phrases)), pack(numbers)))
-                counted.clear()
-                if not rows:  # texts without words
-                    continue
+            words = pa.array(list(numbers), pa.binary())
+            marks = mix(np.fromiter(map(crc32, numbers), np.uint64, len(numbers)))
+            for language, parts in held.items():
+                codes = np.concatenate(parts)
+                total = int((codes != 1).sum())
+                rows = [r for run in counted_runs(codes, words, marks, longest) for r in packed(language, *run)]
+                # the empty phrase carries the number of words
+                rows += packed(language, pa.array([b""], pa.binary()), np.array([crc32(language.encode())], np.uint64),
+                               np.array([total]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows), _DEALT_ARROW.types)], schema=_DEALT_ARROW)
-            held.clear()
 
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             for language, value in zip(batch.column(0).to_pylist(), texts):
-                counted = held.get(language)
-                if counted is None:
-                    counted = held[language] = Counter()
-                count_into(counted, value.as_py(), longest)
-                if len(counted) > HELD:
+                found = tokens(value.as_py())
+                codes = np.fromiter(map(numbers.__getitem__, found), np.int64, len(found))
+                codes = codes[codes > 0]
+                held.setdefault(language, []).append(codes)
+                size += len(codes)
+                if size > HELD:
                     yield from handed()
-            if sum(map(len, held.values())) > HELD:
-                yield from handed()
+                    held.clear()
+                    numbers, size = Numbers(), 0
         yield from handed()
 
     return df.mapInArrow(work, _DEALT)
 
 
+def _lines(packed: bytes) -> pa.Array:
+    """The lines of a packed text as an array of binaries (without copying them)."""
+    data = zstandard.ZstdDecompressor().decompress(packed)
+    ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10).astype(np.int32)
+    offsets = np.r_[np.int32(0), ends + np.int32(1)]
+    whole = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
+    return pc.binary_slice(whole, 0, -1)
+
+
 def _mined(dealt: DataFrame, least: list[int], support: int) -> DataFrame:
     """(lang, phrase, words, f): phrases of local support in some shard and of global support;
-    rows of 0 words carry the bucket's share of the language's word occurrences."""
+    the empty phrase carries the words of a language that the bucket's tasks counted."""
     def work(group: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor().decompress
-        shards: dict[str, list[dict[bytes, int]]] = {}
-        for row in group.to_batches():
-            for language, shard, phrases, counts in zip(*(row.column(i) for i in (1, 2, 3, 4))):
-                counted = shards.setdefault(language.as_py(), [{} for _ in least])[shard.as_py()]
-                have = counted.get
-                for phrase, n in zip(unpack(phrases.as_py()).split(_CUT), map(int, unpack(counts.as_py()).split())):
-                    counted[phrase] = have(phrase, 0) + n
-        out: list[tuple[str, bytes, int, int]] = []
-        for language, parts in shards.items():
-            candidates = {p for part, low in zip(parts, least) for p, n in part.items() if n >= low}
-            for phrase in candidates:
-                f = sum(part.get(phrase, 0) for part in parts)
-                if f >= support:
-                    out.append((language, phrase, phrase.count(b" ") + 1, f))
-            words = sum(n for part in parts for p, n in part.items() if b" " not in p)
-            out.append((language, b"", 0, words))
-        lang, phrase, size, f = zip(*out)
-        return pa.table({"lang": pa.array(lang, pa.string()), "phrase": pa.array(phrase, pa.binary()).cast(pa.string()),
-                         "words": pa.array(size, pa.int32()), "f": pa.array(f, pa.int64())})
+        phrases, numbers, langs, shards = [], [], [], []
+        for language, shard, lines, counts in zip(*(group.column(c).to_pylist()
+                                                    for c in ("lang", "shard", "phrases", "counts"))):
+            phrases.append(_lines(lines))
+            numbers.append(np.frombuffer(unpack(counts), np.uint32).astype(np.int64))
+            langs.append(pa.repeat(language, len(phrases[-1])))
+            shards.append(np.full(len(phrases[-1]), shard, np.int32))
+        rows = pa.table({"lang": pa.chunked_array(langs, pa.string()).dictionary_encode(),
+                         "phrase": pa.chunked_array(phrases, pa.binary()),
+                         "shard": np.concatenate(shards), "n": np.concatenate(numbers)})
+        # every shard's phrases, completely
+        mined = rows.group_by(["lang", "phrase", "shard"], use_threads=False).aggregate([("n", "sum")])
+        n, low = mined.column("n_sum"), np.array(least)[mined.column("shard").to_numpy()]
+        local = pc.greater_equal(n, pa.array(low))
+        # the union of locally frequent phrases, counted over all shards
+        union = mined.append_column("local", local) \
+            .group_by(["lang", "phrase"], use_threads=False).aggregate([("local", "max"), ("n_sum", "sum")])
+        phrase, f = union.column("phrase"), union.column("n_sum_sum")
+        stays = pc.or_(pc.equal(pc.binary_length(phrase), 0),
+                       pc.and_(union.column("local_max"), pc.greater_equal(f, support)))
+        union = union.filter(stays)
+        phrase = union.column("phrase").cast(pa.string())
+        blanks = pc.count_substring(phrase, " ")
+        words = pc.if_else(pc.equal(pc.binary_length(phrase), 0), 0, pc.add(blanks, 1))
+        return pa.table({"lang": union.column("lang").cast(pa.string()), "phrase": phrase,
+                         "words": words.cast(pa.int32()), "f": union.column("n_sum_sum").cast(pa.int64())})
 
     return dealt.groupBy("bucket").applyInArrow(work, _COUNTED)
 
@@ -214,8 +269,12 @@ def collocations(spark: SparkSession, docs: DataFrame, lang: str = "lang", text:
     """(lang, rank, phrase, a, l, r, n, score): the first ``top`` phrases of every language."""
     phrases, totals = frequent(spark, docs, lang, text, support, longest)
     left = scored(phrases).join(contained(phrases, percent), ["lang", "phrase"], "left_anti")
-    # ranks at most `top` are cut in every task before the rows of a language meet
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    ranked = left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
+    # the first of every part of a language, then of the language: at most PARTS * top rows meet in one task
+    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
+    first = left.withColumn("part", part).withColumn(
+        "rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))) \
+        .where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r",
                                               "n", "score")

@@ -18,8 +18,9 @@ from airshed.functions.model_features import build_features, day_ordinal
 from airshed.operators.crossval import SUMMARY_COLS
 from airshed.operators.region import cities_without_region
 from airshed.operators.resample import drop_incomplete_rows, resample
+from airshed.params import BoostParams
 from airshed.plans import stages
-from airshed.schemas import AQI_AGG, FEATURES, WEATHER_AGG
+from airshed.schemas import AQI_AGG, CATEGORICAL, FEATURES, NUMERIC, WEATHER_AGG
 from airshed.session import pinned
 from airshed.sources.adapter import hourly_aqi, hourly_weather
 from airshed.sources.cities import dim_city
@@ -600,68 +601,69 @@ def q_union(spark, sf):
 
 # ---------------------------------------------------------------- M3, M5, M8, M9, M10, T1, S13
 
-# Trees per boosted model in the registered checks.  The number is a parameter
-# of the job (``--n-estimators``, 900 by default); these queries check that
-# fitting, scoring, saving and reporting work on every row.
-CHECK_TREES = 5
+# The registered checks grow small ensembles, because their SQL replays every level of every tree.  The job's
+# number and depth are its parameters (900 trees of depth 7 by default; README has figures).
+CHECK_TREES = 3
+CHECK_BOOST = BoostParams(max_depth=3)
 
 
-def _gbt_train(spark, sf, target: str = "pm2_5", trees: int = CHECK_TREES):
-    from pyspark.ml import PipelineModel
-
+def _boosted(spark, sf, target: str = "pm2_5", numeric: list[str] = NUMERIC, categorical: list[str] = CATEGORICAL,
+             boost: BoostParams = CHECK_BOOST, trees: int = CHECK_TREES, cross_validated: bool = False):
+    """(node table, scored training rows, test rows) of the training job's own functions."""
+    from airshed.params import TrainParams
+    from airshed.plans.train import boosted, split_features
+    params = TrainParams(target=target, boost=boost)
+    split = split_features(engineered(spark, sf), params)
+    test = split.where(F.col("is_test")).drop("is_test")
+    return *boosted(spark, split.where(~F.col("is_test")).drop("is_test"), params, trees, numeric, categorical,
+                    cross_validated), test
+
+
+def _boost_sql(select: str, **over) -> str:
+    settings = {"features": FEATURES, "categorical": CATEGORICAL, "boost": CHECK_BOOST, "trees": CHECK_TREES,
+                "models": [0]} | over
+    return O.with_boost(select, **settings)
+
+
+@register("bin_cut_points", _boost_sql(
+    "SELECT feature, cast(row_number() OVER (PARTITION BY feature ORDER BY cut) AS integer) AS bin, "
+    f"{O.r6('cut')} AS cut FROM cuts JOIN names ON names.f = cuts.f", trees=0))
+def q_bins(spark, sf):
+    """M3: cut points of every numeric feature from merged sketches (exact at this size), one pass."""
+    from airshed.operators.binning import cut_points
     from airshed.params import TrainParams
-    from airshed.plans.train import bins_for, gbt_estimator, prepare
-    params = TrainParams(target=target)
-    indexer, split = prepare(engineered(spark, sf), params)
-    train_rows = split.where(~F.col("is_test")).drop("is_test")
-    test_rows = split.where(F.col("is_test")).drop("is_test")
-    fitted = gbt_estimator(params, trees, bins_for(indexer, params)).fit(train_rows)
-    model = PipelineModel(stages=[*indexer.stages, *fitted.stages])
-    return model, test_rows
+    from airshed.plans.train import split_features
+    params = TrainParams()
+    rows = split_features(engineered(spark, sf), params).where(~F.col("is_test"))
+    return round_doubles(cut_points(rows, NUMERIC, params.min_bins))
 
 
-def _uncoded(rows: DataFrame) -> DataFrame:
-    """Rows without the categorical codes: the full model derives them again."""
-    return rows.select(*[c for c in rows.columns if not c.endswith("_code")])
+@register("gbt_fit_predict", _boost_sql(
+    f"SELECT x.time, x.city, {O.r6('label')} AS label, {O.r6('p')} AS prediction FROM x JOIN pred ON pred.rid = x.rid WHERE is_test"))
+def q_gbt(spark, sf):
+    """M3 / M5 / M9: the held-out rows' predictions, from the node table."""
+    from airshed.operators.trees import predict
+    nodes, _, test = _boosted(spark, sf)
+    return round_doubles(predict(test, nodes).select("time", "city", "label", "prediction"))
 
 
-@register("gbt_fit_predict", O.with_cv(
-    f"SELECT time, city, {O.r6('label')} AS label, true AS predicted FROM split WHERE is_test"))
-def q_gbt(spark, sf):
-    """M3 / M5 / M9: boosted trees on the training rows score exactly the held-out rows."""
-    model, test_rows = _gbt_train(spark, sf)
-    scored = model.transform(_uncoded(test_rows))
-    ok = F.col("prediction").isNotNull() & ~F.isnan("prediction")
-    return round_doubles(scored.select("time", "city", "label", ok.alias("predicted")))
+_STUMP = {"features": ["is_weekend"], "categorical": [], "boost": BoostParams(max_depth=1), "trees": 1}
 
 
 def _stump(spark, sf, target: str) -> DataFrame:
-    """One tree of depth 1 on ``is_weekend``: MLlib does not shrink its first
-    tree, so the prediction is the mean label of the training rows per group."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
-
-    from airshed.params import BoostParams, TrainParams
-    from airshed.plans.train import make_gbt, prepare
-    params = TrainParams(target=target, boost=BoostParams(max_depth=1))
-    _, split = prepare(engineered(spark, sf), params)
-    stump = Pipeline(stages=[VectorAssembler(inputCols=["is_weekend"], outputCol="features"), make_gbt(params, 1)])
-    model = stump.fit(split.where(~F.col("is_test")))
-    return round_doubles(model.transform(split.where("is_test")).select("time", "city", "is_weekend", "prediction"))
+    from airshed.operators.trees import predict
+    nodes, _, test = _boosted(spark, sf, target, ["is_weekend"], [], _STUMP["boost"], 1)
+    return round_doubles(predict(test, nodes).select("time", "city", "is_weekend", "prediction"))
 
 
 def _stump_sql(target: str) -> str:
-    return O.with_cv(f"""
-SELECT s.time, s.city, f.is_weekend, {O.r6("m.p")} AS prediction
-FROM split s JOIN fm f ON s.time = f.time AND s.city = f.city
-JOIN (SELECT f.is_weekend, avg(f.{target}) AS p FROM split s JOIN fm f ON s.time = f.time AND s.city = f.city
-      WHERE NOT s.is_test GROUP BY f.is_weekend) m ON m.is_weekend = f.is_weekend
-WHERE s.is_test""")
+    return _boost_sql(f"SELECT x.time, x.city, f.is_weekend, {O.r6('p')} AS prediction FROM x JOIN pred ON pred.rid = x.rid "
+                      "JOIN fm f ON f.time = x.time AND f.city = x.city WHERE x.is_test", target=target, **_STUMP)
 
 
 @register("gbt_stump", _stump_sql("pm2_5"))
 def q_gbt_stump(spark, sf):
-    """M3 / M5 / M9 against SQL: the first boosted tree's values."""
+    """M3 / M5 / M9: one tree of depth 1 on one feature, L1 and L2 included."""
     return _stump(spark, sf, "pm2_5")
 
 
@@ -671,41 +673,45 @@ def q_gbt_stump_pm10(spark, sf):
     return _stump(spark, sf, "pm10")
 
 
-@register("importance_topk", "SELECT feature, 1.0e0 AS total FROM (VALUES "
-          + ", ".join(f"('{c}')" for c in FEATURES) + ") v(feature)")
+@register("importance_topk", _boost_sql(
+    f"SELECT feature, {O.r6('coalesce(avg(gain), 0)')} AS importance, count(gain) AS splits "
+    "FROM names LEFT JOIN nodes ON nodes.f = names.f GROUP BY feature"))
 def q_importance(spark, sf):
-    """The importance table (top 40 of 22 features) names every
-    feature once, and its importances add up to 1."""
-    from pyspark.sql import Window
+    """Mean gain per split of every feature (top 40 of 22)."""
+    from airshed.operators.trees import importance
+    nodes, _, _ = _boosted(spark, sf)
+    return round_doubles(importance(nodes, FEATURES, 40))
 
-    from airshed.plans.train import importance_table
-    model, _ = _gbt_train(spark, sf)
-    total = F.sum("importance").over(Window.partitionBy(F.lit(1)))  # 22 rows
-    return round_doubles(importance_table(spark, model, 40).select("feature", total.alias("total")))
 
-
-@register("model_save_load", O.with_cv("SELECT time, city, true AS same FROM split WHERE is_test"))
+@register("model_save_load", _boost_sql(
+    f"SELECT tree, cast(node AS integer) AS node, depth, feature, side = 1 AS default_left, {O.r6('gain')} AS gain, "
+    f"cover, {O.r6('value')} AS value FROM nodes LEFT JOIN names ON names.f = nodes.f"))
 def q_model_io(spark, sf):
-    """Save the fitted pipeline, load it back, predict with both."""
-    from pyspark.ml import PipelineModel
-
+    """The node table, saved as a version and loaded back."""
+    from airshed.operators import trees
     from airshed.session import scratch_path
-    model, test_rows = _gbt_train(spark, sf)
+    nodes, _, _ = _boosted(spark, sf)
     path = scratch_path(spark, "model")
-    model.write().overwrite().save(path)
-    loaded = PipelineModel.load(path)
-    rows = _uncoded(test_rows)
-    once = model.transform(rows).withColumnRenamed("prediction", "p_saved").select(*rows.columns, "p_saved")
-    both = loaded.transform(once)
-    return both.select("time", "city", (F.abs(F.col("p_saved") - F.col("prediction")) < F.lit(1e-9)).alias("same"))
+    trees.save(nodes, path, 1)
+    loaded = trees.load(spark, path).where("tree >= 0")
+    return round_doubles(loaded.select("tree", "node", "depth", "feature", "default_left", "gain", "cover", "value"))
+
 
+_GBT_CV_SQL = _boost_sql(f"""
+, boosted_r2 AS (
+  SELECT pred.m AS fold, x.fold = pred.m AS held,
+         1 - sum((label - p) * (label - p)) / (var_pop(label) * count(*)) AS r2
+  FROM x JOIN pred ON pred.rid = x.rid WHERE NOT is_test GROUP BY pred.m, x.fold = pred.m)
+SELECT cast(fold AS integer) AS Fold, {O.r6('max(r2) FILTER (WHERE NOT held)')} AS Train_R2,
+       {O.r6('max(r2) FILTER (WHERE held)')} AS CV_R2,
+       {O.r6('max(r2) FILTER (WHERE NOT held) - max(r2) FILTER (WHERE held)')} AS Gap
+FROM boosted_r2 GROUP BY fold""", models=[1, 2, 3, 4, 5])
 
-@register("gbt_cross_validate", O.with_cv(
-    "SELECT DISTINCT cast(fold AS integer) AS Fold, true AS gap_is_difference, true AS scored FROM folds"))
+
+@register("gbt_cross_validate", _GBT_CV_SQL)
 def q_gbt_cv(spark, sf):
-    """M4 with the boosted model: one row per fold, Gap = Train_R2 - CV_R2, scores of at most 1."""
-    from airshed.plans.train import train
-    res = train(spark, engineered(spark, sf), "pm25_predictor", max_iter=CHECK_TREES).fold_results
-    gap = F.abs(F.col("Gap") - (F.col("Train_R2") - F.col("CV_R2"))) < 1e-9
-    return res.select("Fold", gap.alias("gap_is_difference"),
-                      ((F.col("Train_R2") <= 1) & (F.col("CV_R2") <= 1)).alias("scored"))
+    """M4: k boosted models and the refit from one scan a level; their scores per fold."""
+    from airshed.operators.crossval import fold_results
+    from airshed.plans.train import fold_scores
+    _, rows, _ = _boosted(spark, sf, cross_validated=True)
+    return round_doubles(fold_results(fold_scores(rows, 5)))

@@ -196,3 +196,100 @@ summary AS (
 
 def with_cv(select: str) -> str:
     return f"WITH {_BASE.strip()}{_CV.rstrip()}\n{select}"
+
+
+# Second-order boosting, level by level, as one chain of steps: an independent
+# statement of the learner (histograms by join and window, no arrays).
+def with_boost(select: str, features: list[str], categorical: list[str], boost, trees: int, models: list[int],
+               target: str = "pm2_5", max_bins: int = 256) -> str:
+    """``select`` may read pred(m, rid, p), nodes(m, tree, node, ...), x (the rows) and cuts(f, name, cut)."""
+    names = [*categorical, *[f for f in features if f not in categorical]]
+    lam, alpha = f"{boost.reg_lambda!r}e0", f"{boost.reg_alpha!r}e0"
+    lr, least = f"{boost.learning_rate!r}e0", max(boost.min_child_weight, 1)
+
+    def shrunk(g: str) -> str:
+        return f"(CASE WHEN {g} > {alpha} THEN {g} - {alpha} WHEN {g} < -{alpha} THEN {g} + {alpha} ELSE 0e0 END)"
+
+    def score(g: str, h: str) -> str:
+        return f"({shrunk(g)} * {shrunk(g)} / ({h} + {lam}))"
+
+    numbers = [c for c in names if c not in categorical]
+    cols = ", ".join(f"round(cast(f.{c} AS double), 6) AS {c}" if c in numbers else f"f.{c} AS {c}"
+                     for c in names if c != "city")
+    is_cat = f"f < {len(categorical)}" if categorical else "false"
+    longs = [f"SELECT rid, is_test, {i} AS f, {c} AS v FROM x" for i, c in enumerate(names) if c in numbers]
+    texts = [f"SELECT rid, is_test, {i} AS f, cast({c} AS varchar) AS v FROM x" for i, c in enumerate(names) if c in categorical]
+    texts = texts or ["SELECT rid, is_test, 0 AS f, cast(NULL AS varchar) AS v FROM x WHERE false"]
+    ctes = [f"""x AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY s.city, s.time) AS rid, s.time, s.city, s.is_test, fo.fold, f.{target} AS label,
+         cast(round(f.{target} * 65536) AS bigint) AS yq, {cols}
+  FROM split s JOIN fm f ON s.time = f.time AND s.city = f.city
+  LEFT JOIN folds fo ON fo.time = s.time AND fo.city = s.city)""",
+            f"nx AS MATERIALIZED ({' UNION ALL '.join(longs)})",
+            f"cx AS MATERIALIZED ({' UNION ALL '.join(texts)})",
+            "ranked_x AS (SELECT f, v, row_number() OVER (PARTITION BY f ORDER BY v) AS r, count(*) OVER (PARTITION BY f) AS n "
+            "FROM nx WHERE NOT is_test AND v IS NOT NULL)",
+            f"""cuts AS MATERIALIZED (SELECT DISTINCT f, v AS cut FROM ranked_x JOIN range(1, {max_bins}) q(i)
+  ON r = greatest(1, cast(ceil(i * n / {max_bins}e0) AS bigint)))""",
+            "cut_lists AS (SELECT f, list(cut) AS cl FROM cuts GROUP BY f)",
+            "cats AS MATERIALIZED (SELECT f, v, row_number() OVER (PARTITION BY f ORDER BY v) AS b "
+            "FROM (SELECT DISTINCT f, v FROM cx WHERE NOT is_test AND v IS NOT NULL))",
+            """bl AS MATERIALIZED (
+  SELECT rid, nx.f, CASE WHEN v IS NULL THEN 0 ELSE 1 + len(list_filter(coalesce(cl, []), lambda c: c <= v)) END AS b
+  FROM nx LEFT JOIN cut_lists ON cut_lists.f = nx.f
+  UNION ALL SELECT rid, cx.f, coalesce(cats.b, 0) FROM cx LEFT JOIN cats ON cats.f = cx.f AND cats.v = cx.v)""",
+            f"""st0 AS MATERIALIZED (
+  SELECT m, rid, yq, NOT is_test AND (m = 0 OR fold <> m) AS train,
+         (SELECT cast(sum(b.yq) AS double) / count(*) / 65536 FROM x b WHERE NOT b.is_test AND (q.m = 0 OR b.fold <> q.m)) AS p
+  FROM x, (VALUES {', '.join(f'({m})' for m in models)}) q(m))"""]
+    made = []
+    for t in range(trees):
+        ctes.append(f"n{t}_0 AS (SELECT m, rid, 1 AS node, false AS done FROM st{t})")
+        for level in range(boost.max_depth + 1):
+            at, last = f"{t}_{level}", level == boost.max_depth
+            ctes.append(f"""e{at} AS MATERIALIZED (
+  SELECT n.m, n.rid, node, cast(round(p * 65536) AS bigint) - yq AS g
+  FROM n{at} n JOIN st{t} r ON r.m = n.m AND r.rid = n.rid WHERE train AND NOT done)""")
+            ctes.append(f"t{at} AS MATERIALIZED (SELECT m, node, cast(sum(g) AS bigint) AS g, count(*) AS h FROM e{at} GROUP BY m, node)")
+            value = f"{lr} * (-{shrunk('(t.g / 65536e0)')} / (t.h + {lam}))"
+            if last:
+                made.append(f"SELECT m, {t} AS tree, node, {level} AS depth, cast(NULL AS integer) AS f, cast(NULL AS integer) "
+                            f"AS side, cast(NULL AS double) AS gain, h AS cover, {value} AS value FROM t{at} t")
+                break
+            ctes.append(f"""h{at} AS MATERIALIZED (
+  SELECT m, node, f, b, cast(sum(g) AS bigint) AS g, count(*) AS h FROM e{at} e JOIN bl ON bl.rid = e.rid GROUP BY m, node, f, b)""")
+            ctes.append(f"""c{at} AS MATERIALIZED (
+  SELECT m, node, f, b, sum(g) OVER w AS gl, sum(h) OVER w AS hl, row_number() OVER w AS pos
+  FROM h{at} WHERE b > 0
+  WINDOW w AS (PARTITION BY m, node, f ORDER BY CASE WHEN {is_cat} THEN g / 65536e0 / (h + {lam}) ELSE 0 END, b
+               ROWS UNBOUNDED PRECEDING))""")
+            gl, hl = "cast(gl + side * coalesce(z.g, 0) AS bigint)", "cast(hl + side * coalesce(z.h, 0) AS bigint)"
+            ctes.append(f"""k{at} AS (
+  SELECT c.m, c.node, c.f, c.b, pos, side, t.g AS g, t.h AS h, {gl} AS gl, {hl} AS hl
+  FROM c{at} c JOIN t{at} t ON t.m = c.m AND t.node = c.node
+  LEFT JOIN h{at} z ON z.m = c.m AND z.node = c.node AND z.f = c.f AND z.b = 0, (VALUES (0), (1)) s(side))""")
+            gain = (f"({score('(gl / 65536e0)', 'hl')} + {score('((g - gl) / 65536e0)', '(h - hl)')} "
+                    f"- {score('(g / 65536e0)', 'h')})")
+            ctes.append(f"""best{at} AS MATERIALIZED (
+  SELECT * FROM (SELECT *, {gain} AS gain FROM k{at} WHERE hl >= {least} AND h - hl >= {least}) WHERE gain > 1e-6
+  QUALIFY row_number() OVER (PARTITION BY m, node ORDER BY gain DESC, f, side, pos) = 1)""")
+            made.append(f"SELECT t.m, {t} AS tree, t.node, {level} AS depth, b.f, b.side, b.gain, t.h AS cover, {value} AS value "
+                        f"FROM t{at} t LEFT JOIN best{at} b ON b.m = t.m AND b.node = t.node")
+            right = (f"CASE WHEN bl.b = 0 THEN w.side = 0 WHEN w.{is_cat} THEN coalesce(c.pos > w.pos, w.side = 0) "
+                     "ELSE bl.b > w.b END") if categorical else "CASE WHEN bl.b = 0 THEN w.side = 0 ELSE bl.b > w.b END"
+            ctes.append(f"""n{t}_{level + 1} AS MATERIALIZED (
+  SELECT n.m, n.rid, CASE WHEN n.done OR w.m IS NULL THEN n.node ELSE 2 * n.node + cast({right} AS integer) END AS node,
+         n.done OR w.m IS NULL AS done
+  FROM n{at} n LEFT JOIN best{at} w ON w.m = n.m AND w.node = n.node AND NOT n.done
+  LEFT JOIN bl ON bl.rid = n.rid AND bl.f = w.f
+  LEFT JOIN c{at} c ON c.m = n.m AND c.node = n.node AND c.f = w.f AND c.b = bl.b)""")
+        ctes.append(f"v{t} AS MATERIALIZED (" + " UNION ALL ".join(
+            f"SELECT m, node, value FROM ({q}) WHERE f IS NULL" for q in made[-boost.max_depth - 1:]) + ")")
+        ctes.append(f"""st{t + 1} AS MATERIALIZED (
+  SELECT r.m, r.rid, yq, train, p + value AS p FROM st{t} r JOIN n{t}_{boost.max_depth} n ON n.m = r.m AND n.rid = r.rid
+  JOIN v{t} v ON v.m = n.m AND v.node = n.node)""")
+    if made:
+        ctes.append("nodes AS MATERIALIZED (" + " UNION ALL ".join(made) + ")")
+    ctes.append(f"pred AS (SELECT m, rid, p FROM st{trees})")
+    ctes.append("names AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c}')" for i, c in enumerate(names)) + ") v(f, feature))")
+    return f"WITH {_BASE.strip()}{_CV.rstrip()},\n" + ",\n".join(ctes) + f"\n{select}"

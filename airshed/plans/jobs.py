@@ -126,15 +126,16 @@ def engineer(spark: SparkSession, warehouse: str, fmt: str = "parquet") -> int:
 
 
 def train(spark: SparkSession, warehouse: str, name: str, trees: int | None = None,
-          params: TrainParams | None = None, fmt: str = "parquet") -> dict:
-    """Engineered -> model, fold results, metrics, params."""
+          params: TrainParams | None = None, fmt: str = "parquet", version: int = 1) -> dict:
+    """Engineered -> model (a node table per version), fold results, metrics, params."""
+    from airshed.operators import trees as node_trees
     from airshed.plans.train import params_table
     from airshed.plans.train import train as fit
     params = params or dataclasses.replace(TrainParams(), target=MODEL_VARIANTS.get(name, "pm2_5"))
     eng = read_input(spark, warehouse, "engineered", fmt)
     res = fit(spark, eng, name, params, max_iter=trees)
     base = f"{warehouse}/models/model={name}"
-    res.model.write().overwrite().save(f"{base}/pipeline")
+    node_trees.save(res.model, f"{base}/nodes", version)
     write_per_model(res.fold_results, f"{warehouse}/fold_results", name)
     write_per_model(res.metrics, f"{warehouse}/metrics", name)
     write_per_model(params_table(spark, name, params), f"{warehouse}/params", name)

@@ -55,10 +55,11 @@ def test_train_writes_model_and_metrics(spark, warehouse):
     assert {r.model for r in allm.select("model").distinct().collect()} == {"pm10_forecaster", "pm25_predictor"}
     assert allm.count() == 50
     assert spark.read.parquet(f"{wh}/fold_results").count() == 10
-    from pyspark.ml import PipelineModel
-    model = PipelineModel.load(f"{wh}/models/model=pm10_forecaster/pipeline")
+    from airshed.operators import trees
+    nodes = trees.load(spark, f"{wh}/models/model=pm10_forecaster/nodes")
+    assert nodes.where("fold = 0 AND node = 1").count() == 2 and nodes.select("fold").distinct().count() == 6
     fm = catalog.build_features(spark.read.parquet(f"{wh}/engineered"), target="pm10")
-    assert model.transform(fm).where(F.col("prediction").isNull()).count() == 0
+    assert trees.predict(fm, nodes).where(F.col("prediction").isNull()).count() == 0
 
 
 def test_bucketed_hand_off_merges_without_exchange(spark, warehouse):
@@ -102,7 +103,7 @@ def test_dates_and_hyperparameters_from_the_command_line(spark, warehouse):
     import datetime as dt
     import tempfile
 
-    from pyspark.ml import PipelineModel
+    from airshed.operators import trees
     wh, _ = warehouse
     out = tempfile.mkdtemp(prefix="airshed-cli-")
     jobs.main(["all", "--landing", wh.replace("/warehouse", "/landing"), "--warehouse", out, "--model", "pm10_predictor",
@@ -111,8 +112,9 @@ def test_dates_and_hyperparameters_from_the_command_line(spark, warehouse):
     eng = spark.read.parquet(f"{out}/engineered")
     first, last = eng.agg({"time": "min"}).first()[0], eng.agg({"time": "max"}).first()[0]
     assert first >= dt.datetime(2024, 2, 1) and last < dt.datetime(2024, 6, 16) and eng.count() > 100
-    model = PipelineModel.load(f"{out}/models/model=pm10_predictor/pipeline").stages[-1]
-    assert model.getNumTrees == 2 and model.getMaxDepth() == 3 and model.getStepSize() == 0.5
+    nodes = trees.load(spark, f"{out}/models/model=pm10_predictor/nodes")
+    seen = nodes.where("fold = 0").agg({"tree": "max", "depth": "max"}).first()
+    assert seen["max(tree)"] == 1 and seen["max(depth)"] <= 3
     assert spark.read.parquet(f"{out}/fold_results").count() == 3
     params = {r.param: r.value for r in spark.read.parquet(f"{out}/params").collect()}
     assert params["max_depth"] == "3" and params["reg_lambda"] == "10.0"

@@ -500,17 +500,20 @@ def q_src_all_rejected_reasons(spark, sf):
     "AND time < TIMESTAMP '2024-09-21 00:00:00'")))
 def q_src_dates(spark, sf):
     """Inclusive date range [2024-02-10, 2024-09-20] on the hourly stage
-    (a partition filter on its months, then the days)."""
+    (files picked by the landing manifest, then a pushed-down filter on the time)."""
     import datetime as dt
 
     from airshed.schemas import AQI_VARS
     from airshed.session import scratch_path
-    from airshed.sources.payload import accepted, read_payloads, rejects, write_hourly
+    from airshed.sources.payload import accepted, files_for, read_payloads, rejects, write_hourly, write_manifest
     landed = _land(spark, hourly_aqi(spark, sf), "aqi", AQI_VARS)
     stage = scratch_path(spark, "hourly-aqi")
-    write_hourly(read_payloads(spark, landed, AQI_VARS), "aqi", stage)
+    start, end, manifest = dt.date(2024, 2, 10), dt.date(2024, 9, 20), scratch_path(spark, "manifest")
+    write_manifest(spark, landed, "aqi", manifest)
+    files = files_for(spark, landed, manifest, start, end)
+    write_hourly(read_payloads(spark, landed, AQI_VARS, files=files), "aqi", stage)
     rej = pinned(spark, rejects(spark, stage, "aqi"), "rejects-aqi")
-    h = accepted(spark, stage, "aqi", rej, dt.date(2024, 2, 10), dt.date(2024, 9, 20))
+    h = accepted(spark, stage, "aqi", rej, start, end)
     return round_doubles(stages.gather_aqi(h))
 
 

@@ -34,7 +34,7 @@ from airshed.plans import stages
 from airshed.session import build_session, clear_scratch, ensure_checkpoint_dir
 from airshed.sources.cities import dim_city, select_cities
 from airshed.sources.files import read_bucketed, read_csv, read_stage, write_bucketed, write_csv, write_stage
-from airshed.sources.payload import FEEDS, accepted, read_payloads, rejects, write_hourly
+from airshed.sources.payload import FEEDS, accepted, files_for, read_payloads, rejects, write_hourly, write_manifest
 
 log = logging.getLogger("airshed.jobs")
 
@@ -88,10 +88,13 @@ def gather(spark: SparkSession, landing: str, warehouse: str, feed: str,
            multiline: bool = False) -> int:
     """Landed payloads -> hourly_<feed>, rejects_<feed>, raw_<feed>, counts_<feed>.
 
+    Files that the landing manifest (:func:`index`) places outside the dates aren't opened.
     The JSON is parsed once, into ``hourly_<feed>``.  ``counts_<feed>`` has the
     rows of each city.  With ``buckets``, raw_<feed> is a bucketed table on
     (city, time) so that :func:`merge` joins the two feeds without any exchange."""
-    payloads = select_cities(read_payloads(spark, f"{landing}/feed={feed}", FEEDS[feed], multiline), gp.cities)
+    path, manifest = f"{landing}/feed={feed}", f"{landing}/manifest_{feed}"
+    files = files_for(spark, path, manifest, gp.start_date, gp.end_date)
+    payloads = select_cities(read_payloads(spark, path, FEEDS[feed], multiline, files), gp.cities)
     write_hourly(payloads, feed, f"{warehouse}/hourly_{feed}")
     observed_write(rejects(spark, f"{warehouse}/hourly_{feed}", feed), f"{warehouse}/rejects_{feed}", f"rejects_{feed}")
     n = observed_write(gather_frame(spark, warehouse, feed, gp), f"{warehouse}/raw_{feed}", f"raw_{feed}", buckets)
@@ -100,6 +103,11 @@ def gather(spark: SparkSession, landing: str, warehouse: str, feed: str,
     return n
 
 
+def index(spark: SparkSession, landing: str, feed: str, multiline: bool = False) -> None:
+    """Describes newly landed files in ``<landing>/manifest_<feed>``; run it whenever files land."""
+    write_manifest(spark, f"{landing}/feed={feed}", feed, f"{landing}/manifest_{feed}", multiline)
+
+
 def gather_frame(spark: SparkSession, warehouse: str, feed: str, gp: GatherParams = GatherParams()) -> DataFrame:
     """raw_<feed> before writing, from the hourly stage and the written reject table."""
     rejected = read_stage(spark, f"{warehouse}/rejects_{feed}", schemas.REJECTS)
@@ -172,7 +180,7 @@ def boost_fields() -> list[dataclasses.Field]:
 
 def parse_args(argv: list[str] | None) -> argparse.Namespace:
     ap = argparse.ArgumentParser(prog="airshed.plans.jobs")
-    ap.add_argument("stage", choices=["gather", "merge", "engineer", "train", "all", "export"])
+    ap.add_argument("stage", choices=["index", "gather", "merge", "engineer", "train", "all", "export"])
     ap.add_argument("--input-format", choices=["parquet", "csv"], default="parquet",
                     help="format of the stage tables read from the warehouse")
     ap.add_argument("--out", help="export: folder for the CSV copies")
@@ -206,7 +214,10 @@ def main(argv: list[str] | None = None) -> None:
     gp = GatherParams(start_date=a.start_date, end_date=a.end_date)
     params = TrainParams(test_size=a.test_size, n_folds=a.folds, cv_parallelism=a.cv_parallelism,
                          boost=BoostParams(**{f.name: getattr(a, f.name) for f in boost_fields()}))
-    if a.stage == "gather":
+    if a.stage == "index":
+        for feed in [a.feed] if a.feed else list(FEEDS):
+            index(spark, a.landing, feed, a.multiline)
+    elif a.stage == "gather":
         for feed in [a.feed] if a.feed else list(FEEDS):
             gather(spark, a.landing, a.warehouse, feed, gp, a.buckets, a.multiline)
     elif a.stage == "merge":

@@ -168,3 +168,50 @@ def test_scratch_tables_can_be_removed(spark):
     assert os.path.exists(path)
     clear_scratch(spark)
     assert not os.path.exists(path)
+
+
+def test_manifest_opens_only_the_files_that_a_range_needs(spark, tmp_dir):
+    """Files by month, one bad payload, one file landed after the manifest: same result, fewer files."""
+    import datetime as dt
+    import json
+    import os
+
+    from airshed.params import GatherParams
+    from airshed.plans import jobs
+    from airshed.sources import payload as P
+
+    def land(city, month, text=None):
+        folder = f"{tmp_dir}/landing/feed=aqi/city={city}"
+        os.makedirs(folder, exist_ok=True)
+        hours = [f"2024-{month:02d}-{d:02d}T{h:02d}:00" for d in (1, 15) for h in range(24)]
+        with open(f"{folder}/{month}.json", "w") as f:
+            f.write(text or json.dumps({"hourly": {"time": hours, "pm10": [float(month)] * 48, "pm2_5": [1.0] * 48}}))
+
+    for city in ("Delhi", "New Town", "Pune"):
+        for month in range(1, 7):
+            land(city, month, "not json" if (city, month) == ("Pune", 6) else None)
+    path, landing, gp = f"{tmp_dir}/landing/feed=aqi", f"{tmp_dir}/landing", GatherParams(
+        dt.date(2024, 2, 10), dt.date(2024, 3, 31), ("Delhi", "New Town", "Pune"))
+    jobs.gather(spark, landing, f"{tmp_dir}/all", "aqi", gp)
+    jobs.index(spark, landing, "aqi")
+    jobs.index(spark, landing, "aqi")                       # nothing new: nothing added
+    known = spark.read.parquet(f"{landing}/manifest_aqi")
+    assert known.count() == 18 and known.agg({"rows": "sum"}).first()[0] == 17 * 48
+    picked = P.files_for(spark, path, f"{landing}/manifest_aqi", gp.start_date, gp.end_date)
+    names = sorted("/".join(f.split("city=")[1].split("/")) for f in picked)
+    assert names == sorted([f"{c}/{m}.json" for c in ("Delhi", "New Town", "Pune") for m in (2, 3)] + ["Pune/6.json"])
+    jobs.gather(spark, landing, f"{tmp_dir}/some", "aqi", gp)
+
+    def rows(where, stage):
+        return sorted(map(tuple, spark.read.parquet(f"{tmp_dir}/{where}/{stage}").collect()), key=str)
+
+    for stage in ("raw_aqi", "rejects_aqi"):
+        assert rows("all", stage) == rows("some", stage)
+    assert len(rows("some", "hourly_aqi")) < len(rows("all", "hourly_aqi"))   # hours parsed
+    land("Delhi", 7, json.dumps({"hourly": {"time": ["2024-03-05T03:00"], "pm10": [90.0], "pm2_5": [9.0]}}))
+    jobs.gather(spark, landing, f"{tmp_dir}/late", "aqi", gp)                 # unknown files are always opened
+    assert len(rows("late", "raw_aqi")) == len(rows("some", "raw_aqi")) + 1
+    assert P.files_for(spark, path, f"{landing}/manifest_aqi", dt.date(2030, 1, 1), dt.date(2030, 1, 2))[-1].endswith("6.json")
+    jobs.index(spark, landing, "aqi")
+    empty = GatherParams(dt.date(2031, 1, 1), dt.date(2031, 1, 2), ("Delhi",))
+    assert jobs.gather(spark, landing, f"{tmp_dir}/none", "aqi", empty) == 0

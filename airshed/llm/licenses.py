@@ -8,7 +8,8 @@ containment over the window confirms them.
 * Class ``w`` (a power of two) holds the templates of at most ``w`` and more
   than ``w / 2`` distinct shingles.  Its windows hold ``3 w / 2`` shingles and
   begin every ``w / 2``, so each occurrence of a template lies whole in one.
-* A band is one minimum.  A window with at least ``THRESHOLD`` of a
+* A band is one minimum: the least hash, under the band's seed, of the window's
+  shingles, so bands order the shingles independently.  A window with at least ``THRESHOLD`` of a
   template's shingles has Jaccard similarity J > 1/4 with it (0.4 / 1.6 at
   the worst), and more than 1/3 if it holds all.  ``BANDS`` bands miss it
   with probability below 0.75^24 = 0.1 % (0.67^24 = 0.006 %).
@@ -86,13 +87,9 @@ def _shingled(df: DataFrame, text: str, into: str) -> DataFrame:
     return df.withColumn(into, paired("__w2", "__w1", 2, F.size("__w1") - 2)).drop("__w1", "__w2")
 
 
-def _seeds(bands: int) -> list[int]:
-    """Fixed 63-bit numbers: a band orders shingle codes by their exclusive or with its number."""
-    out, x = [], 0x9E3779B97F4A7C15
-    for _ in range(bands):
-        x = (x * 6364136223846793005 + 1442695040888963407) % 2**64
-        out.append(x >> 1)
-    return out
+def _minimum(codes: str | Column, band: int | Column) -> Column:
+    """Least hash of the codes under the band's seed."""
+    return F.array_min(F.transform(codes, lambda x: F.xxhash64(x, band)))
 
 
 def _class(n: int) -> tuple[int, int, int]:
@@ -113,15 +110,17 @@ def prepare(spark: SparkSession, templates=TEMPLATES, bands: int = BANDS) -> Pre
     """Shingles and minima of the templates (as many rows as the list has)."""
     df = spark.createDataFrame([(i, t.license_id, t.text) for i, t in enumerate(templates)],
                                "number int, license_id string, text string")
-    seeds, rows, classes, signs = _seeds(bands), [], set(), set()
-    for r in _shingled(df, "text", "s").select("number", "license_id", F.array_distinct("s").alias("s")).collect():
+    rows, classes, signs = [], set(), set()
+    hashed = F.transform("s", lambda x: F.struct(x.alias("code"), F.transform(
+        F.sequence(F.lit(0), F.lit(bands - 1)), lambda z: F.xxhash64(x, z)).alias("h")))
+    known = _shingled(df, "text", "s").select("number", "license_id", F.array_distinct("s").alias("s"))
+    for r in known.withColumn("hashed", hashed).collect():
         if not r["s"]:
             raise ValueError(f"template {r['number']} has fewer than {SHINGLE} words")
-        best = [min(r["s"], key=lambda x, z=z: x ^ z) for z in seeds]
+        best = [min((x["h"][z], x["code"]) for x in r["hashed"]) for z in range(bands)]
         classes.add(_class(len(r["s"])))
-        signs.update(best)
-        rows.append((r["license_id"], r["number"], _class(len(r["s"]))[0], r["s"],
-                     [x ^ z for x, z in zip(best, seeds, strict=True)]))
+        signs.update(code for _, code in best)
+        rows.append((r["license_id"], r["number"], _class(len(r["s"]))[0], r["s"], [h for h, _ in best]))
     return Prepared(rows, sorted(classes), sorted(signs))
 
 
@@ -141,7 +140,6 @@ def scan(spark: SparkSession, docs: DataFrame, templates=TEMPLATES, doc_id: str
          bands: int = BANDS, threshold: float = THRESHOLD) -> DataFrame:
     """(id, license_id, containment, n_windows): best share and number of matching windows per id and license."""
     known = prepare(spark, templates, bands)
-    seeds = _seeds(bands)
     df = _shingled(docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("t")), "t", "s").drop("t")
     places = F.filter(F.transform("s", lambda x, i: F.when(x.isin(*known.signs), i)), lambda i: i.isNotNull())
     df = df.withColumn("p", places)
@@ -149,8 +147,7 @@ def scan(spark: SparkSession, docs: DataFrame, templates=TEMPLATES, doc_id: str
         .where("v is not null")
     df = df.select("id", "v.w", "v.start", F.array_distinct(F.slice("s", F.col("v.start") + 1, F.col("v.size")))
                    .alias("held"))
-    minima = F.transform(F.array(*[F.lit(z) for z in seeds]),
-                         lambda z: F.array_min(F.transform("held", lambda x: x.bitwiseXOR(z))))
+    minima = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda z: _minimum("held", z))
     found = df.withColumn("m", minima).select("id", "w", "start", "held", F.posexplode("m").alias("band", "value"))
     signatures = spark.createDataFrame(
         [(n, w, b, v) for _, n, w, _, m in known.rows for b, v in enumerate(m)],

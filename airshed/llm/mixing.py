@@ -8,9 +8,10 @@ splitting tree deals its exact quota of blocks to the output shards.
    blocks of all sources hold about equally many words.
 2. A source's blocks are permuted.  The mix takes whole epochs (all blocks),
    then the first blocks of one more epoch up to the target, the last of them
-   up to a place (the cut-off), and at last up to ``TOP_UPS`` documents left
-   over, each time the one whose size comes nearest to what is still missing,
-   as long as that brings the words closer to the target.
+   up to a place (the cut-off).  Documents left over then fill the gap in
+   passes: each takes, of those no larger than the gap, the first blocks and
+   places that fit, until none is small enough.  One more document may go
+   beyond the target if that brings the words closer to it.
 3. The splitting tree halves the shard range again and again; at each node
    the left half draws its blocks from the node's quotas without replacement.
    Its leaves say how many blocks of each source a shard has; a source's draws
@@ -32,7 +33,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from airshed.llm.quality import GAPS
@@ -42,9 +43,6 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
 BLOCKS = 8192
 SHARDS = 16
-TOP_UPS = 6
-#: Above this many sources the per-source rows are joined without a broadcast.
-BROADCAST_SOURCES = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -75,14 +73,7 @@ def splitting_tree(quotas: np.ndarray, shards: int, rng: np.random.Generator) ->
     left = shards // 2
     total = int(quotas.sum())
     take = total * left // shards
-    if total < 10**9:
-        drawn = rng.multivariate_hypergeometric(quotas, take, method="marginals")
-    else:  # the same draw, one source after another
-        drawn, rest, need = np.zeros_like(quotas), total, take
-        for i, q in enumerate(quotas):
-            drawn[i] = round(need * int(q) / rest) if rest >= 10**9 else \
-                rng.hypergeometric(q, rest - q, need) if need else 0
-            rest, need = rest - int(q), need - int(drawn[i])
+    drawn = rng.multivariate_hypergeometric(quotas, take, method="marginals")
     return np.vstack([splitting_tree(drawn, left, rng), splitting_tree(quotas - drawn, shards - left, rng)])
 
 
@@ -118,9 +109,15 @@ def _same_source(n: Names) -> Column:
     return F.col(f"d.`{n.source}`").eqNullSafe(F.col("s.__source"))
 
 
-def _join_sources(rows: DataFrame, sources: DataFrame, count: int, n: Names) -> DataFrame:
-    side = F.broadcast(sources) if count <= BROADCAST_SOURCES else sources
-    return rows.alias("d").join(side.alias("s"), _same_source(n))
+def _join_sources(rows: DataFrame, sources: DataFrame, n: Names) -> DataFrame:
+    # a table of literals, one row per source: the planner knows its size and broadcasts it if it is small
+    return rows.alias("d").join(sources.alias("s"), _same_source(n))
+
+
+def _filled() -> Column:
+    """Is the row taken by one of the passes that fill the gap?"""
+    return F.exists("__passes", lambda p: (F.col("__size") <= p["limit"]) & (
+        (_rank() < p["whole"]) | ((_rank() == p["whole"]) & (F.col("__place") <= p["cut"]))))
 
 
 def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, shards: int = SHARDS, blocks: int = BLOCKS,
@@ -148,7 +145,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, shards: int = SHA
     plan = spark.createDataFrame(
         [(s, c, a) for (s, _), c, a in zip(totals, count, step, strict=True)],
         f"__source {source_type}, __blocks long, __step long")
-    ranked = _join_sources(narrow, plan, len(sizes), names).withColumn("__rank", _rank())
+    ranked = _join_sources(narrow, plan, names).withColumn("__rank", _rank())
     number = {s: i for i, (s, _) in enumerate(totals)}
     words = [np.zeros(c, np.int64) for c in count]
     for r in ranked.groupBy("__source", "__rank").agg(F.sum("__size").alias("n")).collect():
@@ -168,63 +165,105 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, shards: int = SHA
     bounds = spark.createDataFrame(
         [(s, c, a, m, float(r)) for (s, _), c, a, m, r in zip(totals, count, step, whole, rest, strict=True)],
         f"__source {source_type}, __blocks long, __step long, __whole long, __rest double")
-    from pyspark.sql import Window
-    edge = (_join_sources(narrow, bounds, len(sizes), names)
+    edge = (_join_sources(narrow, bounds, names)
             .where(_rank() == F.col("__whole"))
             .groupBy("__source", "__place", "__rest").agg(F.sum("__size").alias("n")))
     before = F.sum("n").over(Window.partitionBy("__source").orderBy("__place")) - F.col("n")
-    cut = {r["__source"]: (r["p"], r["n"]) for r in edge.withColumn("b", before).where("b + n <= __rest")
+    cut = {r["__source"]: (r["p"], r["n"]) for r in edge.withColumn("b", before).where("b + n <= __rest and __rest > 0")
            .groupBy("__source").agg(F.max("__place").alias("p"), F.sum("n").alias("n")).collect()}
-    # what is still missing goes to the nearest sizes among the places not taken in the last epoch
-    extra: dict = {s: [] for s, _ in totals}
     gap = {s: float(r - cut.get(s, (-1, 0))[1]) for (s, _), r in zip(totals, rest, strict=True)}
-    for last in [*[False] * (TOP_UPS - 1), True]:  # only the last one may go beyond the target
+    passes: dict = {s: [] for s, _ in totals}
+    extra: dict = {s: [] for s, _ in totals}
+    last_epoch = {s: (c, a, m, cut.get(s, (-1, 0))[0]) for (s, _), c, a, m in zip(totals, count, step, whole, strict=True)}
+    pass_type = "array<struct<limit:double,whole:long,cut:long>>"
+
+    def left_over(open_: list) -> DataFrame:
+        """Rows that nothing took yet, of the sources in ``open_``, with their source's gap."""
         missing = spark.createDataFrame(
-            [(s, c, a, m, cut.get(s, (-1, 0))[0], extra[s], gap[s])
-             for (s, _), c, a, m in zip(totals, count, step, whole, strict=True) if gap[s] >= 1],
-            f"__source {source_type}, __blocks long, __step long, __whole long, __cut long, __extra array<long>, "
-            "__gap double")
-        free = _join_sources(narrow, missing, len(sizes), names).where(
-            ~_once_more() & ~F.array_contains("__extra", F.col("__place")))
-        near = (free.groupBy("__source", "__place", "__gap").agg(F.sum("__size").alias("n"))
-                .where("n > 0 and " + ("n < 2 * __gap" if last else "n <= __gap")).groupBy("__source")
+            [(s, *last_epoch[s], passes[s], gap[s]) for s in open_], f"__source {source_type}, __blocks long, __step long, "
+            f"__whole long, __cut long, __passes {pass_type}, __gap double")
+        return _join_sources(narrow, missing, names).where(~_once_more() & ~_filled() & (F.col("__size") > 0))
+
+    open_ = [s for s, _ in totals if gap[s] >= 1]
+    while open_:
+        fits = left_over(open_).where("__size <= __gap").withColumn("__rank", _rank())
+        sums: dict = {}
+        for r in fits.groupBy("__source", "__rank").agg(F.sum("__size").alias("n")).collect():  # blocks and sources
+            sums.setdefault(r["__source"], []).append((r["__rank"], r["n"]))
+        ends, limits = [], {s: gap[s] for s in open_}
+        for s in open_:
+            taken = 0
+            for block, n in sorted(sums.get(s, [])):
+                if taken + n > gap[s]:
+                    ends.append((s, block, float(gap[s] - taken)))
+                    break
+                taken += n
+            else:
+                ends.append((s, count[number[s]], 0.0))   # all that is left fits
+            gap[s] -= taken
+        bounds = spark.createDataFrame(ends, f"__source {source_type}, __block long, __room double")
+        inside = (fits.alias("f").join(bounds.alias("b"), F.col("f.__source").eqNullSafe(F.col("b.__source"))
+                                       & (F.col("f.__rank") == F.col("b.__block")))
+                  .groupBy("b.__source", "f.__place", "b.__room").agg(F.sum("f.__size").alias("n")))
+        before = F.sum("n").over(Window.partitionBy("__source").orderBy("__place")) - F.col("n")
+        tail = {r["__source"]: (r["p"], r["n"]) for r in inside.withColumn("b", before).where("b + n <= __room")
+                .groupBy("__source").agg(F.max("__place").alias("p"), F.sum("n").alias("n")).collect()}
+        went_on = []
+        for s, block, room in ends:
+            place, n = tail.get(s, (-1, 0))
+            first = min((b for b, _ in sums.get(s, [])), default=None)
+            passes[s].append((limits[s], block, place))
+            gap[s] -= n
+            if first is not None and (first < block or n) and block < count[number[s]] and gap[s] >= 1:
+                went_on.append(s)
+        open_ = went_on
+    open_ = [s for s, _ in totals if gap[s] >= 1]
+    if open_:  # one more, beyond the target, if that is nearer to it (repeated rows of a place count together)
+        near = (left_over(open_).groupBy("__source", "__place", "__gap").agg(F.sum("__size").alias("n"))
+                .where("n < 2 * __gap").groupBy("__source")
                 .agg(F.min(F.struct(F.abs(F.col("n") - F.col("__gap")), "__place", "n")).alias("best"))).collect()
         for r in near:
             extra[r["__source"]].append(r["best"]["__place"])
-            gap[r["__source"]] -= r["best"]["n"]
 
     quotas = np.array([e * c + m + (s in cut) for (s, _), e, c, m in zip(totals, full, count, whole, strict=True)],
                       np.int64)
     dealt = np.cumsum(splitting_tree(quotas, shards, rng), axis=0) if len(quotas) else np.zeros((shards, 0), int)
     final = spark.createDataFrame(
-        [(s, size, t, c, a, e, m, cut.get(s, (-1, 0))[0], extra[s], [int(x) for x in dealt[:, i]])
+        [(s, size, t, c, a, e, m, cut.get(s, (-1, 0))[0], passes[s], extra[s], [int(x) for x in dealt[:, i]])
          for i, ((s, _), size, t, c, a, e, m) in enumerate(
              zip(totals, sizes, want, count, step, full, whole, strict=True))],
         f"__source {source_type}, source_size long, target double, __blocks long, __step long, __full long, "
-        "__whole long, __cut long, __extra array<long>, __ends array<long>")
+        f"__whole long, __cut long, __passes {pass_type}, __extra array<long>, __ends array<long>")
     keep = [F.col(f"d.`{c}`") for c in docs.columns]
-    got = _join_sources(rows, final, len(sizes), names).select(
+    got = _join_sources(rows, final, names).select(
         *keep, F.col("__size").alias("size"), "source_size", "target", _rank().alias("__rank"), "__blocks", "__full",
-        "__ends", (_once_more() | F.array_contains("__extra", F.col("__place"))).alias("__more"))
-    got = got.withColumn("copies", F.col("__full") + F.col("__more").cast("long"))
-    # draw number of a copy: epoch * blocks + rank; its shard: how many shards end at or before it
+        "__ends", "__place", _once_more().alias("__quota"),
+        (_filled() | F.array_contains("__extra", F.col("__place"))).alias("__fill"))
+    got = got.withColumn("copies", F.col("__full") + (F.col("__quota") | F.col("__fill")).cast("long"))
+    # draw number of a copy: epoch * blocks + rank; its shard: how many shards end at or before it.
+    # Documents that fill the gap lie outside the block quotas: their last copy goes to a shard by hash.
     shard = F.transform(
         F.when(F.col("copies") > 0, F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).otherwise(
             F.array().cast("array<long>")),
-        lambda e: F.least(F.size(F.filter("__ends", lambda x: x <= e * F.col("__blocks") + F.col("__rank"))),
-                          F.lit(shards - 1)))
+        lambda e: F.when((e == F.col("__full")) & ~F.col("__quota"), F.pmod(F.xxhash64("__place"), F.lit(shards)))
+        .otherwise(F.least(F.size(F.filter("__ends", lambda x: x <= e * F.col("__blocks") + F.col("__rank"))),
+                           F.lit(shards - 1))).cast("int"))
     return got.withColumns({"taken": F.col("copies") * F.col("size"), "shards": shard}).drop(
-        "__rank", "__blocks", "__full", "__ends", "__more")
+        "__rank", "__blocks", "__full", "__ends", "__place", "__quota", "__fill")
 
 
 def deal(mixed: DataFrame, shards: int = SHARDS, seed: int = 1, names: Names = Names()) -> DataFrame:
     """One row per copy with its ``shard``, each shard in a random order of its own.
 
-    A shard may span several partitions' worth of rows; order within it is by
-    a hash of (seed, shard, copy, document).
+    A shard is cut into parts by a hash of (seed, shard, copy, document), about as
+    many as the input has splits, so that a part stays as large as a split; a
+    part lies in one partition, its rows in the order of that hash.
     """
     cols = [c for c in mixed.columns if c not in ("shards", "copies", "taken", "shard", "copy")]
     rows = mixed.select(*[F.col(f"`{c}`") for c in cols], F.posexplode("shards").alias("copy", "shard"))
     order = F.xxhash64(F.lit(seed), "shard", "copy", F.col(f"`{names.doc_id}`"), F.col(f"`{names.text}`"))
-    return (rows.withColumn("__order", order).repartitionByRange(shards, "shard", "__order")
-            .sortWithinPartitions("shard", "__order").drop("__order"))
+    splits = mixed.rdd.getNumPartitions()
+    parts = max(1, -(-splits // shards))
+    rows = rows.withColumn("__order", order).withColumn("__part", F.pmod("__order", F.lit(parts)))
+    return (rows.repartition(max(shards, splits), "shard", "__part").sortWithinPartitions("shard", "__part", "__order")
+            .drop("__order", "__part"))

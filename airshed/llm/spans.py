@@ -9,8 +9,8 @@ are ordered by document id, then place.
   ideographic full stop, and at a line end; one of more than ``PIECE`` words
   counts as several, cut by content so that a passage inside it is found too.  Sentences are compared by their lower-cased letters and
   digits.
-* Removed stretches have at least ``min_words`` words; shorter ones (a chance
-  run of tiny sentences, a license line) stay.
+* Removed stretches have at least ``min_words`` words, as every run of three
+  pieces of a long sentence has; only chance runs of tiny sentences stay.
 
 Data flow: (hash, id) rows are reduced to the smallest and largest id inside
 each task before the shuffle; the hashes with two ids are joined back to the
@@ -44,7 +44,7 @@ from airshed.llm.words import alnum_bytes, mix
 RUN = 3
 PIECE = 16
 LEAST = 4
-MIN_WORDS = 30
+MIN_WORDS = 12
 _END = re.compile(rb"[.!?]+[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*|\xe3\x80\x82")
 _WORD = re.compile(rb"[^ ]+")
 

@@ -47,6 +47,23 @@ def test_against_brute_force(spark):
     assert len(got) >= 40  # the whole third at least: not a vacuous comparison
 
 
+def test_bands_find_templates_of_every_size(spark):
+    """Whole templates of 1 to 64 shingles, and long ones with a part changed, keep the stated probability."""
+    rnd = random.Random(31)
+    templates, rows = [], []
+    for i in range(96):
+        words = [f"t{i}x{rnd.randrange(10 ** 6)}" for _ in range(3 + rnd.choice([0, 1, 2, 4, 15, 31, 63]))]
+        templates.append(licenses.Template(f"L{i}", " ".join(words)))
+        around = " ".join(prose(i, 40))
+        rows.append((2 * i, f"{around} {' '.join(words)} {around}"))
+        if len(words) > 30:
+            words[rnd.randrange(5, len(words) - 5)] = "changed"   # three shingles fewer
+            rows.append((2 * i + 1, f"{around} {' '.join(words)} {around}"))
+    got = {(r["id"], r["license_id"]) for r in licenses.scan(
+        spark, spark.createDataFrame(rows, "doc_id long, text string"), tuple(templates)).collect()}
+    assert got == {(d, f"L{d // 2}") for d, _ in rows}
+
+
 def test_native_plan(spark):
     df = licenses.scan(spark, hard(spark))
     plan = df._jdf.queryExecution().executedPlan().toString()

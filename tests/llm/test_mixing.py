@@ -74,3 +74,26 @@ def test_deal_writes_every_copy_once(spark):
     assert len(rows) == copies == len({(r["doc_id"], r["copy"]) for r in rows})
     shard = {(r["doc_id"], c): s for r in mixed.collect() for c, s in enumerate(r["shards"])}
     assert {(r["doc_id"], r["copy"]): r["shard"] for r in rows} == shard
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_skewed_sizes_come_within_the_smallest_document(spark, seed):
+    """One very long document among short ones: the gap is filled from what is left over."""
+    rows = [(0, "w " * 20_000, "a")] + [(i, "w " * 100, "a") for i in range(1, 201)]
+    rows += [(i, "w " * (1 + i % 7), "b") for i in range(300, 900)] + [(i, "", "b") for i in range(900, 940)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(spark, docs, weights=(1.0, 0.03), blocks=64, seed=seed).collect()
+    taken, target = collections.Counter(), {}
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert abs(taken["a"] - target["a"]) <= 100 and abs(taken["b"] - target["b"]) <= 1, (taken, target)
+    assert all(r["copies"] <= 3 for r in got)
+
+
+def test_no_fourth_copy_of_empty_documents(spark):
+    rows = [(i, "", "a") for i in range(40)] + [(100, "one two three", "a"), (200, "w " * 900, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(spark, docs, weights=(5.0, 2.0), blocks=8).collect()
+    assert max(r["copies"] for r in got) <= 3
+    assert sum(r["taken"] for r in got if r["source"] == "a") == 9

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from airshed.llm import (chat, decontam, licenses, mixing, neardup, phrases, quality, secrets, spans, tokens, urls,
                          warc, whitening)
+from airshed.llm.tables import kept
 from airshed.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -209,9 +210,9 @@ def op8_warc(spark, sf):
 @register("op9_chat_format")
 def op9_chat_format(spark, sf):
     """Raw transcripts of all conversations, parsed into roles and rendered canonically."""
-    parts = chat.segments(table(spark, sf, "conversations"))
+    parts = kept(spark, chat.parts(spark, table(spark, sf, "conversations")), "parts")
     model = chat.train(spark, parts)
-    return chat.format_transcripts(spark, chat.transcripts(parts), model)
+    return chat.format_transcripts(spark, kept(spark, chat.transcripts(parts), "transcripts"), model)
 
 
 # ---------------------------------------------------------------- 10 near-duplicates

@@ -17,9 +17,11 @@ equally long run of words holds at least ``ceil(threshold * m)`` of them.
 4. Verify containment over the item-sized run, and whether its words equal
    the window's.
 
-The benchmark is handled in blocks of at most about ``block_windows`` windows
-(one broadcast each, so memory is bounded at any benchmark size); documents
-are only mapped, never shuffled, and no text leaves its task.
+Items are cut into windows in Spark; repeated (item, window) rows are dropped,
+the rest counted and dealt by hash to blocks of about ``block_windows`` rows, so a
+long item, or a window of many items, is spread over blocks.  A block (never
+the whole benchmark) passes the driver and is broadcast, so memory is bounded
+at any benchmark size; documents are only mapped, never shuffled, and no text leaves its task.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from airshed.llm.tables import kept
 from airshed.llm.words import alnum_bytes, alnum_words, mix
 
 WINDOW = 10
@@ -56,23 +59,31 @@ class Block:
     prefix: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
 
 
-def build_block(rows: list[tuple[str | None, str | None]], window: int, shingle: int, threshold: float) -> Block:
-    """Distinct windows of (item_id, text) rows; a null or wordless text has none."""
+def cut_items(items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    """Distinct (id, words): the windows of every item, words joined by spaces; wordless texts have none."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for item, t in zip(b.column("id").to_pylist(), _texts(b), strict=True):
+                words = [w.decode() for w in alnum_words(t)]
+                size = min(window, len(words))
+                last = len(words) - size + 1 if words else 0
+                for at in range(0, last, 10_000):
+                    found = [" ".join(words[i:i + size]) for i in range(at, min(at + 10_000, last))]
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(found), pa.string()),
+                                                      pa.array(found, pa.string())], names=["id", "words"])
+
+    rows = items.select(F.col(f"`{item_id}`").cast("string").alias("id"), F.col(f"`{text}`").alias("__text"))
+    return rows.mapInArrow(run, "id string, words string").distinct()
+
+
+def build_block(rows: list[tuple[str | None, str]], shingle: int, threshold: float) -> Block:
+    """Block of distinct (item id, words of a window) rows."""
     block = Block(shingle=shingle, threshold=threshold)
     found: dict[int, dict[tuple, list[int]]] = {}
     numbers: dict[str | None, int] = {}
-    for item_id, text in rows:
-        words = alnum_words((text or "").encode())
-        if not words:
-            continue
-        n = numbers.setdefault(item_id, len(numbers))
-        ids = [block.vocabulary.setdefault(w, len(block.vocabulary) + 1) for w in words]
-        size = min(window, len(ids))
-        of_size = found.setdefault(size, {})
-        for i in range(len(ids) - size + 1):
-            owners = of_size.setdefault(tuple(ids[i:i + size]), [])
-            if not owners or owners[-1] != n:
-                owners.append(n)
+    for item_id, words in rows:
+        ids = tuple(block.vocabulary.setdefault(w, len(block.vocabulary) + 1) for w in words.encode().split(b" "))
+        found.setdefault(len(ids), {}).setdefault(ids, []).append(numbers.setdefault(item_id, len(numbers)))
     block.item_ids = list(numbers)
     for size, windows in found.items():
         block.windows[size] = np.array(list(windows), np.uint64).reshape(len(windows), size)
@@ -235,20 +246,20 @@ def find(spark: SparkSession, docs: DataFrame, items: DataFrame, text: str = "te
     not listed; repeated documents are each searched; columns of ``docs``
     named n_words, spans or items are replaced.
     """
-    rows = items.select(F.col(f"`{item_id}`").cast("string").alias("id"), F.col(f"`{item_text}`").alias("t"))
-    total = rows.agg(F.sum(F.greatest(F.length("t"), F.lit(1))).alias("n")).first()["n"] or 0
-    blocks = max(1, math.ceil(total / 2 / block_windows))  # a window begins at most at every second character
+    windows = kept(spark, cut_items(items, item_id, item_text, window), "windows")
+    blocks = max(1, math.ceil(windows.count() / block_windows))
     keep = [c for c in docs.columns if c not in ("n_words", "spans", "items")]
     out = docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(0).cast("long").alias("n_words"),
                       F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
     for i in range(blocks):
-        own = rows.where(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == i) if blocks > 1 else rows
-        block = build_block([(r["id"], r["t"]) for r in own.collect()], window, shingle, threshold)
+        own = windows.where(F.pmod(F.xxhash64("id", "words"), F.lit(blocks)) == i)
+        block = build_block([(r["id"], r["words"]) for r in own.collect()], shingle, threshold)
         sent = spark.sparkContext.broadcast(block)
         set_prefixes(block, document_frequency(spark, docs, sent, text))
         sent.unpersist()
         out = _search(out, spark.sparkContext.broadcast(block), text, exact)
-    return out
+    # a window of several items may be in several blocks
+    return out.withColumn("spans", F.array_distinct("spans")) if blocks > 1 else out
 
 
 def _search(docs: DataFrame, block: Broadcast, text: str, exact: bool) -> DataFrame:

@@ -64,9 +64,22 @@ def test_against_brute_force(spark):
 
 def test_blocks_agree(spark):
     docs, items = table()
-    one, many = run(spark, docs, items), run(spark, docs, items, block_windows=150)
+    items += items[:8] + [(20 + i, items[4][1]) for i in range(30)]  # repeated rows, a window of many items
+    one, many = run(spark, docs, items), run(spark, docs, items, block_windows=60)
     for i in one:
         assert one[i]["n_hit"] == many[i]["n_hit"] and sorted(one[i]["items"]) == sorted(many[i]["items"])
+        assert sorted(one[i]["spans"]) == sorted(many[i]["spans"])
+
+
+def test_windows_of_items(spark):
+    """Each (item, window) once; a long item's windows are spread over blocks."""
+    rows = [(1, "a b c"), (1, "a b c"), (2, "a, B c d"), (3, " ".join(prose(1, 25_000, 10**9))), (4, None), (None, "é日 x")]
+    got = decontam.cut_items(spark.createDataFrame(rows, "item_id long, text string"), window=3)
+    small = sorted((r["id"] or "", r["words"]) for r in got.where("id IS NULL OR id < '3'").collect())
+    assert small == [("", "é日 x"), ("1", "a b c"), ("2", "a b c"), ("2", "b c d")]
+    assert got.where("id = '3'").count() == 24_998
+    sizes = got.selectExpr("pmod(xxhash64(id, words), 10L) AS b").groupBy("b").count().collect()
+    assert max(r["count"] for r in sizes) < 3_000
 
 
 @pytest.mark.parametrize("threshold", [1.0, 0.8, 0.5])
@@ -74,7 +87,7 @@ def test_prefix_filter_loses_no_window(threshold):
     """Containment over item-sized runs, against all runs; edits keep the order of the other words."""
     rnd = random.Random(9)
     items = [(str(i), " ".join(prose(i, 12, 50))) for i in range(6)]
-    block = decontam.build_block([(i, t) for i, t in items], 12, 3, threshold)
+    block = decontam.build_block(items, 3, threshold)
     texts = []
     for i in range(60):
         w = items[i % 6][1].split()

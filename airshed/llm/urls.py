@@ -5,15 +5,16 @@ with the rule's; the longest fitting rule decides.  Urls that no rule fits get
 the verdict of a logistic regression on hashed character n-grams of host and
 path, trained from a small labelled url table.
 
-Everything runs as built-in expressions and ``pyspark.ml``: n-grams are slices
-of the strings, ``HashingTF`` hashes them, ``LogisticRegression`` is fitted on
+Everything runs as built-in expressions and ``pyspark.ml``: n-grams are put
+together from the strings' characters, ``HashingTF`` hashes them, ``LogisticRegression`` is fitted on
 at most ``MAX_TRAINING`` distinct labelled urls (those with the smallest
 hashes; a bounded, repeatable sample in one partition, so fits agree).
 
 Defined results: a null url, or one without ``://``, has an empty host and
-path, which no rule with a path fits; repeated urls get equal verdicts; with
-no labelled urls, or labels of one kind only, the learned verdict is that
-label (allow when there are none).
+path, which no rule with a path fits; repeated urls get equal verdicts; other
+columns stay, but those named host, path, rule or verdict are replaced; an
+empty table gives no rows; with no labelled urls, or labels of one kind only,
+the learned verdict is that label (allow when there are none).
 """
 
 from __future__ import annotations
@@ -26,16 +27,14 @@ from pyspark.ml.feature import HashingTF
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from airshed.llm.labelled_urls import LABELLED
+
 ALLOW, BLOCK = "allow", "block"
 NGRAMS = (3, 4, 5)
 FEATURES = 1 << 15
 MAX_TRAINING = 20_000
 
 
-# Host words that label a url as unwanted when no labelled table is given.
-UNWANTED = ("adult", "ads-", "bets", "casino", "cheap", "lottery", "pills", "poker", "porn", "spam", "track", "xxx")
-
-
 @dataclass(frozen=True)
 class Rule:
     """``text`` is host, then path from the first slash on."""
@@ -78,15 +77,15 @@ def rule_columns(host_: Column, path_: Column, rules=RULES) -> tuple[Column, Col
     return rule, verdict
 
 
-def _grams(body: str, mark: str, sizes=NGRAMS) -> Column:
-    """Marked character n-grams of a string column (a plain column: it is read once per n-gram)."""
-    parts = [F.when(F.length(body) >= n, F.transform(F.sequence(F.lit(1), F.length(body) - (n - 1)), _gram(body, mark, n)))
+def _grams(chars: str, mark: str, sizes=NGRAMS) -> Column:
+    """Marked character n-grams of an array column of characters (a slice of a string would read it from its start)."""
+    parts = [F.when(F.size(chars) >= n, F.transform(F.sequence(F.lit(0), F.size(chars) - n), _gram(chars, mark, n)))
              .otherwise(F.array().cast("array<string>")) for n in sizes]
     return F.concat(*parts)
 
 
-def _gram(body: str, mark: str, n: int):
-    return lambda i: F.concat(F.lit(mark), F.substring(F.col(body), i, F.lit(n)))
+def _gram(chars: str, mark: str, n: int):
+    return lambda i: F.concat(F.lit(mark), *[F.get(F.col(chars), i + k) for k in range(n)])
 
 
 def with_parts(df: DataFrame, url: str = "url") -> DataFrame:
@@ -94,11 +93,15 @@ def with_parts(df: DataFrame, url: str = "url") -> DataFrame:
     return df.withColumns({"host": host(u), "path": path(u)})
 
 
+def _characters(s: Column) -> Column:
+    return F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0))
+
+
 def _featured(df: DataFrame) -> DataFrame:
     # digits of a path tell pages apart, not kinds of pages
     plain = F.regexp_replace(F.col("path"), "[0-9]+", "0")
-    ends = df.withColumns({"__h": F.concat(F.lit("^"), F.col("host"), F.lit("$")),
-                           "__p": F.concat(F.lit("^"), plain, F.lit("$"))})
+    ends = df.withColumns({"__h": _characters(F.concat(F.lit("^"), F.col("host"), F.lit("$"))),
+                           "__p": _characters(F.concat(F.lit("^"), plain, F.lit("$")))})
     return ends.withColumn("__grams", F.concat(_grams("__h", "h"), _grams("__p", "p"))).drop("__h", "__p")
 
 
@@ -118,14 +121,6 @@ class Model:
             "__grams", "__features", "__raw", "__probability", "__block")
 
 
-def word_labels(parts: DataFrame, words=UNWANTED) -> DataFrame:
-    """(host, path, label) of the urls that have a host: block if the host holds one of the words."""
-    bad = F.lit(False)
-    for w in words:
-        bad = bad | F.contains(F.col("host"), F.lit(w))
-    return parts.where("host <> ''").select("host", "path", F.when(bad, BLOCK).otherwise(ALLOW).alias("label"))
-
-
 def train(labelled: DataFrame, max_rows: int = MAX_TRAINING) -> Model:
     """Fit on (host, path, label) rows; ``label`` is allow or block, others are left out."""
     rows = (labelled.where(F.col("label").isin(ALLOW, BLOCK)).select("host", "path", "label").distinct()
@@ -147,16 +142,14 @@ def train(labelled: DataFrame, max_rows: int = MAX_TRAINING) -> Model:
 def judge(pages: DataFrame, labelled: DataFrame | None = None, url: str = "url", rules=RULES) -> DataFrame:
     """``pages`` with host, path, rule and verdict (replacing columns so named).
 
-    ``labelled`` has url and label (allow or block); without it the pages'
-    own urls are the table, labelled by the word list :data:`UNWANTED`.
+    ``labelled`` has url and label (allow or block); without it the table of
+    :mod:`airshed.llm.labelled_urls` is used.
     """
     parts = with_parts(pages, url)
     rule, decided = rule_columns(F.col("host"), F.col("path"), rules)
     judged = parts.withColumns({"rule": rule, "__decided": decided})
     if labelled is None:
-        table = word_labels(parts)
-    else:
-        table = with_parts(labelled).select("host", "path", "label")
-    model = train(table)
+        labelled = pages.sparkSession.createDataFrame(LABELLED, "url string, label string")
+    model = train(with_parts(labelled).select("host", "path", "label"))
     return (model.verdict(judged, "__learned")
             .withColumn("verdict", F.coalesce("__decided", "__learned")).drop("__decided", "__learned"))

@@ -1,7 +1,11 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from airshed.llm import urls
+from airshed.llm.labelled_urls import ALLOW, BLOCK, LABELLED
 from airshed.llm.queries import QUERIES
 
 
@@ -67,10 +71,68 @@ def test_held_out_hosts(spark, held):
     assert right > 0.97
 
 
+def words(urls_):
+    """Letters-only words of the hosts, without the shared domain."""
+    return {w for u in urls_ for w in re.findall("[a-z]+", split(u)[0].partition(".example.")[0])} - {"www", "m", "blog"}
+
+
+def unseen(seed, n):
+    """(url, label) with hosts of new syllables; the evidence lies in the path, or in how the host is put together."""
+    rnd = random.Random(seed)
+    out = []
+    for i in range(n):
+        name = "".join(rnd.choice("bdfgklmnprstvz") + rnd.choice("aeiou") for _ in range(3)) + rnd.choice(["", "n", "x"])
+        sub = rnd.choice(["", "www.", "m.", "blog."])
+        if i % 2:
+            path = rnd.choice(["click/out", "redirect/offer", "track/click", "buy/cheap", "claim/prize", "order/now", "casino/bonus"])
+        else:
+            path = rnd.choice(["en", "de", "fr", "articles", "news/local", "library/catalog", "recipes", "lessons"])
+        tld = rnd.choice(["com", "net", "org"])
+        out.append((f"http://{sub}{name}.example.{tld}/{path}/{rnd.randrange(999)}", "block" if i % 2 else "allow"))
+    return out
+
+
+def test_hosts_without_shared_words(spark):
+    """Hosts none of whose words are in the labelled table."""
+    known = words([u for u, _ in LABELLED])
+    rows = [(u, label) for u, label in unseen(4, 1200) if not words([u]) & known]
+    assert len(rows) > 1000
+    df = spark.createDataFrame(rows, "url string, label string")
+    got = urls.judge(df).where("rule IS NULL").selectExpr("label", "verdict").collect()
+    for kind in ("block", "allow"):
+        own = [r["verdict"] == kind for r in got if r["label"] == kind]
+        assert sum(own) / len(own) > 0.95, kind
+
+
+def test_held_out_rows_of_the_table(spark):
+    """Every fourth labelled url held out in turn (measured: 56 of 75 blocked, 65 of 75 allowed; folds are 0.79 or more)."""
+    part = [(u, label, i % 4) for i, (u, label) in enumerate([(u, "block") for u in BLOCK] + [(u, "allow") for u in ALLOW])]
+    df = spark.createDataFrame(part, "url string, label string, part int")
+    right = {"block": 0, "allow": 0}
+    for held in range(4):
+        for r in urls.judge(df.where(f"part = {held}"), df.where(f"part <> {held}"), rules=()).collect():
+            right[r["label"]] += r["verdict"] == r["label"]
+    assert right["block"] >= 0.7 * 75 and right["allow"] >= 0.8 * 75
+
+
+def test_hard_rows(spark):
+    df = spark.createDataFrame([("http://A.org/" + "x" * 300_000, 1), ("http://A.org/" + "x" * 300_000, 1), (None, None),
+                                ("", 2)], "url string, page_id long")
+    df = df.selectExpr("*", *(f"'x' AS {c}" for c in ("host", "path", "rule", "verdict", "__h", "label", "features")))
+    got = urls.judge(df).collect()
+    assert len(got) == 4 and {r["label"] for r in got} == {"x"}
+    assert len({r["verdict"] for r in got if r["host"] == "a.org"}) == 1
+    assert {(r["host"], r["path"], r["rule"]) for r in got if not r["url"]} == {("", "", None)}
+    assert urls.judge(df.where("false")).count() == 0
+
+
 def test_whole_table(spark):
+    """Rules exactly; learned verdicts against the hosts that a reader of the table would block."""
+    unwanted = ("cheap-pills", "casino-win", "free-bets", "adult-x", "spam-farm", "ads-track")
     got = QUERIES["op2_url_filter"](spark, "/root/testdata/sf0.01").collect()
     pages = {r["page_id"]: r["url"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
     assert len(got) == len(pages)
+    learned = {"allow": [], "block": []}
     for r in got:
         host, path = split(pages[r["page_id"]])
         rule, verdict = decide(host, path)
@@ -78,4 +140,7 @@ def test_whole_table(spark):
         if verdict:
             assert r["verdict"] == verdict
         else:
-            assert r["verdict"] == ("block" if any(w in host for w in urls.UNWANTED) else "allow")
+            kind = "block" if any(w in host for w in unwanted) else "allow"
+            learned[kind].append(r["verdict"] == kind)
+    assert learned["block"] and sum(learned["block"]) / len(learned["block"]) > 0.95
+    assert sum(learned["allow"]) / len(learned["allow"]) > 0.99

@@ -7,16 +7,20 @@ are ordered by document id, then place.
 
 * A sentence ends at ``.``, ``!`` or ``?`` before white space, at an
   ideographic full stop, and at a line end; one of more than ``PIECE`` words
-  counts as several, cut by content so that a passage inside it is found too.  Sentences are compared by their lower-cased letters and
-  digits.
+  counts as several, cut by content so that a passage inside it is found too.
+  Sentences are compared by their lower-cased letters and digits.
 * Removed stretches have at least ``min_words`` words, as every run of three
   pieces of a long sentence has; only chance runs of tiny sentences stay.
 
-Data flow: (hash, id) rows are reduced to the smallest and largest id inside
-each task before the shuffle; the hashes with two ids are joined back to the
-runs (adaptive execution splits the runs of a hash that very many documents
-share), which gives at most one row per run; a document's runs are collected
-by document only.  The text itself is shuffled once, to meet its own runs.
+Data flow: the runs are written once.  (hash, id) rows are reduced to the
+smallest and largest id inside each task before the shuffle; the hashes with
+two ids are joined back to the runs (adaptive execution splits the runs of a
+hash that very many documents share), which gives at most one row per run; a
+document's runs are collected by document only.  A bitmap of the shared hashes
+(``BITS`` bits at any size, broadcast) keeps runs that no other document has
+out of that join's shuffle; where bits collide a run only travels in vain, and
+the join decides by the whole hash.  The text itself is shuffled once, to meet
+its own runs.
 
 Defined results: a null text stays null and an empty one empty; documents of
 fewer than ``RUN`` sentences never change; rows that repeat an id count as one
@@ -39,12 +43,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from airshed.llm.tables import kept
 from airshed.llm.words import alnum_bytes, mix
 
 RUN = 3
 PIECE = 16
 LEAST = 4
+CUT = 3  # one word in so many ends a piece
 MIN_WORDS = 12
+BITS = 1 << 27
 _END = re.compile(rb"[.!?]+[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*|\xe3\x80\x82")
 _WORD = re.compile(rb"[^ ]+")
 
@@ -52,12 +59,12 @@ _WORD = re.compile(rb"[^ ]+")
 def _pieces(words: list[bytes]) -> list[int]:
     """Ends of the pieces of a long sentence.
 
-    A piece ends after a word whose code says so (one in eight), so that equal
+    A piece ends after a word whose code says so (one in ``CUT``), so that equal
     stretches are cut alike whatever stands before them.
     """
     out, start = [], 0
     for i, w in enumerate(words, 1):
-        if i == len(words) or i - start == PIECE or i - start >= LEAST and crc32(w) % 8 == 0:
+        if i == len(words) or i - start == PIECE or i - start >= LEAST and crc32(w) % CUT == 0:
             out.append(i)
             start = i
     return out
@@ -136,14 +143,28 @@ def _runs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         T.StructField("place", T.IntegerType())]))
 
 
+def _met(runs: DataFrame, shared: DataFrame) -> DataFrame:
+    """The rows of ``runs`` whose bit is set by a hash of ``shared``: all that join it, and few others."""
+    at = F.col("h1").bitwiseAND(F.lit(BITS - 1))
+    bits = (shared.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("at"))
+            .repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")))
+    place = F.bitmap_bit_position(at)
+    byte = F.col("bits").substr(F.shiftright(place, 3).cast("int") + 1, F.lit(1))
+    bit = F.pow(F.lit(2), place.bitwiseAND(F.lit(7))).cast("int")
+    return (runs.withColumn("bucket", F.bitmap_bucket_number(at)).join(F.broadcast(bits), "bucket")
+            .where(F.conv(F.hex(byte), 16, 10).cast("int").bitwiseAND(bit) != 0).select(*runs.columns))
+
+
 def later_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, check, places): per document the runs that an earlier document holds too."""
-    runs = _runs(docs, doc_id, text)
+    spark = docs.sparkSession
+    runs = kept(spark, _runs(docs, doc_id, text), "runs")
     shared = (runs.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"),
                                            F.max(F.col("id").isNull().cast("int")).alias("without"))
               .where((F.col("first") < F.col("last")) | (F.col("first").isNotNull() & (F.col("without") == 1)))
               .select("h1", "h2", "first"))
-    return (runs.join(shared, ["h1", "h2"])
+    shared = kept(spark, shared, "shared-runs")
+    return (_met(runs, shared).join(shared, ["h1", "h2"])
             .where(F.col("id").isNull() | (F.col("id") > F.col("first")))
             .groupBy("id", "check").agg(F.collect_set("place").alias("places")))
 

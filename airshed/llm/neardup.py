@@ -28,10 +28,11 @@ two classes is aligned.  Pairs within one class are never listed.
 
 With 20 bands of 5 picks, two long texts of similarity 0.8 share a sketch with
 probability 1 - (1 - 0.8^5)^20 = 0.9996; picks are drawn without replacement,
-so shorter texts share one less often (24 of 30 k-mers in common: 0.9992).  A
-text of up to ``FEW`` k-mers has no sketches: it meets others by its k-mers
-that come first in one fixed random order, as many as hold a common one for
-certain (prefix filter), and so do the longer texts that it can link to.
+so shorter texts share one less often (24 of 30 k-mers in common: 0.9992).
+Every text with a k-mer has its sketches.  Texts of up to ``FEW`` k-mers, for
+which the sketches promise too little, and the longer texts that they can link
+to, meet also by the k-mers that come first in one fixed random order, as many
+as hold a common one for certain (prefix filter).
 
 Defined results: rows with equal texts are of one class, empty texts included;
 a null text is a class of its own row's id; texts without words have no
@@ -59,7 +60,7 @@ K = 5
 BANDS = 20
 PICKS = 5
 THRESHOLD = 0.8
-FEW = 20
+FEW = 20  # k-mers up to which a prefix filter backs the sketches
 _CELLS = 1 << 20  # band x k-mer cells held at once
 _COUNTERS = 1 << 20  # cells in which k-mers are counted to order them by rarity
 
@@ -98,9 +99,9 @@ def prefix_size(n: int, threshold: float = THRESHOLD) -> int:
 
 
 def bucket_keys(kmers: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
-    """Buckets of a text: its sketches; for texts with few k-mers the first ones in a fixed random order."""
+    """Buckets of a text: its sketches; where these can miss short texts, also its first k-mers in a fixed random order."""
     n = len(kmers)
-    keys = sketches(kmers) if n > FEW else np.zeros(0, np.int64)
+    keys = sketches(kmers)
     if n and threshold * n <= FEW + 1e-9:  # short itself, or near to a short one
         order = np.sort(mix(kmers ^ np.uint64(0xD1B54A32D192ED03)))
         keys = np.r_[keys, order[:prefix_size(n, threshold)].view(np.int64)]
@@ -264,8 +265,9 @@ def classes(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text:
     """
     sk = kept(spark, _sketched(docs, doc_id, text, threshold), "sketches")
     # equal texts: one node each, the smallest id
-    first = sk.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n"))
-    member = kept(spark, sk.join(first.where("n > 1"), ["h1", "h2"], "left")
+    first = kept(spark, sk.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n"))
+                 .where("n > 1").select("h1", "h2", "node"), "equal")  # a table, so that adaptive execution splits the join
+    member = kept(spark, sk.join(first, ["h1", "h2"], "left")
                   .select("id", F.coalesce("node", "id").alias("node"), "keys"), "members")
     nodes = member.where("id = node").select("node", F.explode("keys").alias("key")).distinct()
     count = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airshed.llm.components import components
+from airshed.llm.components import components, merged
 from airshed.llm.tables import kept
 from airshed.llm.words import alnum_words, kmer_codes, mix, occurrence, word_codes
 
@@ -251,8 +251,11 @@ def _across(spark: SparkSession, buckets: DataFrame, label: DataFrame, texts: Da
 
     meet = (side(groups, "1").join(side(groups, "2"), "kmer").where("own1 < own2")
             .where((F.col("at1") <= room("hi1", "lo2")) & (F.col("at2") <= room("hi2", "lo1")))
-            .select("kmer", "own1", "own2"))
-    both = (meet.join(side(first, "1"), ["kmer", "own1"]).join(side(first, "2"), ["kmer", "own2"])
+            .select("kmer", "own1", "own2", "lo2", "hi2", "at2"))
+    # members that no length and place in the other class can reach go before they are paired
+    near = (meet.join(side(first, "1"), ["kmer", "own1"])
+            .where((F.col("place1") <= room("n1", "lo2")) & (F.col("at2") <= room("hi2", "n1"))))
+    both = (near.join(side(first, "2"), ["kmer", "own2"])
             .where((F.col("place1") <= room("n1", "n2")) & (F.col("place2") <= room("n2", "n1"))))
     return both.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
 
@@ -278,10 +281,8 @@ def classes(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text:
 
     buckets = open_
     equal = member.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    links = equal
     label: DataFrame | None = None
     texts: DataFrame | None = None
-    merged = None
     while not open_.isEmpty():
         # the heaviest member leads (ties: the smallest id)
         lead = open_.groupBy("key").agg(F.max(F.struct("w", -F.col("node"))).alias("m")) \
@@ -294,12 +295,13 @@ def classes(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text:
                          .where("t is not null").join(wanted.hint("merge"), "id", "left_semi")
                          .groupBy("id").agg(F.min("t").alias("t")), "texts")
         found = kept(spark, _verify(pairs, texts, threshold), "found")
-        links = links.union(found)
-        label = kept(spark, components(spark, links), "classes")
-        now = label.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("label").alias("k")).first()
-        if merged == now["n"] - now["k"]:
-            break
-        merged = now["n"] - now["k"]
+        if label is None:
+            label = kept(spark, components(spark, equal.union(found)), "classes")
+        else:
+            following = merged(spark, label, found)
+            if following is None:
+                break
+            label = following
         # who is not yet in the leader's class goes on
         left = (led.join(label.select(F.col("node"), F.col("label").alias("own")), "node", "left")
                 .join(label.select(F.col("node").alias("lead"), F.col("label").alias("its")), "lead", "left")
@@ -307,11 +309,10 @@ def classes(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text:
         several = left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
         open_ = kept(spark, left.join(several, "key", "left_semi"), "buckets")
     if label is None:
-        label = components(spark, links)
+        label = components(spark, equal)
     else:
         found = kept(spark, _verify(_across(spark, buckets, label, texts, threshold), texts, threshold), "found")
-        if not found.isEmpty():
-            label = components(spark, links.union(found))
+        label = merged(spark, label, found) or label
     out = (member.select("id", "node").alias("m")
            .join(label.alias("l"), F.col("m.id") == F.col("l.node"), "left")
            .select("m.id", F.coalesce("l.label", "m.id").alias("class"), F.col("m.node").alias("copy_of")))

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from airshed.llm import components as co
 from airshed.llm import neardup as nd
 from airshed.llm.components import components
 from tests.llm.cases import HARD, empty, hard, prose
@@ -210,3 +211,59 @@ def test_components(spark, shape):
             if a != b:
                 up[a] = up[b] = min(up[a], up[b])
     assert got == up
+
+
+def test_stars_are_not_walked_again(spark, monkeypatch):
+    """One aggregate tells that links are stars; no step and no written table follows."""
+    written = []
+    plain = co.kept
+    monkeypatch.setattr(co, "kept", lambda *a: written.append(a[2]) or plain(*a))
+    rows = spark.createDataFrame([(0, i) for i in range(1, 30)] + [(50, 51), (50, 51)], "a long, b long")
+    got = {r["node"]: r["label"] for r in components(spark, rows).collect()}
+    assert got == {i: 0 for i in range(30)} | {50: 50, 51: 50}
+    assert written == ["links"]
+
+
+def test_merged_labels_are_those_of_all_links(spark):
+    rnd = random.Random(6)
+    old = [(rnd.randrange(120), rnd.randrange(120)) for _ in range(50)]
+    new = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(60)]
+
+    def table(links):
+        return spark.createDataFrame(links, "a long, b long")
+
+    def labels(df):
+        got = [tuple(r) for r in df.select("node", "label").collect()]
+        assert len(dict(got)) == len(got)
+        return dict(got)
+    label = components(spark, table(old))
+    want = labels(components(spark, table(old + new)))
+    assert labels(co.merged(spark, label, table(new))) == want
+    assert co.merged(spark, label, table(old + [(199, 199)])) is None
+
+
+def joined_rows(node):
+    """Output rows of every join of an executed plan."""
+    own = [node.metrics().apply("numOutputRows").value()] if "Join" in node.nodeName() else []
+    return own + [n for i in range(node.children().size()) for n in joined_rows(node.children().apply(i))]
+
+
+def test_members_out_of_reach_are_not_paired(spark):
+    """A class of many near copies meets other classes by their common k-mers; few of its members can reach them."""
+    texts = family(51, 150, 200, 14) + templated(52, 60, 172, 26)
+    texts += [t + " " + " ".join(prose(900 + i, 24, 10**6)) for i, t in enumerate(family(51, 40, 200, 2))]
+    buckets = spark.createDataFrame([(1, i) for i in range(len(texts))], "key long, node long")
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    label = spark.createDataFrame([(i, 0) for i in range(150)], "node long, label long")
+    kmers = [nd.labelled_kmers(t.encode()) for t in texts]
+    linked = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2)
+              if b >= 150 and nd.similarity(kmers[a], kmers[b]) >= 0.8}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = nd._across(spark, buckets, label, rows, 0.8)
+        got = {tuple(sorted(r)) for r in found.collect()}
+        made = joined_rows(found._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert linked <= got and len(linked) > 900
+    assert len(made) == 3 and max(made) < 10_000
